@@ -30,7 +30,7 @@ from sparkloft.sources.tables import durable, fresh_dir, table
 
 LENGTH, END = 1024, 2
 #: Tokens held at once by a task; pieces of one group of the last step.
-ROUND, GROUP = 4_000_000, 40_000
+ROUND, GROUP = 2_000_000, 20_000
 
 
 class Bins:
@@ -96,10 +96,16 @@ def encoder(path: str, ranks: str | None = None) -> Callable[[str], list[int]]:
     """Encodes with the tokenizer file. Where `ranks` names the same vocabulary as ranks, texts of Latin letters go
     through the rank library, which gives the same ids in a quarter of the time; others, and those with the end mark in
     words, through the tokenizer itself."""
-    from tokenizers import Tokenizer
+    tokenizer = None
+
+    def full(text: str) -> list[int]:
+        nonlocal tokenizer
+        if tokenizer is None:  # loaded where a text needs it: it takes memory
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+        return tokenizer.encode(text, add_special_tokens=False).ids
 
-    tokenizer = Tokenizer.from_file(path)
-    full = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     if not ranks:
         return full
     import public_tokenizers
@@ -140,8 +146,8 @@ def pack(
             still = bins.open_bins()
             for name in [k for k in loose if last or k not in still]:
                 done += [(*p, name in still) for p in loose.pop(name)]
-            for at in range(0, len(done), 4000):
-                yield batch(done[at : at + 4000], types)
+            for at in range(0, len(done), 1000):
+                yield batch(done[at : at + 1000], types)
 
         id_type = None
         for b in batches:
@@ -159,7 +165,7 @@ def pack(
 
     packed = rows.mapInArrow(run, PIECES.format(kind))
     path = fresh_dir(spark, "pieces")
-    packed.write.parquet(path)
+    packed.write.option("parquet.block.size", 32 << 20).parquet(path)  # a writer holds a block in memory
     packed = spark.read.schema(PIECES.format(kind)).parquet(path)
     rest = packed.where("open").drop("open")
     groups = max(1, rest.count() // GROUP)
