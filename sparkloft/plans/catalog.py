@@ -1,32 +1,11 @@
-"""All queries of the relational part by name, with the DuckDB SQL that gives the same rows."""
+"""All queries of the relational part by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sparkloft.functions import nested, scalar, udfs
+from sparkloft.operators import aggregates, basics, joins, sets, windows
+from sparkloft.plans.registry import ORACLE_SQL, QUERIES
+from sparkloft.sources import formats
+from sparkloft.streaming import event_time, streams
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from sparkloft.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums by flag and status, on decimals, so that the order of addition doesn't matter."""
-    money = lambda c: F.col(c).cast("decimal(12,2)")
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("2001-09-01").cast("timestamp_ntz"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum(money("l_quantity")).cast("decimal(38,4)").alias("sum_qty"),
-        F.sum(money("l_extendedprice")).cast("decimal(38,4)").alias("sum_price"),
-        F.sum(money("l_extendedprice") * (1 - money("l_discount"))).cast("decimal(38,4)").alias("sum_disc_price"),
-        F.count("*").alias("n"))
-
-
-QUERIES["pricing_summary"] = pricing_summary
-ORACLE_SQL["pricing_summary"] = """
-    SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(38,4)) AS sum_qty,
-      CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(38,4)) AS sum_price,
-      CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2)))) AS DECIMAL(38,4)) AS sum_disc_price,
-      count(*) AS n
-    FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-01' GROUP BY ALL"""
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "basics", "event_time", "formats", "joins", "nested", "scalar", "sets", "streams", "udfs", "windows"]
