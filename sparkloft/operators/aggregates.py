@@ -124,7 +124,7 @@ def string_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low
     FROM orders GROUP BY 1""")
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).agg(F.count("*"))
+    wide = table(spark, sf_dir, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).agg(F.count("o_orderkey"))
     return wide.select("o_orderstatus", F.coalesce("1-URGENT", F.lit(0)).cast("long").alias("urgent"), F.coalesce("5-LOW", F.lit(0)).cast("long").alias("low"))
 
 

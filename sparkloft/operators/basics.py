@@ -52,9 +52,9 @@ def case_nullif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT p_partkey, p_name FROM part
-    WHERE p_size BETWEEN 10 AND 20 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND p_name LIKE '%widget%'""")
+    WHERE p_size BETWEEN 5 AND 45 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') AND p_name LIKE '%widget%'""")
 def filter_between_in_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = F.col("p_size").between(10, 20) & F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3") & F.col("p_name").like("%widget%")
+    fits = F.col("p_size").between(5, 45) & F.col("p_brand").isin(*(f"Brand#{k}" for k in range(1, 6))) & F.col("p_name").like("%widget%")
     return table(spark, sf_dir, "part").where(fits).select("p_partkey", "p_name")
 
 

@@ -8,7 +8,7 @@ from sparkloft.plans.registry import query
 from sparkloft.sources.tables import fresh_dir, table
 
 #: Options under which a format gives back nulls and empty strings as they were.
-OPTIONS = {"csv": {"header": "true", "nullValue": "\\N", "emptyValue": ""}, "json": {"ignoreNullFields": "false"}, "parquet": {}, "orc": {}}
+OPTIONS = {"csv": {"header": "true", "nullValue": "<null>"}, "json": {"ignoreNullFields": "false"}, "parquet": {}, "orc": {}}
 
 
 def round_trip(df: DataFrame, kind: str) -> DataFrame:

@@ -19,7 +19,7 @@ WAIT_S = 300
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a stream with a watermark. Watermarks need a zoned time; the session's zone is used and taken off again."""
+    """events as a stream with a watermark."""
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
