@@ -5,6 +5,7 @@ from __future__ import annotations
 from sparkloft.llm.decontaminate import op2_decontamination
 from sparkloft.llm.imatch import op4_imatch_fingerprints
 from sparkloft.llm.licenses import op8_license_scan
+from sparkloft.llm.oracle import ORACLE_SQL
 from sparkloft.llm.packing import op6_best_fit_packing
 from sparkloft.llm.quality import op9_quality_classifier
 from sparkloft.llm.secret_scans import op5_secret_scans
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

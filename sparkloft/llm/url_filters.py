@@ -142,4 +142,5 @@ def filter_urls(pages: DataFrame, outcome: Column, rules=RULES, max_bad: float =
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     judged = filter_urls(pages, page_outcome(F.col("url"), F.col("html")))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "bad_rate", "lower", "upper")
+    rates = [F.round(c, 6).alias(c) for c in ("bad_rate", "lower", "upper")]
+    return judged.select("page_id", "host", "path", "rule", "verdict", *rates)

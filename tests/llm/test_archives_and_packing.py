@@ -149,9 +149,10 @@ def test_pipeline(spark, tmp_path):
     base = spark.read.parquet(f"{SMALL}/documents.parquet")
     item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
     clean = [r.text for r in base.where("lang = 'en' and n_chars between 800 and 3000").orderBy("doc_id").limit(3).collect()]
+    junk = base.join(spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 0"), "doc_id").orderBy("doc_id").first().text
     planted = [
         (9001, clean[0] + " Unlike all else this closes it"), (9002, clean[1][:400] + " " + item + " " + clean[2][:400]),
-        (9003, " ".join(reversed(clean[2].split())) + ' token = "abcdef0123456789abcdef0123456789"'), (9004, "zz&&& " * 300),
+        (9003, " ".join(reversed(clean[2].split())) + ' token = "abcdef0123456789abcdef0123456789"'), (9004, junk),
     ]
     rows = [(i, t, "en", "src0", len(t)) for i, t in planted]
     docs = base.unionByName(spark.createDataFrame(rows, base.schema))

@@ -41,7 +41,7 @@ def test_normal_equations_as_whole(spark):
     r = np.random.default_rng(1)
     x, y = r.normal(size=(200, quality.N_STATS)), r.integers(0, 2, 200).astype(float)
     shift, scale = np.zeros(quality.N_STATS), np.ones(quality.N_STATS)
-    rows = spark.createDataFrame([(a.tolist(), b, k % 2) for k, (a, b) in enumerate(zip(x, y))], "stats array<double>, y double, fold int").repartition(7)
+    rows = spark.createDataFrame([(a.tolist(), float(b), k % 2) for k, (a, b) in enumerate(zip(x, y))], "stats array<double>, y double, fold int").repartition(7)
     total = sum(quality.normal_equations(rows, shift, scale, 8).values())
     z = quality.fourier(x, shift, scale, 8)
     assert np.allclose(total, z.T @ np.hstack([z, y[:, None]]))
@@ -77,7 +77,7 @@ def test_toxicity_held_out(spark):
         ("this is not a idiot", "this is an idiot"),
         ("she said idiot", "well then idiot"),
         ("the idiot ran", "you idiot ran"),
-        ("they kill time. you know", "i will kill you"),
+        ("we kill time. you know", "i will kill you"),
         ("an idiot", "an idiot, a moron"),
     ],
 )
