@@ -1,7 +1,7 @@
 """WARC archives and their index.
 
-Pages are written as WARC records by Spark's text writer, as many files as the data needs; equal payloads are stored
-once, as the response of the largest page id, others as revisits that refer to it. Reading takes whole files (of bounded
+Pages are written as WARC records by Spark's text writer, in compressed files, as many as the data needs; equal payloads
+are stored once, as the response of the largest page id, others as revisits that refer to it. Reading takes whole files (of bounded
 size) and follows each record's Content-Length.
 
 Each archive file gives a run of index rows, sorted by URL key and time. Runs are cut at common bounds (a range partition
@@ -16,6 +16,7 @@ tables give empty archives and results.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -68,11 +69,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_recor
             yield pd.DataFrame({"value": out})
 
     records = known.select("page_id", "url", "html", "refers_to").mapInPandas(write, "value string")
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path)
+    records.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse(content: bytes) -> Iterator[dict]:
-    """The records of an archive: headers in lower case, `block`, `at` (offset) and `size` (bytes, with the end)."""
+    """The records of an archive: headers in lower case, `block`, `at` (offset before compression) and `size` (bytes, with
+    the end)."""
     at = 0
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
@@ -103,7 +105,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
                 out = []
-                for r in parse(content):
+                for r in parse(gzip.decompress(content)):
                     revisit = r["warc-type"] == "revisit"
                     mark = r["warc-payload-digest"].removeprefix("sha1:")
                     if not revisit and digest(r["block"]) != mark:
