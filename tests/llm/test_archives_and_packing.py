@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sparkloft.llm import packing, warc
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -146,19 +146,21 @@ def test_sum_of_squares_rule():
 
 def test_pipeline(spark, tmp_path):
     """Stages keep clean documents, act on planted ones, and lose none on the way to packing."""
-    base = spark.read.parquet(f"{SMALL}/documents.parquet")
-    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
-    clean = [r.text for r in base.where("lang = 'en' and n_chars between 800 and 3000").orderBy("doc_id").limit(3).collect()]
-    junk = base.join(spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 0"), "doc_id").orderBy("doc_id").first().text
+    base = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    item = spark.read.parquet(f"{MIDDLE}/benchmark.parquet").first().text
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    good = base.join(labels.where("quality = 1"), "doc_id").where("lang = 'en' and n_chars between 800 and 3000")
+    clean = [r.text for r in good.orderBy("doc_id").limit(3).collect()]
+    junk = base.join(labels.where("quality = 0"), "doc_id").orderBy("doc_id").first().text
     planted = [
         (9001, clean[0] + " Unlike all else this closes it"), (9002, clean[1][:400] + " " + item + " " + clean[2][:400]),
-        (9003, " ".join(reversed(clean[2].split())) + ' token = "abcdef0123456789abcdef0123456789"'), (9004, junk),
+        (9003, ". ".join(clean[1].split(". ")[::2] + clean[2].split(". ")[1::2]) + ' token = "abcdef0123456789abcdef0123456789"'), (9004, junk),
     ]
     rows = [(i, t, "en", "src0", len(t)) for i, t in planted]
     docs = base.unionByName(spark.createDataFrame(rows, base.schema))
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{name}")
+        stage(spark, docs, MIDDLE).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         seen[name] = {r.doc_id: r for r in docs.collect()}
     assert 9004 not in seen["quality"] and {9001, 9002, 9003} <= seen["quality"].keys()
