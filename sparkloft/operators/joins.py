@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sparkloft.plans.registry import query
-from sparkloft.sources.tables import table, views
+from sparkloft.sources.tables import durable, table, views
 
 
 @query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -93,16 +93,15 @@ def cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many suppliers have a larger balance. The condition is an inequality, but only its count is asked for: a
     running count over balances replaces the pairs."""
-    rows = table(spark, sf_dir, "supplier").groupBy("s_acctbal").agg(F.collect_list("s_suppkey").alias("keys"), F.count("*").alias("n"))
-    above = running_count(rows, "s_acctbal", "n")
-    return above.where("above > 0").select(F.explode("keys").alias("low"), "above")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("low"), "s_acctbal")
+    above = running_count(suppliers.groupBy("s_acctbal").agg(F.count("*").alias("n")), "s_acctbal", "n")
+    return suppliers.join(above.where("above > 0"), "s_acctbal").select("low", "above")
 
 
 def running_count(rows: DataFrame, order: str, n: str) -> DataFrame:
     """`above`: the sum of n over rows with a larger `order`. Rows are dealt to ranges; a window runs in each range, and the
     ranges' sums, one row each, are added."""
-    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else ranged
+    ranged = durable(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     parts = ranged.groupBy("_part").agg(F.sum(n).alias("_n"))
     more = parts.alias("p").join(parts.alias("q"), F.col("q._part") > F.col("p._part"), "left").groupBy(F.col("p._part").alias("_part"))
