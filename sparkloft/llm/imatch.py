@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloft.llm.batches import filled
 from sparkloft.sources.tables import durable, table
 
 SLOT_BITS, MIN_DOCS, MAX_SHARE = 26, 2, 0.05
@@ -80,7 +81,7 @@ def lexicon(docs: DataFrame, text: str = "text", bits: int = SLOT_BITS, min_docs
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, n = [], 0, 0
-        for b in batches:
+        for b in filled(batches):
             for t in b["body"]:
                 held.append(np.unique(slots(terms(t), bits)))
                 size += len(held[-1])
@@ -156,7 +157,7 @@ def follow(docs: DataFrame, bitmap: bytes, per_part: int = 4000, bits: int = SLO
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = np.frombuffer(shared.value, np.uint8)
         last = None
-        for b in batches:
+        for b in filled(batches):
             out = []
             for key, body, range_, tail in zip(b["doc_id"], b["body"], b["part"], b["tail"]):
                 mine = signatures(terms(body), known, bits)

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloft.llm.batches import filled
 from sparkloft.sources.tables import table
 
 #: Public notices by family.
@@ -146,7 +147,7 @@ def scan_licenses(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", te
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             out = []
             for key, body in zip(b["doc_id"], b["body"]):
                 for k, line in enumerate(body.split("\n")):

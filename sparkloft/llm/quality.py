@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sparkloft.llm.batches import filled
 from sparkloft.sources.tables import durable, table
 
 FEATURES, BANDWIDTH, RIDGE, BINS, SEED = 192, 4.0, 1e-3, 512, 7
@@ -64,7 +65,7 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """doc_id and stats (array of doubles) of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             yield pd.DataFrame({"doc_id": b["doc_id"], "stats": [[float(x) for x in doc_stats(t or "")] for t in b["body"]]})
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
@@ -88,7 +89,7 @@ def normal_equations(rows: DataFrame, shift: np.ndarray, scale: np.ndarray, feat
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
-        for b in batches:
+        for b in filled(batches):
             z = fourier(np.vstack(b["stats"]), shift, scale, features)
             zy = np.hstack([z, b["y"].to_numpy()[:, None]])
             for fold in b["fold"].unique():
@@ -153,7 +154,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES) -> Model
     others = {fold: ridge(total - eq[fold] if len(eq) > 1 else total) for fold in eq}
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             z = fourier(np.vstack(b["stats"]), shift, scale, features)
             raw = np.zeros(len(b))
             for fold, w in others.items():
@@ -172,7 +173,7 @@ def score(stats: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score (0 to 1) of every row of statistics."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             found = model.score(np.vstack(b["stats"])) if model and len(b) else 0.5
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": found})
 

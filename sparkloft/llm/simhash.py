@@ -27,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloft.llm.batches import filled
 from sparkloft.llm.components import components
 from sparkloft.sources.tables import durable, table
 
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 4, length: int = 1, doc_id: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [fingerprint(shingle_hashes(t, words), length) for t in b["body"]]})
 
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp binary")
@@ -113,7 +114,7 @@ def links(nodes: DataFrame, segments: int, width: int, max_bits: int, bucket: in
     """nodes: id (XXH64 of fp), fp, each once. Links a, b (ids) that connect all fingerprints at most max_bits apart."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             for at in range(0, len(b), 2000):
                 c = b[at : at + 2000]
                 per = segments * (width + 1)
@@ -129,7 +130,7 @@ def links(nodes: DataFrame, segments: int, width: int, max_bits: int, bucket: in
     lists = cells.join(nodes, "id").groupBy("key", "i", "j").agg(F.collect_list("fp").alias("fps"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             a, z = [], []
             for fps in b["fps"]:
                 fps = list(fps)

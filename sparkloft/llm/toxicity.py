@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloft.llm.batches import filled
 from sparkloft.llm.quality import held_out
 from sparkloft.sources.tables import durable, table
 
@@ -106,7 +107,8 @@ class Grammar:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """At most `most` labelled texts, as body and y, in the order of a hash of the id."""
     sample = labels.where("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    return docs.join(sample.select("doc_id", F.col("y").cast("int").alias("y")), "doc_id").select("body", "y")
+    sample = F.broadcast(sample.select("doc_id", F.col("y").cast("int").alias("y")))  # at most `most` rows of two numbers
+    return docs.join(sample, "doc_id").select("body", "y")
 
 
 def _sketch(words: set[str]) -> str:
@@ -125,12 +127,12 @@ def learn(rows: DataFrame) -> Grammar:
     """rows: body, y. The seed list and the terms that labels teach."""
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             yield b.assign(sketch=[_sketch(set(_WORD.findall(t.lower()))) for t in b["body"]])
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = (Counter(), Counter())
-        for b in batches:
+        for b in filled(batches):
             for text, y in zip(b["body"], b["y"]):
                 words = set(_WORD.findall(text.lower()))
                 counts[y].update({f"{w} " for w in words} | {w[:n] for w in words for n in PREFIXES if n < len(w)})
@@ -183,14 +185,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
     grammar = learn(train)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             yield pd.DataFrame({"x": [grammar.features(t) for t in b["body"]], "y": b["y"]})
 
     seen = train.mapInPandas(features, "x array<double>, y int").toPandas()  # at most max_labels rows of five numbers
     weights = fit_logistic(np.vstack(seen["x"]), seen["y"].to_numpy(float)) if seen["y"].nunique() > 1 else np.array([-3, 1.0, 0.5, 0.5, 0.5])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             x = np.array([grammar.features(t) for t in b["body"]]).reshape(len(b), 5)
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": p, "clauses": np.rint(np.expm1(x[:, 3])).astype(int), "worst": x[:, 1]})

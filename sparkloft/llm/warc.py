@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from sparkloft.llm.batches import filled
 from sparkloft.sources.tables import durable, fresh_dir, table
 
 FILE_RECORDS = 5000
@@ -61,7 +62,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_recor
     known = rows.withColumn("sha", F.sha1("html")).join(refers.withColumnRenamed("page_id", "p"), (F.col("page_id") == F.col("p")) & (F.col("sha") == F.col("of")), "left")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             out = []
             for page_id, url, html, refers_to in zip(b["page_id"], b["url"], b["html"], b["refers_to"]):
                 payload = html.encode("utf-8")
@@ -102,7 +103,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filled(batches):
             for name, content in zip(b["path"], b["content"]):
                 out = []
                 for r in parse(gzip.decompress(content)):
@@ -164,7 +165,7 @@ def merge_runs(runs: DataFrame, range_rows: int = 100_000) -> DataFrame:
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_run: dict[str, list[tuple]] = {}
-        for b in batches:
+        for b in filled(batches):
             for row in b[[*order, *(n for n in names if n not in order)]].itertuples(index=False):
                 by_run.setdefault(row.run, []).append(tuple(row))
         out = pd.DataFrame(loser_tree([_Rows(v, len(order)) for v in by_run.values()]), columns=[*order, *(n for n in names if n not in order)])
