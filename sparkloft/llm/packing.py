@@ -5,8 +5,8 @@ over residual gaps of the squared number of open bins becomes smallest (a new bi
 never cross a shuffle on the way. Pieces are placed in rounds of at most ROUND tokens, long ones first; bins stay open
 from round to round, so memory is bounded by a round and the open bins' counts.
 
-What a task leaves in bins that are not full is a small rest. Its pieces alone are brought together, a bounded number
-for each group, and packed once more; only these rows are shuffled.
+What a task leaves in bins that are not full is a small rest. The lengths of its pieces alone are brought together, a
+bounded number for each group, and packed once more; the new places are joined to the pieces. Only these rows are shuffled.
 
 Defined results: null text counts as empty and makes one piece, the end mark. Repeated rows are packed each. An empty
 table gives no piece. Only the named columns are read.
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloft.sources.tables import durable, fresh_dir, table
+from sparkloft.sources.tables import fresh_dir, table
 
 LENGTH, END = 1024, 2
 #: Tokens held at once by a task; pieces of one group of the last step.
-ROUND, GROUP = 2_000_000, 20_000
+ROUND, GROUP = 2_000_000, 40_000
 
 
 class Bins:
@@ -118,7 +118,6 @@ def encoder(path: str, ranks: str | None = None) -> Callable[[str], list[int]]:
 
 
 PIECES = "doc_id {}, piece int, start long, length long, ids array<int>, sequence_id long, offset long, open boolean"
-REST = "doc_id {}, piece int, start long, length long, ids array<int>, sequence_id long, offset long"
 
 
 def pack(
@@ -172,13 +171,14 @@ def pack(
     part = F.pmod(F.xxhash64("doc_id", "piece", "sequence_id"), F.lit(groups))
 
     def again(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True], ignore_index=True)
-        base_ = (1 << 62) + (int(b["part"].iloc[0]) << 33)
+        b = b.sort_values(["length", "was", "at"], ascending=[False, True, True], ignore_index=True)
         names, offsets = repack(b["length"].to_numpy(), size)
-        return b.drop(columns="part").assign(sequence_id=base_ + names, offset=offsets)
+        return b[["was", "at"]].assign(sequence_id=(1 << 62) + (int(b["part"].iloc[0]) << 33) + names, offset=offsets)
 
-    mended = rest.withColumn("part", part).groupBy("part").applyInPandas(again, REST.format(kind))
-    return packed.where("not open").drop("open").unionByName(mended)
+    lengths = rest.select(F.col("sequence_id").alias("was"), F.col("offset").alias("at"), "length", part.alias("part"))
+    places = lengths.groupBy("part").applyInPandas(again, "was long, at long, sequence_id long, offset long")
+    rest = rest.withColumnsRenamed({"sequence_id": "was", "offset": "at"}).join(places, ["was", "at"]).drop("was", "at")
+    return packed.where("not open").drop("open").unionByName(rest)
 
 
 def _types(id_type: pa.DataType, with_open: bool) -> list[tuple[str, pa.DataType]]:
