@@ -141,7 +141,8 @@ def learn(rows: DataFrame) -> Grammar:
                     yield pd.DataFrame({"term": list(counts[y]), "y": y, "n": list(counts[y].values())})
                     counts[y].clear()
         for y in (0, 1):
-            yield pd.DataFrame({"term": list(counts[y]), "y": y, "n": list(counts[y].values())})
+            if counts[y]:
+                yield pd.DataFrame({"term": list(counts[y]), "y": y, "n": list(counts[y].values())})
 
     kept = rows.mapInPandas(sketches, "body string, y int, sketch string").groupBy("sketch", "y")
     kept = durable(kept.agg(F.min("body").alias("body")).select("body", "y"))
