@@ -39,10 +39,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id. If several rows
-    have that id, one of them."""
+    have that id, one of them. Rows without an id can't be told apart and stay."""
     groups = durable(simhash.similar_groups(docs).where("doc_id = component_id").select("doc_id"))
     kept = docs.join(groups.distinct(), "doc_id", "left_semi")
-    return kept if groups.count() == groups.distinct().count() else kept.dropDuplicates(["doc_id"])
+    kept = kept if groups.count() == groups.distinct().count() else kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
