@@ -137,15 +137,26 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(seen, bought, ["user_id"], "seen", "bought", "6 hours").select("view_id", "buy_id")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """For every left row the latest right `value` of its key at or before its `ts`; null if none. Both are merged and one
-    window per key carries the last value on, so work does not grow with pairs. Of right rows at one time the
-    largest value counts; a right row at the same time as a left row counts for it."""
-    names = left.columns
-    both = left.withColumns({"_side": F.lit(1), "_value": F.lit(None)}).unionByName(
-        right.select(key, ts, F.lit(0).alias("_side"), F.col(value).alias("_value")), allowMissingColumns=True)
-    carried = Window.partitionBy(key).orderBy(ts, "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_value", ignorenulls=True).over(carried)).where("_side = 1").select(*names, value)
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, bin_width: str = "1 day") -> DataFrame:
+    """For every left row the latest right `value` of its key at or before its `ts`; null if none. Of right rows at one time
+    the largest value counts; a right row at the same time as a left row counts for it. Null keys and values on the right
+    meet nothing.
+
+    Both sides are merged and a window carries the last value on, so work does not grow with pairs. The window is of a key
+    and a bin of time, so a key with a third of all rows is split; what a bin inherits comes from one row for each bin.
+    """
+    names, micros = left.columns, _seconds(bin_width) * 1_000_000
+    known = right.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, ts, F.lit(0).alias("_side"), F.col(value).alias("_value"))
+    both = left.withColumns({"_side": F.lit(1), "_value": F.lit(None)}).unionByName(known, allowMissingColumns=True)
+    both = both.withColumn("_bin", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(micros)))
+    order = F.when(F.col("_value").isNotNull(), F.struct(ts, "_value"))
+    ends = both.groupBy(key, "_bin").agg(F.max_by("_value", order).alias("_end"))
+    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(key).alias("_key"), F.col("_bin").alias("_of"), F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    inside = Window.partitionBy(key, "_bin").orderBy(ts, "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("_last", F.last("_value", ignorenulls=True).over(inside)).where("_side = 1")
+    joined = carried.join(ends, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bin").eqNullSafe(F.col("_of")), "left")
+    return joined.select(*names, F.coalesce("_last", "_before").alias(value))
 
 
 @query("""

@@ -29,6 +29,10 @@ def test_as_of_ties_and_nulls(spark):
     right = spark.createDataFrame([("a", at(5), 7), ("a", at(5), 9), ("a", at(11), 8)], "k string, ts timestamp_ntz, v long")
     assert {r.id: r.v for r in as_of(left, right, "k", "ts", "v").collect()} == {1: 9, 2: 9, 3: None, 4: 9}
     assert as_of(left.limit(0), right, "k", "ts", "v").count() == 0
+    odd = spark.createDataFrame([(5, None, at(9)), (6, "a", None), (7, "a", at(4000)), (8, "a", at(9))], left.schema)
+    more = right.unionByName(spark.createDataFrame([(None, at(1), 1), ("a", at(8), None), ("a", None, 3)], right.schema))
+    got = {r.id: r.v for r in as_of(odd, more, "k", "ts", "v").collect()}
+    assert got[5] is None and got[7] == 8 and got[8] == 9
 
 
 def test_range_join_bounds(spark):
