@@ -31,13 +31,14 @@ UNITS = (
     "percent degree degrees dollar dollars cent cents euro euros usd eur mph kmh hz khz mhz ghz w kw mw v kv a j kj cal kcal"
 ).split()
 NUMBER, UNIT, NAME, BEGIN = "<number>", "<unit>", "<name>", "\x02"
+SENTENCE_END = r"""(?:[.!?:;]+['")*&#$%]*[ \x09-\x0D]+|\n)[ \x09-\x0D]*"""
+TOKEN = rf"{BEGIN}?(?:[0-9]+(?:[.,][0-9]+)*[\p{{L}}\p{{N}}]*|[\p{{L}}\p{{N}}]+)"
 
 
 def tokens(text: Column) -> Column:
     """Words as written, without marks; the first of a sentence has a mark before it."""
-    begun = F.concat(F.lit(BEGIN), F.regexp_replace(text, r"(?:[.!?:;]+['\")*&#$%]*\s+|\n)\s*", " " + BEGIN))
-    bare = F.regexp_replace(begun, rf"[^\p{{L}}\p{{N}}{BEGIN}.,]+|[.,](?![0-9])|(?<![0-9])[.,]", " ")
-    return F.filter(F.split(bare, f"[ {BEGIN}]* |{BEGIN}+$"), lambda t: t != "")
+    begun = F.concat(F.lit(BEGIN), F.regexp_replace(text, SENTENCE_END, " " + BEGIN))
+    return F.regexp_extract_all(begun, F.lit(TOKEN), F.lit(0))
 
 
 def template(words: Column) -> Column:
@@ -141,7 +142,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame
     share = F.col("windows") / F.col("item_windows")
     leak = F.col("consistent") & ((F.col("windows") >= LEAK_WINDOWS) | (share >= LEAK_SHARE))
     kind = F.when(~F.col("consistent"), "inconsistent").when(F.col("varied") > 0, "reparameterised").otherwise("verbatim")
-    return best.select("doc_id", "item_id", "windows", "item_windows", share.alias("share"), "slots", "varied",
+    return best.select("doc_id", "item_id", "windows", "item_windows", share.alias("share"), F.col("slots").cast("long").alias("slots"), F.col("varied").cast("long").alias("varied"),
                        kind.alias("kind"), leak.alias("contaminated"))
 
 
