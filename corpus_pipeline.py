@@ -12,21 +12,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkloft.llm import decontaminate, packing, quality, secret_scans, simhash
 from sparkloft.sources.tables import durable, fresh_dir, table
 
-#: Lists of documents of at most so many rows are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Lists of ids of at most so many rows (of 8 bytes), and lists of findings, are broadcast; longer ones are joined by shuffle.
+BROADCAST_IDS, BROADCAST_FINDINGS = 2_000_000, 200_000
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
+def _bounded(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """The rows in the shared folder, marked for broadcast if their counted number allows it."""
     rows = durable(rows)
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on all labels, does not reject. It scores texts where they are read; only
-    the statistics of labelled documents are joined with labels."""
+    the statistics of labelled documents are joined with labels. The ids of labels are broadcast to pick those documents;
+    where they are too many for that, statistics are made of all."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
-    model = quality.fit(durable(quality.statistics(docs)), labels)
+    ids = durable(labels.select("doc_id").distinct())
+    labelled = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
+    model = quality.fit(durable(quality.statistics(labelled)), labels)
     if model is None:
         return docs
 
@@ -40,10 +43,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id. If several rows
     have that id, one of them. Rows without an id can't be told apart and stay."""
-    groups = durable(simhash.similar_groups(docs).where("doc_id = component_id").select("doc_id"))
-    kept = docs.join(groups.distinct(), "doc_id", "left_semi")
-    kept = kept if groups.count() == groups.distinct().count() else kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    groups = durable(simhash.similar_groups(docs).where("doc_id is not null"))
+    if groups.count() == groups.select("doc_id").distinct().count():
+        return docs.join(_bounded(groups.where("doc_id != component_id").select("doc_id")), "doc_id", "left_anti")
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = found.where(F.size("spans") > 0).select(F.col("path").alias("_path"), F.col("blob").alias("_blob"), "spans").distinct()
     columns = docs.columns
     same = F.col("doc_id").eqNullSafe(F.col("_path")) & (F.sha2("text", 256) == F.col("_blob"))
-    joined = docs.join(_bounded(found), same, "left")
+    joined = docs.join(_bounded(found, BROADCAST_FINDINGS), same, "left")
     spans = F.coalesce("spans", F.array().cast(secret_scans.SPANS))
     clean = joined.withColumn("text", secret_scans.redact(F.col("text"), spans))
     return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(columns)

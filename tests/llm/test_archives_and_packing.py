@@ -170,6 +170,19 @@ def test_pipeline(spark, tmp_path):
     assert seen["secrets"].keys() == seen["decontamination"].keys() == seen["packing"].keys()
 
 
+def test_stages_with_repeated_and_null_ids(spark, tmp_path):
+    """Repeated rows count as copies; rows without an id stay; texts may be null."""
+    base = spark.read.parquet(f"{SMALL}/documents.parquet")
+    text = " ".join(f"word{k}" for k in range(100))
+    rows = [(9001, text), (9001, text), (9001, "another text altogether"), (9000, "another text altogether"), (None, text), (9002, None), (9003, "")]
+    given = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], base.schema)
+    got = corpus_pipeline.near_dedup_stage(spark, given, SMALL).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [9000, 9001, 9002] and sum(r.doc_id is None for r in got) == 1
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        assert stage(spark, given, SMALL).count() >= len(rows)
+    assert corpus_pipeline.quality_stage(spark, given.unionByName(base), SMALL).count() > 0
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
