@@ -73,7 +73,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     path = public_tokenizers.path
-    return packing.crc_of_ids(packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken")))
+    return packing.with_digest(packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken")))
 
 
 STAGES = [

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -24,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloft.sources.tables import fresh_dir, table
 
@@ -117,14 +116,15 @@ def encoder(path: str, ranks: str | None = None) -> Callable[[str], list[int]]:
     return lambda text: fast.encode_ordinary(text) if plain.fullmatch(text) and "<|" not in text else full(text)
 
 
-PIECES = "doc_id {}, piece int, start long, length long, ids array<int>, sequence_id long, offset long, open boolean"
+PIECES = "doc_id {}, piece int, start long, length long, ids binary, sequence_id long, offset long, open boolean"
 
 
 def pack(
     docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, size: int = LENGTH, end: int = END,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids, sequence_id, offset of every piece. Tokenised pieces stay in the shared folder."""
+    """doc_id, piece, start, length, ids (little-endian 32-bit numbers; `token_ids` reads them), sequence_id, offset of every
+    piece. Tokenised pieces stay in the shared folder."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -146,14 +146,13 @@ def pack(
             for name in [k for k in loose if last or k not in still]:
                 done += [(*p, name in still) for p in loose.pop(name)]
             for at in range(0, len(done), 1000):
-                yield batch(done[at : at + 1000], types)
+                yield batch(done[at : at + 1000], id_type)
 
         id_type = None
         for b in batches:
             id_type = b.schema.field(0).type
-            types = _types(id_type, True)
             for key, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.array(encode(body) + [end], np.int32)
+                ids = np.array(encode(body) + [end], "<u4")
                 held += [(key, k, at, n, ids[at : at + n]) for k, (at, n) in enumerate(cut(len(ids), size))]
                 tokens += len(ids)
                 if tokens >= ROUND:
@@ -164,7 +163,9 @@ def pack(
 
     packed = rows.mapInArrow(run, PIECES.format(kind))
     path = fresh_dir(spark, "pieces")
-    packed.write.option("parquet.block.size", 32 << 20).parquet(path)  # a writer holds a block in memory
+    # a writer holds a block in memory; ids have few values but no piece repeats
+    options = {"parquet.block.size": 32 << 20, "parquet.enable.dictionary#ids": "false", "compression": "zstd"}
+    packed.write.options(**options).parquet(path)
     packed = spark.read.schema(PIECES.format(kind)).parquet(path)
     rest = packed.where("open").drop("open")
     groups = max(1, rest.count() // GROUP)
@@ -181,34 +182,26 @@ def pack(
     return packed.where("not open").drop("open").unionByName(rest)
 
 
-def _types(id_type: pa.DataType, with_open: bool) -> list[tuple[str, pa.DataType]]:
-    named = [("doc_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-             ("ids", pa.list_(pa.int32())), ("sequence_id", pa.int64()), ("offset", pa.int64())]
-    return named + [("open", pa.bool_())] * with_open
+def batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    kinds = (id_type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+    names = ("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset", "open")
+    columns = [list(c) for c in zip(*rows)]
+    columns[4] = [ids.tobytes() for ids in columns[4]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def batch(rows: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    ids = columns[4]
-    flat = pa.array(np.concatenate(ids))
-    ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-    arrays = [pa.ListArray.from_arrays(ends, flat) if name == "ids" else pa.array(c, t) for c, (name, t) in zip(columns, types)]
-    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in types])
+def token_ids(ids: Column) -> Column:
+    """The ids of a piece as an array of numbers."""
 
+    def read(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: np.frombuffer(x, "<u4").astype(np.int32))
 
-def crc_of_ids(pieces: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32, of their ids as unsigned little-endian 32-bit numbers, in place of the ids."""
-    named = [f for f in pieces.schema.fields if f.name != "ids"]
+    return F.pandas_udf(read, "array<int>")(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids")
-            raw, ends = np.ascontiguousarray(ids.values.to_numpy(), dtype="<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(raw[a:z]) for a, z in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in named), pa.array(crc, pa.int64())], names=[*(f.name for f in named), "ids_crc32"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named) + ", ids_crc32 long"
-    return pieces.mapInArrow(run, schema)
+def with_digest(pieces: DataFrame) -> DataFrame:
+    """The pieces with ids_crc32, of their ids as unsigned little-endian 32-bit numbers, in place of the ids."""
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,4 +209,4 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path
     pieces = pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
-    return crc_of_ids(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return with_digest(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -106,8 +106,10 @@ def test_packing_query(spark):
 def test_packing_odd_rows(spark):
     docs = {1: None, 2: "", 3: "<|endoftext|> and <|", 4: "日本語 текст     ­", 5: "ab " * 40_000, 6: "a" * 5000, 7: "😀 don't 123 \n\n\t x"}
     given = spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumns({"piece": F.lit(1), "ids": F.lit(2)})
-    check_packing(docs, packing.crc_of_ids(packing.pack(given, JSON, RANKS)).collect(), 0.5)
+    check_packing(docs, packing.with_digest(packing.pack(given, JSON, RANKS)).collect(), 0.5)
     assert packing.pack(given.limit(0), JSON, RANKS).count() == 0
+    whole = packing.pack(given.where("doc_id = 7"), JSON, RANKS).select(packing.token_ids(F.col("ids")).alias("ids")).first().ids
+    assert whole == Tokenizer.from_file(JSON).encode(docs[7], add_special_tokens=False).ids + [2]
     assert packing.pack(given.where("doc_id = 2").unionAll(given.where("doc_id = 2")), JSON).count() == 2
 
 
