@@ -111,7 +111,8 @@ def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def links(nodes: DataFrame, segments: int, width: int, max_bits: int, bucket: int = BUCKET) -> DataFrame:
-    """nodes: id (XXH64 of fp), fp, each once. Links a, b (ids) that connect all fingerprints at most max_bits apart."""
+    """nodes: fp, each once, and a short number `n`. Links a, b (XXH64 of fp) that connect all fingerprints at most max_bits
+    apart. Table entries hold keys and the short numbers alone; fingerprints are joined to what meets."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filled(batches):
@@ -119,15 +120,15 @@ def links(nodes: DataFrame, segments: int, width: int, max_bits: int, bucket: in
                 c = b[at : at + 2000]
                 per = segments * (width + 1)
                 found = np.fromiter((k for fp in c["fp"] for k in ball_keys(fp, segments, width)), np.int64, per * len(c))
-                yield pd.DataFrame({"key": found, "id": np.repeat(c["id"].to_numpy(), per)})
+                yield pd.DataFrame({"key": found, "n": np.repeat(c["n"].to_numpy(), per)})
 
-    rows = nodes.mapInPandas(keys, "key long, id long")
-    counted = rows.selectExpr("key", "id", "count(*) over (partition by key) as n").where("n > 1")
-    blocks = F.ceil(F.col("n") / bucket).cast("int")
-    mine, other = F.pmod(F.xxhash64("id"), blocks).cast("int"), F.col("other")
+    rows = nodes.mapInPandas(keys, "key long, n long")
+    counted = rows.selectExpr("key", "n", "count(*) over (partition by key) as members").where("members > 1")
+    blocks = F.ceil(F.col("members") / bucket).cast("int")
+    mine, other = F.pmod(F.xxhash64("n"), blocks).cast("int"), F.col("other")
     cells = counted.withColumn("blocks", blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("id", "key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
-    lists = cells.join(nodes, "id").groupBy("key", "i", "j").agg(F.collect_list("fp").alias("fps"))
+    cells = cells.select("n", "key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
+    lists = cells.join(nodes.select("n", "fp"), "n").groupBy("key", "i", "j").agg(F.collect_list("fp").alias("fps"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filled(batches):
@@ -152,8 +153,9 @@ def _id(fp: bytes) -> int:
 def near_duplicates(fps: DataFrame, segments: int = 2, width: int = 32, max_bits: int = 4) -> DataFrame:
     """fps: doc_id, fp (kept in the shared folder by the caller). The rows with component_id, the smallest doc_id
     reachable over links."""
-    nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("id", F.xxhash64("fp")))
-    found = components(links(nodes.select("id", "fp"), segments, width, max_bits))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = durable(nodes.withColumns({"id": F.xxhash64("fp"), "n": F.monotonically_increasing_id()}))
+    found = components(links(nodes.select("fp", "n"), segments, width, max_bits))
     named = nodes.join(found, "id")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = named.join(least, "root").select("fp", "component_id")
