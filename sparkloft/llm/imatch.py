@@ -18,17 +18,18 @@ their texts. Documents without an id have no place in the order; `follow` leaves
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloft.llm.batches import filled
 from sparkloft.sources.tables import durable, table
 
-SLOT_BITS, MIN_DOCS, MAX_SHARE = 26, 2, 0.05
+SLOT_BITS, MIN_DOCS, MAX_SHARE, MAX_RANGES = 26, 2, 0.05, 40_000
 #: Chance of a lexicon term to be in each subset; the first is the whole lexicon.
 RATES = (1.0, *(2.0**-k for k in range(1, 12) for _ in range(4)))
 #: Small subsets say more: theirs is the larger weight in the likeness.
@@ -128,6 +129,18 @@ def fingerprints(docs: DataFrame, bitmap: bytes, text: str = "text", bits: int =
     return docs.withColumn("fingerprint", of(F.coalesce(F.col(text), F.lit(""))))
 
 
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at most the key: first among every so manieth, then among those between."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, round(len(cuts) ** 0.5))
+    blocks = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    firsts = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<bigint>")
+    inner = F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>")
+    k = F.size(F.filter(firsts, lambda c: c <= key))
+    return F.when(k == 0, 0).otherwise((k - 1) * step + F.size(F.filter(F.try_element_at(inner, F.greatest(k, F.lit(1))), lambda c: c <= key)))
+
+
 def follow(docs: DataFrame, bitmap: bytes, per_part: int = 4000, bits: int = SLOT_BITS) -> DataFrame:
     """docs: doc_id, body. Each document's fingerprint, that of its text with the last quarter replaced by the start of
     the next document (by id), and the likeness to it and to the next document.
@@ -137,19 +150,20 @@ def follow(docs: DataFrame, bitmap: bytes, per_part: int = 4000, bits: int = SLO
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null")
     ids = docs.select("doc_id")
-    parts = max(1, min(4000, ids.count() // per_part))
-    cuts = ids.stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = docs.withColumn("part", part)
+    n = ids.count()
+    parts = max(1, min(MAX_RANGES, n // per_part))
+    drawn = ids.sample(fraction=min(1.0, 50 * parts / n), seed=1) if parts > 1 else ids.limit(0)  # bounds of ranges only
+    drawn = np.sort(drawn.toPandas()["doc_id"].to_numpy(np.int64))
+    cuts = sorted({int(drawn[len(drawn) * k // parts]) for k in range(1, parts)}) if len(drawn) else []
+    dealt = docs.withColumn("part", range_of(F.col("doc_id"), cuts))
     heads = dealt.select("doc_id", "part").groupBy("part").agg(F.min("doc_id").alias("head"))
-    found = sorted((r["part"], r["head"]) for r in heads.collect())  # one row per range, at most 4000
+    found = sorted((r["part"], r["head"]) for r in heads.collect())  # one row per range
     if not found:
         return spark.createDataFrame([], FOLLOWED)
-    before = {head: found[k - 1][0] for k, (_, head) in enumerate(found)}
-    send = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    firsts = docs.where(F.col("doc_id").isin(*before)).groupBy("doc_id").agg(F.min_by("body", F.xxhash64("body")).alias("body"))
-    tails = firsts.select("doc_id", "body", send[F.col("doc_id")].alias("part"), F.lit(1).alias("tail"))
+    before = spark.createDataFrame([(head, found[k - 1][0]) for k, (_, head) in enumerate(found)], "head long, before int")
+    firsts = docs.join(F.broadcast(before), F.col("doc_id") == F.col("head"))  # at most MAX_RANGES rows
+    firsts = firsts.groupBy("doc_id").agg(F.min_by("body", F.xxhash64("body")).alias("body"), F.first("before").alias("part"))
+    tails = firsts.withColumn("tail", F.lit(1))
     both = dealt.select("doc_id", "body", "part", F.lit(0).alias("tail")).unionByName(tails)
     laid = both.repartition(parts, "part").sortWithinPartitions("part", "tail", "doc_id", F.xxhash64("body"))
     shared = spark.sparkContext.broadcast(bitmap)

@@ -137,6 +137,12 @@ def test_imatch_in_ranges(spark):
     assert imatch.follow(given.limit(0), bitmap, bits=17).count() == 0
 
 
+def test_ranges(spark):
+    for cuts in ([], [5], [-3, 0, 7, 8, 100], list(range(0, 500, 7))):
+        got = spark.range(-10, 520).select("id", imatch.range_of(F.col("id"), cuts).alias("part")).collect()
+        assert all(r.part == sum(c <= r.id for c in cuts) for r in got)
+
+
 def test_lexicon_is_the_band(spark):
     docs = spark.createDataFrame([(k, f"every w{k % 3} own{k}") for k in range(30)], "doc_id long, text string")
     marks = np.frombuffer(imatch.lexicon(docs, bits=26, max_share=0.5), np.uint8)
