@@ -3,7 +3,8 @@
 A fingerprint has 64 bits, or several words of 64. Two texts are linked if their fingerprints differ in at most
 `max_bits` bits. Fingerprints are cut into segments; each is entered in the table of every segment under all values in
 the Hamming ball of radius 1 around its own, so two that differ in at most 2 bits of a segment meet in that table, at a
-value between them. What meets in a table is verified by the complete distance.
+value between them. Entries are shuffled by the table and the high bits of the value; the ball of the low bits is enumerated
+after the shuffle. What meets in a table is verified by the complete distance.
 
 With two segments and `max_bits` 4 one segment always differs in at most 2 bits, so no link is lost. For looser
 links (`similarity`), the number of segments and their width follow from the number of fingerprints, the similarity
@@ -84,15 +85,23 @@ def plan(n: int, similarity: float, missed: float = 0.1) -> tuple[int, int, int,
     return segments, width, length, round(apart * 64 * length)
 
 
-def ball_keys(fp: bytes, segments: int, width: int) -> list[int]:
-    """Table and value, as one number, for all values within one bit of each segment."""
+def split(width: int) -> tuple[int, int]:
+    """High bits of a segment, by which entries are shuffled, and low bits, whose ball is enumerated after the shuffle."""
+    high = min(10, width // 2)
+    return high, width - high
+
+
+def entries(fp: bytes, segments: int, width: int) -> list[tuple[int, int]]:
+    """Cell (table and high bits) and low bits of each segment, twice, plus 1 if the low bits' ball is still to be
+    enumerated; and the same low bits in the cells one high bit apart."""
     whole, total = int.from_bytes(fp, "big"), 8 * len(fp)
+    high, low = split(width)
     out = []
     for s in range(segments):
         value = whole >> (total - (s + 1) * width) & ((1 << width) - 1)
-        base = s << 48
-        out.append(base | value)
-        out += [base | value ^ (1 << k) for k in range(width)]
+        cell, rest = s << high | value >> low, (value & ((1 << low) - 1)) << 1
+        out.append((cell, rest | 1))
+        out += [(cell ^ (1 << k), rest) for k in range(high)]
     return out
 
 
@@ -118,17 +127,19 @@ def links(nodes: DataFrame, segments: int, width: int, max_bits: int, bucket: in
         for b in filled(batches):
             for at in range(0, len(b), 2000):
                 c = b[at : at + 2000]
-                per = segments * (width + 1)
-                found = np.fromiter((k for fp in c["fp"] for k in ball_keys(fp, segments, width)), np.int64, per * len(c))
-                yield pd.DataFrame({"key": found, "n": np.repeat(c["n"].to_numpy(), per)})
-
-    rows = nodes.mapInPandas(keys, "key long, n long")
-    counted = rows.selectExpr("key", "n", "count(*) over (partition by key) as members").where("members > 1")
+                found = np.array([e for fp in c["fp"] for e in entries(fp, segments, width)])
+                yield pd.DataFrame({"cell": found[:, 0], "low": found[:, 1], "n": np.repeat(c["n"].to_numpy(), len(found) // len(c))})
+
+    low = F.shiftright("low", 1)
+    ball = F.array(low, *[low.bitwiseXOR(F.lit(1 << k)) for k in range(split(width)[1])])
+    spread = F.explode(F.when(F.col("low") % 2 == 1, ball).otherwise(F.array(low)))
+    rows = nodes.mapInPandas(keys, "cell long, low long, n long").repartition("cell").select("cell", spread.alias("low"), "n")
+    counted = rows.selectExpr("cell", "low", "n", "count(*) over (partition by cell, low) as members").where("members > 1")
     blocks = F.ceil(F.col("members") / bucket).cast("int")
     mine, other = F.pmod(F.xxhash64("n"), blocks).cast("int"), F.col("other")
     cells = counted.withColumn("blocks", blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("n", "key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
-    lists = cells.join(nodes.select("n", "fp"), "n").groupBy("key", "i", "j").agg(F.collect_list("fp").alias("fps"))
+    cells = cells.select("n", "cell", "low", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
+    lists = cells.join(nodes.select("n", "fp"), "n").groupBy("cell", "low", "i", "j").agg(F.collect_list("fp").alias("fps"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filled(batches):
