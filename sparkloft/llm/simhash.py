@@ -8,7 +8,8 @@ after the shuffle. What meets in a table is verified by the complete distance.
 
 With two segments and `max_bits` 4 one segment always differs in at most 2 bits, so no link is lost. For looser
 links (`similarity`), the number of segments and their width follow from the number of fingerprints, the similarity
-and the share of links that may be missed; see `plan`.
+and the share of links that may be missed; see `plan`. There fingerprints are of distinct shingles and only give candidates:
+within each loose group all pairs are compared by the exact Jaccard similarity of their shingle sets.
 
 Equal fingerprints count once. In a table's bucket only a spanning forest of the links is kept, not all pairs; a bucket of
 more than BUCKET members is cut into blocks and every pair of blocks is searched, so memory is bounded and no link is lost.
@@ -21,7 +22,7 @@ tables give empty results. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,10 @@ from sparkloft.llm.components import components
 from sparkloft.sources.tables import durable, table
 
 BUCKET = 2048
+#: Shingles of a block of a loose group (8 bytes each); lists of sets of at most so many rows are broadcast.
+BLOCK, BROADCAST_SETS = 250_000, 500_000
+#: Standard errors above the mean distance at which a pair of fingerprints is still a candidate.
+MARGIN = 5
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -72,9 +77,9 @@ def fingerprints(docs: DataFrame, words: int = 4, length: int = 1, doc_id: str =
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp binary")
 
 
-def plan(n: int, similarity: float, missed: float = 0.1) -> tuple[int, int, int, int]:
-    """Segments, their width, 64-bit words and largest distance for links of at least this Jaccard similarity among n
-    fingerprints. Width grows with log2(n), so that chance meetings in a table stay rare; the number of segments follows
+def plan(n: int, similarity: float, missed: float = 0.01) -> tuple[int, int, int, int]:
+    """Segments, their width, 64-bit words and largest distance for candidates of at least this Jaccard similarity among n
+    fingerprints; the distance is MARGIN standard errors above its mean for pairs just similar enough. Width grows with log2(n), so that chance meetings in a table stay rare; the number of segments follows
     from the chance that a pair just similar enough differs in at most 2 bits of a segment, and from `missed`."""
     apart = acos(2 * similarity / (1 + similarity)) / pi
     width = min(40, max(16, ceil(log2(max(n, 2))) + 9))
@@ -82,12 +87,14 @@ def plan(n: int, similarity: float, missed: float = 0.1) -> tuple[int, int, int,
     meet = (1 - apart) ** width * (1 + width * ratio + width * (width - 1) / 2 * ratio**2)
     segments = ceil(log(missed) / log(1 - meet))
     length = max(8, ceil(segments * width / 64))
-    return segments, width, length, round(apart * 64 * length)
+    bits = 64 * length
+    return segments, width, length, min(bits, ceil(apart * bits + MARGIN * sqrt(bits * apart * (1 - apart))))
 
 
 def split(width: int) -> tuple[int, int]:
-    """High bits of a segment, by which entries are shuffled, and low bits, whose ball is enumerated after the shuffle."""
-    high = min(10, width // 2)
+    """High bits of a segment, by which entries are shuffled, and low bits, whose ball is enumerated after the shuffle. As
+    width grows with log2 of the fingerprints (`plan`), a cell holds some tens of thousands of entries."""
+    high = max(4, min(10, width // 2, width - 21))
     return high, width - high
 
 
@@ -174,11 +181,102 @@ def near_duplicates(fps: DataFrame, segments: int = 2, width: int = 32, max_bits
     return fps.join(by_fp, "fp")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.1) -> DataFrame:
-    """doc_id and component_id of every document, linked at about this Jaccard similarity of word shingles, as the complete
-    distance of long fingerprints estimates it."""
+def set_of(text: str, words: int) -> tuple[bytes, np.ndarray]:
+    """Name (XXH3, 128 bits) of the set of distinct shingle hashes, and the set in order."""
+    found = np.unique(shingle_hashes(text, words))
+    return xxhash.xxh3_128_digest(found.tobytes()), found
+
+
+def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Row numbers of links that hold together what is linked at this exact Jaccard similarity. Each set is without repeats."""
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner, ends = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
+    marked, left, links = np.zeros(len(ids) + 1, bool), np.ones(len(sets), bool), []
+    for start in range(len(sets)):
+        front = [start] if left[start] else []
+        left[start] = False
+        while front and left.any():
+            u = front.pop()
+            mine = ids[ends[u] - sizes[u] : ends[u]]
+            marked[mine] = True
+            common = np.bincount(owner[marked[ids]], minlength=len(sets))
+            marked[mine] = False
+            near = np.flatnonzero(left & (common / np.maximum(sizes + sizes[u] - common, 1) >= similarity))
+            left[near] = False
+            links += [(u, v) for v in near]
+            front.extend(near)
+    return links
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links a, b (numbers n) that connect all sets of this exact Jaccard similarity within a group. nodes: key, first, size
+    and n of each set; groups: n and group. Texts of sets that are not alone in their group are read again. A group of
+    more than `block` shingles is cut into blocks and every pair of blocks is searched."""
+    nodes = nodes.join(groups, "n")
+    several = nodes.groupBy("group").agg(F.count("*").alias("members"), F.ceil(F.sum("size") / block).cast("int").alias("blocks")).where("members > 1")
+    asked = durable(nodes.join(several, "group").select("first", "key", "n", "group", F.greatest("blocks", F.lit(1)).alias("blocks")))
+    small = asked.count() <= BROADCAST_SETS
+    named = asked.where("first is not null").withColumnRenamed("first", "doc_id")
+    texts = docs.join(F.broadcast(named) if small else named, "doc_id").drop("doc_id")
+    columns = texts.columns
+
+    @F.pandas_udf("binary")
+    def key_of(bodies: pd.Series) -> pd.Series:
+        return pd.Series([set_of(t, words)[0] for t in bodies], dtype=object)
+
+    nameless = asked.where("first is null").drop("first")
+    if not nameless.isEmpty():
+        texts = texts.unionByName(docs.where("doc_id is null").withColumn("key", key_of("body")).join(nameless, "key").select(columns))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in filled(batches):
+            for at in range(0, len(b), 500):
+                c = b[at : at + 500]
+                made = [set_of(t, words) for t in c["body"]]
+                c = c.assign(shingles=[x.tobytes() for _, x in made])
+                yield c.loc[[k == bytes(x) for (k, _), x in zip(made, c["key"])], ["n", "group", "blocks", "shingles"]]
+
+    sets = texts.mapInPandas(read, "n long, group long, blocks int, shingles binary").dropDuplicates(["n"])
+    mine, other = F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"), F.col("other")
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("n", "shingles", "group", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
+    lists = dealt.groupBy("group", "i", "j").agg(F.collect_list("n").alias("ns"), F.collect_list("shingles").alias("sets")).where(F.size("ns") > 1)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in filled(batches):
+            found = [(ns[u], ns[v]) for ns, sets in zip(b["ns"], b["sets"]) for u, v in similar_links([np.frombuffer(x, np.uint64) for x in sets], similarity)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return lists.select("ns", "sets").mapInPandas(search, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01) -> DataFrame:
+    """doc_id and component_id of every document, linked at this Jaccard similarity of distinct word shingles. Long fingerprints
+    of the sets give loose groups; within these, links are decided by the exact similarity of all pairs."""
     segments, width, length, max_bits = plan(docs.count(), similarity, missed)
-    return near_duplicates(durable(fingerprints(docs, words, length)), segments, width, max_bits).drop("fp")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in filled(batches):
+            keys, fps, sizes = [], [], []
+            for t in b["body"]:
+                key, found = set_of(t, words)
+                keys.append(key)
+                fps.append(fingerprint(found, length))
+                sizes.append(len(found))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "fp": fps, "size": sizes})
+
+    named = durable(rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, fp binary, size long"))
+    nodes = named.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"))
+    nodes = durable(nodes.withColumn("n", F.monotonically_increasing_id()))
+    groups = near_duplicates(nodes.select(F.col("n").alias("doc_id"), "fp"), segments, width, max_bits)
+    groups = groups.select(F.col("doc_id").alias("n"), F.col("component_id").alias("group"))
+    nodes = nodes.drop("fp")
+    found = components(exact_links(rows, nodes, groups, words, similarity)).withColumnRenamed("id", "n")
+    rooted = nodes.join(found, "n", "left").select("key", "first", F.coalesce("root", "n").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.select("doc_id", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").drop("key")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,54 @@ def test_similar_groups(spark):
     assert sum(got[i] == i // 10 * 10 for i in got) >= 0.95 * len(got)
 
 
+def shingle_set(text):
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+
+
+def test_similar_groups_are_exact(spark):
+    """Pairs just over 0.8 are linked, pairs just under are not, nor are texts that share one line repeated many times."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    docs, pairs = [], {}
+    for g in range(80):
+        words = [word() for _ in range(300)]
+        copy, changed = list(words), 6 if g % 2 else 8
+        for k in range(changed):
+            copy[20 + 30 * k] = word()
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+        pairs[g] = jaccard(docs[-2][1], docs[-1][1])
+    line = " ".join(word() for _ in range(14))
+    for k in range(200, 204):
+        docs.append((k, " ".join([word() for _ in range(150)] + [line] * 40)))
+    docs += [(None, docs[3][1]), (None, "own text without a number"), (3, "other text of a repeated number"), (5, docs[5][1])]
+    given = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = simhash.similar_groups(given).collect()
+    assert len(rows) == len(docs)
+    got = {x.doc_id: x.component_id for x in rows if x.doc_id not in (None, 3)}
+    assert all(0.8 <= j < 0.84 if g % 2 else 0.75 < j < 0.8 for g, j in pairs.items())
+    assert all(got[2 * g] == got[2 * g + 1] - 1 for g in pairs if g % 2 == 0)
+    assert sum(got.get(2 * g + 1, 2 * g) == got[2 * g] for g in pairs if g % 2) >= 39
+    assert all(got[k] == k for k in range(200, 204))
+    assert sorted((x.component_id for x in rows if x.doc_id is None), key=str) == [2, None]
+
+
+@pytest.mark.parametrize("block", [1, 700, 250_000])
+def test_exact_links_in_blocks(spark, block, monkeypatch):
+    """A chain of texts, each like the next but not the one after, is one group however it is cut."""
+    monkeypatch.setattr(simhash.exact_links, "__defaults__", (block,))
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(400)]
+    docs = [(k, " ".join(words[15 * k : 15 * k + 150])) for k in range(12)]
+    assert jaccard(docs[0][1], docs[1][1]) > 0.8 > jaccard(docs[0][1], docs[2][1])
+    got = simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.component_id for x in got} == {0} and len(got) == len(docs)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 900), (900, 700), (3, 3)], "a long, b long")
     got = {r.id: r.root for r in components.components(edges).collect()}
