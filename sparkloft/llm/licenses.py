@@ -1,9 +1,11 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-A sparse logistic regression over word n-grams (1 to 3 words) gives each paragraph (line) a licence family or
+A sparse logistic regression over word n-grams (1 to 3 words) gives each line, and each stretch of lines between blank ones, a licence family or
 `unknown`. It is trained here, on variants of the public notices below and on unlicensed paragraphs; the unknown class
 is one of its classes, and its probabilities are calibrated by one temperature on variants kept from training. A prediction
-counts only if the paragraph also shares enough of a template's word pairs.
+counts only if the paragraph also shares enough of a template's word pairs. Lines that are a notice by themselves are found
+first; the lines left between them and blank lines are joined (marks of comments are no words), and stretches about as long as
+a template are looked through, so notices wrapped over lines, or within long lines, are found too.
 
 Features are n-grams of the notices that hold at least one of their less common words. A paragraph without any such
 word has no feature and is unknown by definition, so most paragraphs are settled by one look at their words.
@@ -88,6 +90,7 @@ class Classifier:
         self.known = frozenset(w for _, t in notices for w in words_of(t)) - COMMON
         self.families = [*TEMPLATES, UNKNOWN]
         self.pairs = [(f, frozenset(_pairs(words_of(t)))) for f, t in notices]
+        self.lengths = [len(words_of(t)) * 5 // 4 for _, t in notices]
         rng = np.random.default_rng(seed)
         fillers = [w for t in UNLICENSED for w in words_of(t)]
         rows = [(f, words_of(t), v) for f, t in notices for v in range(variants)] + [(UNKNOWN, words_of(t), v) for t in UNLICENSED for v in range(variants)]
@@ -127,7 +130,9 @@ class Classifier:
 
     def predict(self, paragraph: str) -> tuple[str, float, float]:
         """Family, its probability, and the overlap with the best template of that family."""
-        words = words_of(paragraph)
+        return self.predict_words(words_of(paragraph))
+
+    def predict_words(self, words: list[str]) -> tuple[str, float, float]:
         if self.known.isdisjoint(words):
             return UNKNOWN, 1.0, 0.0
         p = self._softmax(self._row(words) @ self.weights / self.temperature)
@@ -137,23 +142,68 @@ class Classifier:
         return family, float(p.max()), overlap
 
 
+    def stretches(self, words: list[str]) -> list[tuple[int, int, str, float, float]]:
+        """Stretches of the words (begin, end) with a confirmed licence, family, probability and overlap; they do not meet."""
+        if self.known.isdisjoint(words):
+            return []
+        seen, tried = frozenset(_pairs(words)), []
+        for (f, pairs), length in zip(self.pairs, self.lengths):
+            if len(pairs & seen) < LEAST_OVERLAP * len(pairs):
+                continue
+            at = [k for k, pair in enumerate(zip(words, words[1:])) if pair in pairs]
+            for k in at:
+                inside = [x for x in at if k <= x <= k + length - 2]
+                overlap = len({(words[x], words[x + 1]) for x in inside}) / len(pairs)
+                if overlap >= LEAST_OVERLAP:
+                    tried.append((overlap, len(pairs), -k, inside[-1] + 2, f))
+        found = []
+        for _, _, begin, end, f in sorted(tried, reverse=True):
+            begin = -begin
+            if all(end <= a or z <= begin for a, z, *_ in found):
+                family, p, overlap = self.predict_words(words[begin:end])
+                if family == f and p >= LEAST_PROBABILITY and overlap >= LEAST_OVERLAP:
+                    found.append((begin, end, family, p, overlap))
+        return sorted(found)
+
+
 def _pairs(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:])) or {(w, "") for w in words}
 
 
+def findings(body: str, model: Classifier) -> list[tuple[int, str, float, float, str]]:
+    """Number of the first line, family, probability, overlap and text of each paragraph with a confirmed licence."""
+    out, run = [], []
+
+    def joined() -> None:
+        words = [(k, w) for k, line in run for w in words_of(line)]
+        for begin, end, family, p, overlap in model.stretches([w for _, w in words]):
+            first, last = words[begin][0], words[end - 1][0]
+            out.append((first, family, p, overlap, "\n".join(line for k, line in run if first <= k <= last)))
+        run.clear()
+
+    for k, line in enumerate(body.split("\n")):
+        family, p, overlap = model.predict(line)
+        if family != UNKNOWN and p >= LEAST_PROBABILITY and overlap >= LEAST_OVERLAP:
+            joined()
+            out.append((k, family, p, overlap, line))
+        elif line.strip(" \t\r#*/;%-"):
+            run.append((k, line))
+        else:
+            joined()
+    joined()
+    return out
+
+
 def scan_licenses(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per paragraph with a confirmed licence: doc_id, paragraph (number of the line), family, probability, overlap,
-    line. Documents without one have no row."""
+    """One row per paragraph with a confirmed licence: doc_id, paragraph (number of its first line), family, probability,
+    overlap, line (several, if the notice is wrapped). Documents without one have no row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filled(batches):
             out = []
             for key, body in zip(b["doc_id"], b["body"]):
-                for k, line in enumerate(body.split("\n")):
-                    family, p, overlap = model.predict(line)
-                    if family != UNKNOWN and p >= LEAST_PROBABILITY and overlap >= LEAST_OVERLAP:
-                        out.append((key, k, family, p, overlap, line))
+                out += [(key, *found) for found in findings(body, model)]
             yield pd.DataFrame(out, columns=["doc_id", "paragraph", "family", "probability", "overlap", "line"])
 
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, paragraph int, family string, probability double, overlap double, line string")

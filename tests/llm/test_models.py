@@ -115,3 +115,19 @@ def test_license_query(spark):
     docs = {r.doc_id: r.text.lower() for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
     assert got.keys() == docs.keys()
     assert all(bool(got[i]) == ("license" in t or "cc by-nc" in t) for i, t in docs.items())
+
+
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+MIT_GRANT = """ * Permission is hereby granted, free of charge, to any person
+ * obtaining a copy of this software and associated documentation files"""
+
+
+def test_licenses_wrapped_over_lines(spark):
+    long = "one more plain sentence of words " * 40
+    docs = [(1, GPL_HEADER), (2, f"first line\n\n{MIT_GRANT}\n\nlast"), (3, f"{MIT_GRANT}\n *\n{GPL_HEADER}"),
+            (4, long + " ".join(MIT_GRANT.replace("*", "").split()) + " " + long), (5, MIT_GRANT.replace("\n", "\n\n")), (6, None)]
+    found = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), licenses.Classifier()).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in found) == [(1, 0, "gpl"), (2, 2, "mit"), (3, 0, "mit"), (3, 3, "gpl"), (4, 0, "mit")]
