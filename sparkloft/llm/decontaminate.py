@@ -4,14 +4,16 @@ Texts become templates: numbers, units after numbers and names within sentences
 words are lower-cased, marks are dropped. Windows of WORDS template words of the benchmark are hash-joined with those of
 the documents. Windows of a document and an item on one alignment (position difference) form a match; if the item has
 placeholders there, each of its values must stand for one value throughout (slot consistency), so re-parameterised
-questions are found and chance likeness of templates is not.
+questions are found and chance likeness of templates is not. The plain lower-case words of all windows are joined
+too, so copies are found in any case and however many placeholders a window has. A capitalised word that begins a sentence may be a
+name or not: windows are joined both ways, and alignments are judged with such words as placeholders and without.
 
 Only DataFrame functions. Of documents only ids, positions and hashes go through the join; texts are read again, for
 matched documents, if an item with placeholders matched. The benchmark's windows are broadcast only if they are counted
 at most BROADCAST_ROWS; beyond, Spark joins by shuffle.
 
-Defined results: null text counts as empty and matches nothing; items or documents of fewer than WORDS words match
-nothing. Rows with a null id are kept apart from matches (never contaminated). Repeated rows of one doc_id count as one
+Defined results: null text counts as empty and matches nothing; an item of fewer than WORDS words, even one, matches
+where its words stand in full, in any case. Rows with a null id are kept apart from matches (never contaminated). Repeated rows of one doc_id count as one
 document. Empty tables give empty results. Only the named columns are read.
 """
 
@@ -24,6 +26,9 @@ from sparkloft.sources.tables import durable, table
 #: Window length; most placeholders in a window; matched windows (or share of an item's) that make a leak.
 WORDS, MOST_SLOTS, LEAK_WINDOWS, LEAK_SHARE = 8, 4, 6, 0.5
 BROADCAST_ROWS = 500_000
+#: Forms of windows; see `item_windows`.
+TEMPLATE, PLAIN, OPEN = 0, 1, 2
+WINDOWS = "array<struct<pos:int,hashes:array<bigint>>>"
 #: Units that are placeholders after a number.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg t lb lbs pound pounds ounce ounces ml l liter liters litre "
@@ -41,109 +46,145 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(begun, F.lit(TOKEN), F.lit(0))
 
 
-def template(words: Column) -> Column:
-    """Placeholders and lower-case words, one for each token."""
+def lowered(words: Column) -> Column:
+    return F.transform(words, lambda t: F.lower(F.ltrim(t, F.lit(BEGIN))))
+
+
+def template(words: Column, low: Column) -> Column:
+    """Placeholders and lower-case words, one for each token. low: the words lower-cased."""
     units = F.array(*map(F.lit, UNITS))
 
     def digit(t: Column) -> Column:
         return F.substring(t, 1, 1).between("0", "9")
 
-    def plain(t: Column) -> Column:
-        return F.lower(F.ltrim(t, F.lit(BEGIN)))
-
     def kind(t: Column, i: Column) -> Column:
-        before = F.get(words, i - 1)
-        low = plain(t)
-        named = ~t.startswith(BEGIN) & (t != low) & (F.length(t) > 1) & (F.substring(t, 2, 10**6) == F.substring(low, 2, 10**6))
+        plain = F.get(low, i)
+        named = (t != plain) & ~t.startswith(BEGIN) & (F.length(t) > 1) & (F.substring(t, 2, 10**6) == F.substring(plain, 2, 10**6))
         return (
-            F.when(digit(F.ltrim(t, F.lit(BEGIN))), NUMBER)
-            .when(F.coalesce(digit(F.ltrim(before, F.lit(BEGIN))), F.lit(False)) & F.array_contains(units, low), UNIT)
+            F.when(digit(plain), NUMBER)
+            .when(F.coalesce(digit(F.get(low, i - 1)), F.lit(False)) & F.array_contains(units, plain), UNIT)
             .when(named, NAME)
-            .otherwise(low)
+            .otherwise(plain)
         )
 
     return F.transform(words, kind)
 
 
 def templated(rows: DataFrame, key: str) -> DataFrame:
-    """key, raw (words as written) and words (template). Each list is a column of its own, which later steps refer to more
-    than once, so it is computed once a row and not within a loop over its elements."""
+    """key, raw (words as written), low (lower-cased), words (template) and open (with names at the begin of sentences). Each
+    list is a column of its own, which later steps refer to more than once, so it is computed once a row and not within a
+    loop over its elements."""
     raw = rows.select(key, tokens(F.coalesce(F.col("text"), F.lit(""))).alias("raw"))
-    return raw.select(key, "raw", template(F.col("raw")).alias("words"))
+    low = raw.select(key, "raw", lowered(F.col("raw")).alias("low"))
+    closed = low.select(key, "raw", "low", template(F.col("raw"), F.col("low")).alias("words"))
+    return closed.select(key, "raw", "low", "words", F.col("words").alias("open"))
 
 
 def is_slot(t: Column) -> Column:
     return t.isin(NUMBER, UNIT, NAME)
 
 
-def window_hashes(words: Column, size: int = WORDS) -> Column:
-    """Hash of each window, by its first word; null if there are too few. To be read with posexplode_outer: with posexplode
-    Spark asks for the list's size first and computes the lists anew for that."""
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
+def window_hashes(lists: list[Column], size: int = WORDS) -> Column:
+    """pos and hashes (one for each of the lists) of each window, by its first word; null if there are too few. To be
+    read with explode_outer: with explode Spark asks for the list's size first and computes the lists anew for that. Every
+    list is named twice, else Spark moves its steps into the loop over windows."""
+    sizes = [F.size(x) for x in lists]
+    n = F.least(*sizes) if len(sizes) > 1 else sizes[0]
+    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1))
+
+    def hashed(x: Column, i: Column) -> Column:
+        """As of the slice, which would copy the whole list for each window."""
+        return F.xxhash64(*[F.get(x, i + (k - 1)) for k in range(size)])
+
+    return F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), F.array(*[hashed(x, i) for x in lists]).alias("hashes")))
 
 
 def item_windows(benchmark: DataFrame, size: int = WORDS, most_slots: int = MOST_SLOTS) -> DataFrame:
-    """item_id, item_pos, hash of windows with enough fixed words, item_windows (their number in the item), slotted."""
-    items = templated(benchmark.where("item_id is not null"), "item_id")
-    listed = items.select("item_id", "words", F.posexplode_outer(window_hashes(F.col("words"), size)).alias("item_pos", "hash"))
-    slots = F.size(F.filter(F.slice("words", F.col("item_pos") + 1, size), is_slot))
-    kept = listed.select("item_id", "item_pos", "hash", slots.alias("slots")).where((F.col("slots") <= most_slots) & F.col("hash").isNotNull())
-    count = kept.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), (F.max("slots") > 0).alias("slotted"))
-    return kept.drop("slots").distinct().join(count, "item_id")
+    """item_id, item_pos, hash and form of the windows that documents are joined with. Form 0, TEMPLATE, has the templates with
+    enough fixed words; form 1, PLAIN, also the lower-case words of every window; form 2, OPEN, also the templates with
+    names at the begin of sentences. rich: too few fixed words for the template; item_windows: the windows of the
+    item, fit_windows: those not rich; slotted: whether placeholders are to be compared; width: words of the window, less than
+    `size` if the item is that short."""
+    items = templated(benchmark.where("item_id is not null"), "item_id").where(F.size("low") > 0)
+    items = items.withColumn("width", F.least(F.size("low"), F.lit(size)))
+    listed = items.withColumn("item_pos", F.explode(F.sequence(F.lit(0), F.size("low") - F.col("width"))))
+    cut = {x: F.slice(x, F.col("item_pos") + 1, F.col("width")) for x in ("low", "words", "open")}
+    listed = listed.select("item_id", "item_pos", "width", *[v.alias(x) for x, v in cut.items()])
+    slots = {x: F.size(F.filter(x, is_slot)) for x in ("words", "open")}
+    short = F.col("width") < size
+    fit = {x: ~short & (n <= most_slots) for x, n in slots.items()}
+    forms = [F.struct(F.xxhash64("low").alias("hash"), F.lit(form).alias("form")) for form in (PLAIN, OPEN)]
+    forms += [F.when(fit[x], F.struct(F.xxhash64(x).alias("hash"), F.lit(form).alias("form"))) for x, form in (("words", TEMPLATE), ("words", PLAIN), ("words", OPEN), ("open", OPEN))]
+    rich, slot = ~short & ~fit["words"], ~short & (slots["open"] > 0)
+    found = listed.select("item_id", "item_pos", "width", rich.alias("rich"), slot.alias("slot"), (fit["words"] & (slots["words"] > 0)).alias("fit_slot"), F.array(*forms).alias("forms"))
+    count = found.groupBy("item_id").agg(
+        F.countDistinct("item_pos").alias("item_windows"), F.countDistinct(F.when(~F.col("rich"), F.col("item_pos"))).alias("fit_windows"),
+        F.max("slot").alias("slotted"), F.max("fit_slot").alias("fit_slotted"))
+    forms = found.select("item_id", "item_pos", "width", "rich", F.explode("forms").alias("f")).where("f is not null")
+    forms = forms.select("item_id", "item_pos", "width", "rich", "f.*").distinct().join(count, "item_id")
+    return forms.withColumn("slotted", F.when(F.col("form") == TEMPLATE, F.col("fit_slotted")).otherwise(F.col("slotted"))).drop("fit_slotted")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
-    """docs: doc_id, text; benchmark: item_id, text. One row per document, item and alignment with a common window:
-    shift, windows, first_pos, last_pos (of the document), item_windows, slotted."""
+    """docs: doc_id, text; benchmark: item_id, text. One row per document, item, alignment with a common window and form
+    of windows: shift, windows, fit, first_pos, last_pos (of the document), item_windows, fit_windows, slotted."""
     items = durable(item_windows(benchmark, size))
+    widths = [r["width"] for r in items.where(F.col("width") < size).select("width").distinct().collect()]
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
-    rows = docs.where("doc_id is not null and text is not null")
-    hashed = templated(rows, "doc_id").select("doc_id", window_hashes(F.col("words"), size).alias("hashes"))
-    listed = hashed.select("doc_id", F.posexplode_outer("hashes").alias("pos", "hash"))
-    return (
-        listed.join(items, "hash")
-        .groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .agg(F.countDistinct("item_pos").alias("windows"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
-             F.first("item_windows").alias("item_windows"), F.first("slotted").alias("slotted"))
-    )
+    rows = templated(docs.where("doc_id is not null and text is not null"), "doc_id")
+    hashed = window_hashes([F.col("words"), F.col("low"), F.col("open")], size)
+    if widths:
+        hashed = F.concat(*[F.coalesce(x, F.array().cast(WINDOWS)) for x in (hashed, *[window_hashes([F.col("low")], w) for w in sorted(widths)])])
+    listed = rows.select("doc_id", hashed.alias("found")).select("doc_id", F.explode_outer("found").alias("w"))
+    listed = listed.select("doc_id", F.col("w.pos").alias("pos"), F.posexplode(F.array_distinct("w.hashes")).alias("k", "hash"))
+    once = listed.join(items, "hash").where((F.col("k") == 0) | (F.col("form") != TEMPLATE)).select(
+        "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "form", "item_pos", "rich", "item_windows", "fit_windows", "slotted").distinct()
+    first, last = F.min("item_pos") + F.col("shift"), F.max("item_pos") + F.col("shift")
+    return once.groupBy("doc_id", "item_id", "shift", "form").agg(
+        F.count("*").alias("windows"), F.count_if(~F.col("rich")).alias("fit"), first.alias("first_pos"), last.alias("last_pos"),
+        F.first("item_windows").alias("item_windows"), F.first("fit_windows").alias("fit_windows"), F.first("slotted").alias("slotted"))
 
 
 def slot_values(found: DataFrame, docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
     """For alignments with placeholders: slots (their number), varied (values that differ) and consistent."""
     ours = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("ours"))
-    theirs = templated(benchmark, "item_id").withColumnsRenamed({"raw": "theirs", "words": "template"})
-    both = found.where("slotted").join(ours, "doc_id").join(theirs, "item_id")
+    theirs = templated(benchmark, "item_id").select("item_id", F.col("raw").alias("theirs"), "words", F.col("open").alias("names"))
+    both = found.where("slotted").join(ours, "doc_id").join(theirs, "item_id").withColumn("template", F.when(F.col("form") == OPEN, F.col("names")).otherwise(F.col("words")))
     places = F.sequence(F.col("first_pos") - F.col("shift"), F.col("last_pos") - F.col("shift") + size - 1)
     slots = F.filter(places, lambda i: is_slot(F.get("template", i)))
     pairs = F.transform(slots, lambda i: F.struct(
         F.lower(F.ltrim(F.get("theirs", i), F.lit(BEGIN))).alias("item"), F.lower(F.ltrim(F.get("ours", i + F.col("shift")), F.lit(BEGIN))).alias("doc")))
-    both = both.select("doc_id", "item_id", "shift", F.array_distinct(pairs).alias("pairs"))
-    return both.groupBy("doc_id", "item_id", "shift").agg(F.first("pairs").alias("pairs")).select(
-        "doc_id", "item_id", "shift", F.size("pairs").alias("slots"),
+    both = both.select("doc_id", "item_id", "shift", "form", F.array_distinct(pairs).alias("pairs"))
+    return both.groupBy("doc_id", "item_id", "shift", "form").agg(F.first("pairs").alias("pairs")).select(
+        "doc_id", "item_id", "shift", "form", F.size("pairs").alias("slots"),
         F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["doc"]))).alias("varied"),
         (F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")).alias("consistent"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
     """One row per document and item that share a window on a consistent alignment or not: windows (most on one alignment
-    that is consistent), item_windows, share, slots, varied, kind (verbatim, reparameterised, inconsistent), contaminated."""
+    that is consistent), item_windows, share (of all windows, or of those with enough fixed words if more), slots, varied, kind (verbatim, reparameterised, inconsistent), contaminated. The figures are of templates alone, item_windows then those with
+    enough fixed words, unless only the other forms show a leak or a window."""
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     found = durable(matches(docs, benchmark, size))
     if found.where("slotted").isEmpty():
         judged = found.withColumns({"slots": F.lit(0), "varied": F.lit(0), "consistent": F.lit(True)})
     else:
-        judged = found.join(slot_values(found, docs, benchmark, size), ["doc_id", "item_id", "shift"], "left")
+        judged = found.join(slot_values(found, docs, benchmark, size), ["doc_id", "item_id", "shift", "form"], "left")
         judged = judged.fillna({"slots": 0, "varied": 0}).withColumn("consistent", F.coalesce("consistent", F.lit(True)))
-    order = F.struct("consistent", "windows", (-F.col("varied")).alias("same"), (-F.col("shift")).alias("early"))
-    kept = F.struct("windows", "item_windows", "slots", "varied", "consistent")
-    best = judged.groupBy("doc_id", "item_id").agg(F.max_by(kept, order).alias("b")).select("doc_id", "item_id", "b.*")
-    share = F.col("windows") / F.col("item_windows")
+    order = F.struct("consistent", "windows", (-F.col("varied")).alias("same"), (-F.col("shift")).alias("early"), (-F.col("form")).alias("closed"))
+    base = F.col("form") == TEMPLATE
+    total = F.when(base, F.col("fit_windows")).otherwise(F.col("item_windows"))
+    share = F.greatest(F.col("windows") / total, F.when(F.col("fit_windows") > 0, F.col("fit") / F.col("fit_windows")))
     leak = F.col("consistent") & ((F.col("windows") >= LEAK_WINDOWS) | (share >= LEAK_SHARE))
+    kept = F.struct("windows", total.alias("item_windows"), share.alias("share"), "slots", "varied", "consistent", leak.alias("contaminated"))
+    best = judged.groupBy("doc_id", "item_id").agg(F.max_by(kept, F.when(base, order)).alias("a"), F.max_by(kept, F.when(~base, F.struct(leak.alias("leak"), order.alias("rest")))).alias("b"))
+    plain = F.col("a").isNotNull() & (F.col("a.contaminated") | ~F.col("b.contaminated"))
+    best = best.select("doc_id", "item_id", F.when(plain, F.col("a")).otherwise(F.col("b")).alias("b")).select("doc_id", "item_id", "b.*")
     kind = F.when(~F.col("consistent"), "inconsistent").when(F.col("varied") > 0, "reparameterised").otherwise("verbatim")
-    return best.select("doc_id", "item_id", "windows", "item_windows", share.alias("share"), F.col("slots").cast("long").alias("slots"), F.col("varied").cast("long").alias("varied"),
-                       kind.alias("kind"), leak.alias("contaminated"))
+    return best.select("doc_id", "item_id", "windows", "item_windows", "share", F.col("slots").cast("long").alias("slots"), F.col("varied").cast("long").alias("varied"),
+                       kind.alias("kind"), "contaminated")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,3 +157,20 @@ def test_large_benchmarks_join_by_shuffle(spark, limit, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
     docs, items = spark.createDataFrame([(1, ITEMS[1][1])], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.leaks(docs, items).where("contaminated").count() == 1
+
+
+def contaminated(spark, texts, items):
+    """Pairs of places in the two lists."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs, items).where("contaminated").collect()}
+
+
+def test_leaks_of_slot_rich_and_short_items(spark):
+    sums = "Compute 12 + 7 - 3 * 5 + 8 / 2 - 9 + 14 * 6 - 11 + 20"
+    items = [sums, "What is the capital of France?", "Name one prime"]
+    texts = [
+        f"Some words before. {sums} and some after", "He asked: what is the CAPITAL of France? Paris.", "What is the capital of Spain? Paris.",
+        "Compute 1 + 2 - 4 * 6 + 7 / 3 - 8 + 15 * 9 - 10 + 21", "name one prime", "name one", "the capital of France",
+    ]
+    assert contaminated(spark, texts, items) == {(0, 0): "verbatim", (1, 1): "verbatim", (4, 2): "verbatim"}
