@@ -70,6 +70,17 @@ def template(words: Column, low: Column) -> Column:
     return F.transform(words, kind)
 
 
+def opened(words: Column, low: Column, closed: Column) -> Column:
+    """The template with capitalised words that begin a sentence as names, which they may be."""
+
+    def kind(t: Column, i: Column) -> Column:
+        plain = F.get(low, i)
+        named = (F.length(t) > 2) & (F.substring(t, 2, 10**6) != plain) & (F.substring(t, 3, 10**6) == F.substring(plain, 2, 10**6))
+        return F.when(t.startswith(BEGIN) & named & (F.get(closed, i) == plain), NAME).otherwise(F.get(closed, i))
+
+    return F.transform(words, kind)
+
+
 def templated(rows: DataFrame, key: str) -> DataFrame:
     """key, raw (words as written), low (lower-cased), words (template) and open (with names at the begin of sentences). Each
     list is a column of its own, which later steps refer to more than once, so it is computed once a row and not within a
@@ -77,7 +88,7 @@ def templated(rows: DataFrame, key: str) -> DataFrame:
     raw = rows.select(key, tokens(F.coalesce(F.col("text"), F.lit(""))).alias("raw"))
     low = raw.select(key, "raw", lowered(F.col("raw")).alias("low"))
     closed = low.select(key, "raw", "low", template(F.col("raw"), F.col("low")).alias("words"))
-    return closed.select(key, "raw", "low", "words", F.col("words").alias("open"))
+    return closed.select(key, "raw", "low", "words", opened(F.col("raw"), F.col("low"), F.col("words")).alias("open"))
 
 
 def is_slot(t: Column) -> Column:

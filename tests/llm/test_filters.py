@@ -174,3 +174,15 @@ def test_leaks_of_slot_rich_and_short_items(spark):
         "Compute 1 + 2 - 4 * 6 + 7 / 3 - 8 + 15 * 9 - 10 + 21", "name one prime", "name one", "the capital of France",
     ]
     assert contaminated(spark, texts, items) == {(0, 0): "verbatim", (1, 1): "verbatim", (4, 2): "verbatim"}
+
+
+def test_leaks_of_names_and_cases(spark):
+    alice = "Alice has 3 apples. Alice buys 5 more apples. How many apples does Alice have?"
+    anna = "Anna has 12 red marbles. Ben has 7 blue marbles. How many marbles do both have in the end?"
+    dense = "Yesterday Carl met Dora and Emil near Fulda where Gerd and Hans sold Irma nine of the old maps that Jana drew in Kiel"
+    texts = [
+        "First. Bob has 4 apples. Bob buys 9 more apples. How many apples does Bob have?", "Bob has 4 apples. Carl buys 9 more apples. How many apples does Dan have?",
+        "Rosa has 15 red marbles. Theo has 4 blue marbles. How many marbles do both have in the end?", dense.lower(), dense.title(), dense.upper(), anna.title(),
+    ]
+    got = contaminated(spark, texts, [alice, anna, dense])
+    assert got == {(0, 0): "reparameterised", (2, 1): "reparameterised", (3, 2): "verbatim", (4, 2): "verbatim", (5, 2): "verbatim", (6, 1): "verbatim"}
