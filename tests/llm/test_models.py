@@ -131,3 +131,50 @@ def test_licenses_wrapped_over_lines(spark):
             (4, long + " ".join(MIT_GRANT.replace("*", "").split()) + " " + long), (5, MIT_GRANT.replace("\n", "\n\n")), (6, None)]
     found = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), licenses.Classifier()).collect()
     assert sorted((r.doc_id, r.paragraph, r.family) for r in found) == [(1, 0, "gpl"), (2, 2, "mit"), (3, 0, "mit"), (3, 3, "gpl"), (4, 0, "mit")]
+
+
+def test_composed_grammar_as_stepwise():
+    """The composed transducer does what running the five in turn does."""
+    parts = [toxicity.negation(), toxicity.reported_speech(), toxicity.target(), toxicity.threat(), toxicity.insult()]
+    whole = parts[0]
+    for t in parts[1:]:
+        whole = toxicity.compose(whole, t)
+    table, n = toxicity.grammar_table()
+    r = np.random.default_rng(4)
+    for _ in range(500):
+        symbols = [int(s) for s in r.choice(toxicity.CLASSES, r.integers(0, 12))]
+        stream, factors, state, got = symbols, np.ones(len(symbols)), 0, []
+        for t in parts:
+            out = t.run(stream)
+            stream, factors = [s for s, _ in out], factors * [f for _, f in out]
+        assert [s for s, _ in whole.run(symbols)] == stream and np.allclose([f for _, f in whole.run(symbols)], factors)
+        for s in symbols:
+            state, factor = table[state + s]
+            got.append(factor)
+        assert np.allclose(got, [f if s in (toxicity.INSULTED, toxicity.THREATENED) else 0 for s, f in zip(stream, factors)])
+    assert n == len({s for s, _ in whole.arcs})
+
+
+def test_harmless_clauses_have_no_score():
+    g = toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, 3.0), {})
+    for text in ("Hast du die Zeitung gelesen", "they attack the problem", "you kill time", "the fire will burn, you see"):
+        assert g.clauses(text)[0] == [], text
+    assert g.clauses("i will kill you")[0] == [1.5] and g.clauses("he said: kill you")[0] == [1.5] and g.clauses("he said kill you")[0][0] < 1.5
+
+
+def test_every_labelled_row_teaches(spark):
+    """Near copies share a vote; texts that have single words in common, however rare, keep one each; no row is lost."""
+    r = np.random.default_rng(6)
+    body = lambda: " ".join("".join(r.choice(list("abcdefgh"), 7)) for _ in range(60))
+    copy = body()
+    texts = [copy + f" end{k}" for k in range(10)] + [body() + " sharedword" for _ in range(30)]
+    sizes = toxicity.group_sizes(np.vstack([toxicity.sketch(t) for t in texts]))
+    assert list(sizes) == [10] * 10 + [1] * 30
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(5, "later text of a repeated id"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(40)] + [(5, 0), (999, 1), (None, 1), (7, None)], "doc_id long, y int")
+    rows = toxicity.training_rows(docs.select("doc_id", F.col("text").alias("body")), labels, 100)
+    assert rows.count() == 40
+    grammar, kept = toxicity.learn(rows)
+    got = kept.collect()
+    assert len(got) == 40 and abs(sum(x.weight for x in got if x.y == 0) - (1 + 20)) < 1e-9
+    assert toxicity.training_rows(docs.select("doc_id", F.col("text").alias("body")), labels, 12).count() == 12
