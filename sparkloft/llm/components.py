@@ -1,7 +1,10 @@
 """Connected components of links, by alternating large-star and small-star steps.
 
-Each step is a grouped minimum (summed in the map stage) and a join; edges point to ever smaller ids until every
-component is a star around its smallest id. A step's edges are kept in the shared folder, so lineage stays short.
+Each step is a grouped minimum (found in the map stage) and a join; edges point to ever smaller ids until every
+component is a star around its smallest id. A step's edges and minima are kept in the shared folder, so lineage stays short
+and both sides of the join are stored: the edges of a node with very many are split by Spark's skew join.
+
+Defined results: an edge from an id to itself tells nothing; repeated edges count once; no edges, no rows.
 """
 
 from __future__ import annotations
@@ -13,12 +16,12 @@ from sparkloft.sources.tables import durable
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = durable(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

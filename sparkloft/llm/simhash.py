@@ -3,20 +3,24 @@
 A fingerprint has 64 bits, or several words of 64. Two texts are linked if their fingerprints differ in at most
 `max_bits` bits. Fingerprints are cut into segments; each is entered in the table of every segment under all values in
 the Hamming ball of radius 1 around its own, so two that differ in at most 2 bits of a segment meet in that table, at a
-value between them. Entries are shuffled by the table and the high bits of the value; the ball of the low bits is enumerated
-after the shuffle. What meets in a table is verified by the complete distance.
+value between them. Entries are shuffled by the table and the high bits of the value, as many as keep a cell small at the
+number of fingerprints; the ball of the low bits is enumerated after the shuffle. What meets in a table is verified by the
+complete distance.
 
 With two segments and `max_bits` 4 one segment always differs in at most 2 bits, so no link is lost. For looser
 links (`similarity`), the number of segments and their width follow from the number of fingerprints, the similarity
 and the share of links that may be missed; see `plan`. There fingerprints are of distinct shingles and only give candidates:
 within each loose group all pairs are compared by the exact Jaccard similarity of their shingle sets.
 
-Equal fingerprints count once. In a table's bucket only a spanning forest of the links is kept, not all pairs; a bucket of
-more than BUCKET members is cut into blocks and every pair of blocks is searched, so memory is bounded and no link is lost.
+Equal fingerprints count once, so a group of exact copies is one row in the tables. In a table's bucket only a spanning
+forest of the links is kept, not all pairs; a bucket of more than BUCKET members is cut into blocks and every pair of blocks
+is searched, so memory is bounded and no link is lost. Joins that a frequent fingerprint, group or component could make uneven
+have two stored sides, so Spark can split their large partitions.
 
 Defined results: null text counts as empty; texts without words have the fingerprint zero. A null id is kept and takes
-the component of its text; components are named by the smallest id that is not null. Repeated rows are all returned. Empty
-tables give empty results. Only the named columns are read.
+the component of its text; components are named by the smallest id that is not null. Repeated rows are all returned. Rows with
+one id and different texts are each judged by their own text. Very long texts are read whole. Empty tables give empty results.
+Only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -27,13 +31,13 @@ from math import acos, ceil, log, log2, pi, sqrt
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloft.llm.batches import filled
 from sparkloft.llm.components import components
 from sparkloft.sources.tables import durable, table
 
-BUCKET = 2048
+BUCKET, CELL = 2048, 4096
 #: Shingles of a block of a loose group (8 bytes each); lists of sets of at most so many rows are broadcast.
 BLOCK, BROADCAST_SETS = 250_000, 500_000
 #: Standard errors above the mean distance at which a pair of fingerprints is still a candidate.
@@ -91,18 +95,17 @@ def plan(n: int, similarity: float, missed: float = 0.01) -> tuple[int, int, int
     return segments, width, length, min(bits, ceil(apart * bits + MARGIN * sqrt(bits * apart * (1 - apart))))
 
 
-def split(width: int) -> tuple[int, int]:
-    """High bits of a segment, by which entries are shuffled, and low bits, whose ball is enumerated after the shuffle. As
-    width grows with log2 of the fingerprints (`plan`), a cell holds some tens of thousands of entries."""
-    high = max(4, min(10, width // 2, width - 21))
-    return high, width - high
+def high_bits(n: int, width: int) -> int:
+    """Bits of a segment by which entries are shuffled, so that a cell holds some CELL of n fingerprints, and as many again for
+    each bit; the ball of the other bits is enumerated after the shuffle."""
+    return max(4, min(width - 8, ceil(log2(max(n, 2) / CELL))))
 
 
-def entries(fp: bytes, segments: int, width: int) -> list[tuple[int, int]]:
+def entries(fp: bytes, segments: int, width: int, high: int) -> list[tuple[int, int]]:
     """Cell (table and high bits) and low bits of each segment, twice, plus 1 if the low bits' ball is still to be
     enumerated; and the same low bits in the cells one high bit apart."""
     whole, total = int.from_bytes(fp, "big"), 8 * len(fp)
-    high, low = split(width)
+    low = width - high
     out = []
     for s in range(segments):
         value = whole >> (total - (s + 1) * width) & ((1 << width) - 1)
@@ -129,16 +132,17 @@ def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 def links(nodes: DataFrame, segments: int, width: int, max_bits: int, bucket: int = BUCKET) -> DataFrame:
     """nodes: fp, each once, and a short number `n`. Links a, b (XXH64 of fp) that connect all fingerprints at most max_bits
     apart. Table entries hold keys and the short numbers alone; fingerprints are joined to what meets."""
+    high = high_bits(nodes.count(), width)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filled(batches):
             for at in range(0, len(b), 2000):
                 c = b[at : at + 2000]
-                found = np.array([e for fp in c["fp"] for e in entries(fp, segments, width)])
+                found = np.array([e for fp in c["fp"] for e in entries(fp, segments, width, high)])
                 yield pd.DataFrame({"cell": found[:, 0], "low": found[:, 1], "n": np.repeat(c["n"].to_numpy(), len(found) // len(c))})
 
     low = F.shiftright("low", 1)
-    ball = F.array(low, *[low.bitwiseXOR(F.lit(1 << k)) for k in range(split(width)[1])])
+    ball = F.array(low, *[low.bitwiseXOR(F.lit(1 << k)) for k in range(width - high)])
     spread = F.explode(F.when(F.col("low") % 2 == 1, ball).otherwise(F.array(low)))
     rows = nodes.mapInPandas(keys, "cell long, low long, n long").repartition("cell").select("cell", spread.alias("low"), "n")
     counted = rows.selectExpr("cell", "low", "n", "count(*) over (partition by cell, low) as members").where("members > 1")
@@ -174,11 +178,9 @@ def near_duplicates(fps: DataFrame, segments: int = 2, width: int = 32, max_bits
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = durable(nodes.withColumns({"id": F.xxhash64("fp"), "n": F.monotonically_increasing_id()}))
     found = components(links(nodes.select("fp", "n"), segments, width, max_bits))
-    named = nodes.join(found, "id")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    by_fp = nodes.join(by_fp, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(by_fp, "fp")
+    named = durable(nodes.join(found, "id", "left").select("fp", "first", F.coalesce("root", "id").alias("root")))
+    least = durable(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    return fps.join(durable(named.join(least, "root").select("fp", "component_id")), "fp")
 
 
 def set_of(text: str, words: int) -> tuple[bytes, np.ndarray]:
@@ -215,19 +217,16 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
     more than `block` shingles is cut into blocks and every pair of blocks is searched."""
     nodes = nodes.join(groups, "n")
     several = nodes.groupBy("group").agg(F.count("*").alias("members"), F.ceil(F.sum("size") / block).cast("int").alias("blocks")).where("members > 1")
+    several = durable(several)
     asked = durable(nodes.join(several, "group").select("first", "key", "n", "group", F.greatest("blocks", F.lit(1)).alias("blocks")))
     small = asked.count() <= BROADCAST_SETS
     named = asked.where("first is not null").withColumnRenamed("first", "doc_id")
     texts = docs.join(F.broadcast(named) if small else named, "doc_id").drop("doc_id")
     columns = texts.columns
 
-    @F.pandas_udf("binary")
-    def key_of(bodies: pd.Series) -> pd.Series:
-        return pd.Series([set_of(t, words)[0] for t in bodies], dtype=object)
-
     nameless = asked.where("first is null").drop("first")
     if not nameless.isEmpty():
-        texts = texts.unionByName(docs.where("doc_id is null").withColumn("key", key_of("body")).join(nameless, "key").select(columns))
+        texts = texts.unionByName(docs.where("doc_id is null").withColumn("key", set_name(F.col("body"), words)).join(nameless, "key").select(columns))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filled(batches):
@@ -251,9 +250,10 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
     return lists.select("ns", "sets").mapInPandas(search, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01) -> DataFrame:
-    """doc_id and component_id of every document, linked at this Jaccard similarity of distinct word shingles. Long fingerprints
-    of the sets give loose groups; within these, links are decided by the exact similarity of all pairs."""
+def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01) -> DataFrame:
+    """docs: doc_id, text. doc_id, key and root of every document: the name of its set of distinct word shingles, and a number
+    that the documents of one group have in common, which are linked at this Jaccard similarity. Long fingerprints of the sets
+    give loose groups; within these, links are decided by the exact similarity of all pairs."""
     segments, width, length, max_bits = plan(docs.count(), similarity, missed)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body"))
 
@@ -274,9 +274,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mis
     groups = groups.select(F.col("doc_id").alias("n"), F.col("component_id").alias("group"))
     nodes = nodes.drop("fp")
     found = components(exact_links(rows, nodes, groups, words, similarity)).withColumnRenamed("id", "n")
-    rooted = nodes.join(found, "n", "left").select("key", "first", F.coalesce("root", "n").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.select("doc_id", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").drop("key")
+    roots = durable(nodes.join(found, "n", "left").select("key", F.coalesce("root", "n").alias("root")))
+    return named.select("doc_id", "key").join(roots, "key")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of its group) of every document; see `similar_sets`."""
+    sets = durable(similar_sets(docs, words, similarity, missed))
+    least = durable(sets.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return sets.join(least, "root").select("doc_id", "component_id")
+
+
+def set_name(text: Column, words: int = 5) -> Column:
+    """The key that `similar_sets` gives a text."""
+
+    def name(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_of(t, words)[0] for t in texts], dtype=object)
+
+    return F.pandas_udf(name, "binary")(F.coalesce(text, F.lit("")))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

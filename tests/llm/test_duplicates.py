@@ -196,3 +196,36 @@ def test_lexicon_is_the_band(spark):
     marks = np.frombuffer(imatch.lexicon(docs, bits=26, max_share=0.5), np.uint8)
     inside = lambda w: bool(marks[(s := int(imatch.slots(imatch.terms(w), 26)[0])) >> 3] >> (s & 7) & 1)
     assert inside("w0") and not inside("every") and not inside("own3")
+
+
+def test_recall_of_planted_pairs(spark):
+    """Of pairs at 0.8 or more, nearly all are linked; none below; over the whole range of similarities and lengths."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    docs, found = [], {}
+    for g in range(400):
+        words = [word() for _ in range(r.choice([60, 150, 400]))]
+        copy = list(words)
+        for _ in range(max(1, round(len(words) * r.uniform(0.005, 0.03)))):
+            copy[r.randrange(len(words))] = word()
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+        found[g] = jaccard(docs[-2][1], docs[-1][1])
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    linked = {g: got[2 * g + 1] == 2 * g for g in found}
+    near, clear = [g for g in found if 0.8 <= found[g] < 0.85], [g for g in found if found[g] >= 0.85]
+    assert len(near) > 30 and len(clear) > 60
+    assert np.mean([linked[g] for g in near]) >= 0.95 and all(linked[g] for g in clear)
+    assert not any(linked[g] for g in found if found[g] < 0.8)
+
+
+def test_cells_grow_with_the_fingerprints():
+    """High bits follow the number of fingerprints, so a cell stays small; entries name the same values however they are cut."""
+    assert [simhash.high_bits(n, 32) for n in (1, 10**5, 10**9, 10**12)] == [4, 5, 18, 24]
+    fp = bytes.fromhex("0123456789abcdef")
+    for high in (4, 9, 24):
+        values = set()
+        for cell, low in simhash.entries(fp, 2, 32, high):
+            ball = [low >> 1] + ([low >> 1 ^ 1 << k for k in range(32 - high)] if low & 1 else [])
+            values |= {(cell >> high, (cell & (1 << high) - 1) << 32 - high | x) for x in ball}
+        whole = [0x01234567, 0x89ABCDEF]
+        assert values == {(s, v ^ x) for s, v in enumerate(whole) for x in [0, *(1 << k for k in range(32))]}
