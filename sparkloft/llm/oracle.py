@@ -58,11 +58,14 @@ def secret_scans_sql() -> str:
 
     parts = []
     for no, (kind, pattern, group, least) in enumerate(RULES):
+        begin = "(?<![A-Za-z0-9_-])"  # no such thing here: what stands before is matched too, and left out of the span
+        lead = "length(found[i]) - length(kept[i])" if pattern.startswith(begin) else "0"
+        pattern, group = (f"(?:^|[^A-Za-z0-9_-])({pattern.removeprefix(begin)})", 1) if lead != "0" else (pattern, group)
         p = either_case(pattern).replace("'", "''")
         parts.append(f"""
           SELECT doc_id, {no} AS no, '{kind}' AS kind, start, start + size AS stop FROM (SELECT doc_id,
-            list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice(found, 1, i - 1), lambda m: length(m))), 0) AS start,
-            length(found[i]) AS size, length(kept[i]) AS counts
+            list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice(found, 1, i - 1), lambda m: length(m))), 0) + {lead} AS start,
+            length(found[i]) - ({lead}) AS size, length(kept[i]) AS counts
             FROM (SELECT doc_id, gaps, found, kept, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, string_split_regex(body, '{p}') AS gaps,
               regexp_extract_all(body, '{p}', 0) AS found, regexp_extract_all(body, '{p}', {group}) AS kept FROM texts WHERE regexp_matches(body, '{p}')))) WHERE counts >= {least}""")
     base = ", ".join(f"'{k}'" for k in BASE_KINDS)
