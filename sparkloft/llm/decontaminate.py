@@ -8,13 +8,18 @@ questions are found and chance likeness of templates is not. The plain lower-cas
 too, so copies are found in any case and however many placeholders a window has. A capitalised word that begins a sentence may be a
 name or not: windows are joined both ways, and alignments are judged with such words as placeholders and without.
 
-Only DataFrame functions. Of documents only ids, positions and hashes go through the join; texts are read again, for
-matched documents, if an item with placeholders matched. The benchmark's windows are broadcast only if they are counted
-at most BROADCAST_ROWS; beyond, Spark joins by shuffle.
+Only DataFrame functions. Of documents only ids, positions and hashes go through the join; texts are read again for slots,
+but only those whose text hash is among the matched ones, each once. The benchmark's windows are broadcast only if they
+are counted at most BROADCAST_ROWS; beyond, documents' windows are first held against the distinct hashes, if those are at
+most BROADCAST_HASHES, and then joined by shuffle. Patterns begin where a run of marks begins and never give back what they
+took, so work is linear in a text.
 
 Defined results: null text counts as empty and matches nothing; an item of fewer than WORDS words, even one, matches
-where its words stand in full, in any case. Rows with a null id are kept apart from matches (never contaminated). Repeated rows of one doc_id count as one
-document. Empty tables give empty results. Only the named columns are read.
+where its words stand in full, in any case. Documents are told apart by id and text hash: rows of one id with different texts
+are judged each, and `leaks` gives the id's best match; repeated rows count as one document; a null id is an id like
+others. Benchmark rows without an id are left out; several texts of one item id are one item. Of equally good matches the
+first in a text counts. Very long texts are read whole. Empty tables give empty results. Only the named columns are
+read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from sparkloft.sources.tables import durable, table
 
 #: Window length; most placeholders in a window; matched windows (or share of an item's) that make a leak.
 WORDS, MOST_SLOTS, LEAK_WINDOWS, LEAK_SHARE = 8, 4, 6, 0.5
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_HASHES = 500_000, 5_000_000
 #: Forms of windows; see `item_windows`.
 TEMPLATE, PLAIN, OPEN = 0, 1, 2
 WINDOWS = "array<struct<pos:int,hashes:array<bigint>>>"
@@ -36,14 +41,23 @@ UNITS = (
     "percent degree degrees dollar dollars cent cents euro euros usd eur mph kmh hz khz mhz ghz w kw mw v kv a j kj cal kcal"
 ).split()
 NUMBER, UNIT, NAME, BEGIN = "<number>", "<unit>", "<name>", "\x02"
+#: Where a sentence ends, and a word or number.
 SENTENCE_END = r"""(?:[.!?:;]+['")*&#$%]*[ \x09-\x0D]+|\n)[ \x09-\x0D]*"""
 TOKEN = rf"{BEGIN}?(?:[0-9]+(?:[.,][0-9]+)*[\p{{L}}\p{{N}}]*|[\p{{L}}\p{{N}}]+)"
+#: The same, written so that no run is read again from each of its characters.
+_SENTENCE_END = r"""(?:(?<![.!?:;])[.!?:;]++['")*&#$%]*+[ \x09-\x0D]++|\n)[ \x09-\x0D]*+"""
+_TOKEN = rf"{BEGIN}?(?:[0-9]++(?:[.,][0-9]++)*+[\p{{L}}\p{{N}}]*+|[\p{{L}}\p{{N}}]++)"
+
+
+def text_id(text: Column) -> Column:
+    """XXH64 of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def tokens(text: Column) -> Column:
     """Words as written, without marks; the first of a sentence has a mark before it."""
-    begun = F.concat(F.lit(BEGIN), F.regexp_replace(text, SENTENCE_END, " " + BEGIN))
-    return F.regexp_extract_all(begun, F.lit(TOKEN), F.lit(0))
+    begun = F.concat(F.lit(BEGIN), F.regexp_replace(text, _SENTENCE_END, " " + BEGIN))
+    return F.regexp_extract_all(begun, F.lit(_TOKEN), F.lit(0))
 
 
 def lowered(words: Column) -> Column:
@@ -81,14 +95,14 @@ def opened(words: Column, low: Column, closed: Column) -> Column:
     return F.transform(words, kind)
 
 
-def templated(rows: DataFrame, key: str) -> DataFrame:
-    """key, raw (words as written), low (lower-cased), words (template) and open (with names at the begin of sentences). Each
+def templated(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, raw (words as written), low (lower-cased), words (template) and open (with names at the begin of sentences). Each
     list is a column of its own, which later steps refer to more than once, so it is computed once a row and not within a
     loop over its elements."""
-    raw = rows.select(key, tokens(F.coalesce(F.col("text"), F.lit(""))).alias("raw"))
-    low = raw.select(key, "raw", lowered(F.col("raw")).alias("low"))
-    closed = low.select(key, "raw", "low", template(F.col("raw"), F.col("low")).alias("words"))
-    return closed.select(key, "raw", "low", "words", opened(F.col("raw"), F.col("low"), F.col("words")).alias("open"))
+    raw = rows.select(*keys, tokens(F.coalesce(F.col("text"), F.lit(""))).alias("raw"))
+    low = raw.select(*keys, "raw", lowered(F.col("raw")).alias("low"))
+    closed = low.select(*keys, "raw", "low", template(F.col("raw"), F.col("low")).alias("words"))
+    return closed.select(*keys, "raw", "low", "words", opened(F.col("raw"), F.col("low"), F.col("words")).alias("open"))
 
 
 def is_slot(t: Column) -> Column:
@@ -141,62 +155,80 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFra
     of windows: shift, windows, fit, first_pos, last_pos (of the document), item_windows, fit_windows, slotted."""
     items = durable(item_windows(benchmark, size))
     widths = [r["width"] for r in items.where(F.col("width") < size).select("width").distinct().collect()]
-    if items.count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
-    rows = templated(docs.where("doc_id is not null and text is not null"), "doc_id")
+    rows = templated(docs.where("text is not null").withColumn("text_id", text_id(F.col("text"))), "doc_id", "text_id")
     hashed = window_hashes([F.col("words"), F.col("low"), F.col("open")], size)
     if widths:
         hashed = F.concat(*[F.coalesce(x, F.array().cast(WINDOWS)) for x in (hashed, *[window_hashes([F.col("low")], w) for w in sorted(widths)])])
-    listed = rows.select("doc_id", hashed.alias("found")).select("doc_id", F.explode_outer("found").alias("w"))
-    listed = listed.select("doc_id", F.col("w.pos").alias("pos"), F.posexplode(F.array_distinct("w.hashes")).alias("k", "hash"))
+    listed = rows.select("doc_id", "text_id", hashed.alias("found")).select("doc_id", "text_id", F.explode_outer("found").alias("w"))
+    listed = listed.select("doc_id", "text_id", F.col("w.pos").alias("pos"), F.posexplode(F.array_distinct("w.hashes")).alias("k", "hash"))
+    number = items.count()
+    if number <= BROADCAST_ROWS:
+        items = F.broadcast(items)
+    elif number <= BROADCAST_HASHES:
+        listed = listed.join(F.broadcast(items.select("hash").distinct()), "hash", "left_semi")
     once = listed.join(items, "hash").where((F.col("k") == 0) | (F.col("form") != TEMPLATE)).select(
-        "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "form", "item_pos", "rich", "item_windows", "fit_windows", "slotted").distinct()
+        "doc_id", "text_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "form", "item_pos", "rich", "item_windows", "fit_windows", "slotted").distinct()
     first, last = F.min("item_pos") + F.col("shift"), F.max("item_pos") + F.col("shift")
-    return once.groupBy("doc_id", "item_id", "shift", "form").agg(
+    return once.groupBy("doc_id", "text_id", "item_id", "shift", "form").agg(
         F.count("*").alias("windows"), F.count_if(~F.col("rich")).alias("fit"), first.alias("first_pos"), last.alias("last_pos"),
-        F.first("item_windows").alias("item_windows"), F.first("fit_windows").alias("fit_windows"), F.first("slotted").alias("slotted"))
+        F.max("item_windows").alias("item_windows"), F.max("fit_windows").alias("fit_windows"), F.max("slotted").alias("slotted"))
 
 
 def slot_values(found: DataFrame, docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
-    """For alignments with placeholders: slots (their number), varied (values that differ) and consistent."""
-    ours = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("ours"))
-    theirs = templated(benchmark, "item_id").select("item_id", F.col("raw").alias("theirs"), "words", F.col("open").alias("names"))
-    both = found.where("slotted").join(ours, "doc_id").join(theirs, "item_id").withColumn("template", F.when(F.col("form") == OPEN, F.col("names")).otherwise(F.col("words")))
+    """For alignments with placeholders, by text_id, item_id, shift and form: slots (their number), varied (values that differ)
+    and consistent. Only texts among `found` are tokenised, each once."""
+    asked = durable(found.where("slotted").select("text_id", "item_id", "shift", "form", "first_pos", "last_pos").distinct())
+    wanted = durable(asked.select("text_id").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.where("text is not null").select("text", text_id(F.col("text")).alias("text_id")).join(wanted, "text_id", "left_semi")
+    ours = durable(texts.dropDuplicates(["text_id"])).select("text_id", tokens(F.col("text")).alias("ours"))
+    theirs = templated(benchmark.where("item_id is not null"), "item_id").select("item_id", F.col("raw").alias("theirs"), "words", F.col("open").alias("names"))
+    both = asked.join(ours, "text_id").join(theirs, "item_id").withColumn("template", F.when(F.col("form") == OPEN, F.col("names")).otherwise(F.col("words")))
     places = F.sequence(F.col("first_pos") - F.col("shift"), F.col("last_pos") - F.col("shift") + size - 1)
     slots = F.filter(places, lambda i: is_slot(F.get("template", i)))
     pairs = F.transform(slots, lambda i: F.struct(
         F.lower(F.ltrim(F.get("theirs", i), F.lit(BEGIN))).alias("item"), F.lower(F.ltrim(F.get("ours", i + F.col("shift")), F.lit(BEGIN))).alias("doc")))
-    both = both.select("doc_id", "item_id", "shift", "form", F.array_distinct(pairs).alias("pairs"))
-    return both.groupBy("doc_id", "item_id", "shift", "form").agg(F.first("pairs").alias("pairs")).select(
-        "doc_id", "item_id", "shift", "form", F.size("pairs").alias("slots"),
+    both = both.select("text_id", "item_id", "shift", "form", F.array_distinct(pairs).alias("pairs"))
+    return both.groupBy("text_id", "item_id", "shift", "form").agg(F.max("pairs").alias("pairs")).select(
+        "text_id", "item_id", "shift", "form", F.size("pairs").alias("slots"),
         F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["doc"]))).alias("varied"),
         (F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")).alias("consistent"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
-    """One row per document and item that share a window on a consistent alignment or not: windows (most on one alignment
-    that is consistent), item_windows, share (of all windows, or of those with enough fixed words if more), slots, varied, kind (verbatim, reparameterised, inconsistent), contaminated. The figures are of templates alone, item_windows then those with
-    enough fixed words, unless only the other forms show a leak or a window."""
+def _best(docs: DataFrame, benchmark: DataFrame, size: int, *keys: str) -> DataFrame:
+    """The best match for each of the keys and item."""
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     found = durable(matches(docs, benchmark, size))
     if found.where("slotted").isEmpty():
         judged = found.withColumns({"slots": F.lit(0), "varied": F.lit(0), "consistent": F.lit(True)})
     else:
-        judged = found.join(slot_values(found, docs, benchmark, size), ["doc_id", "item_id", "shift", "form"], "left")
+        judged = found.join(durable(slot_values(found, docs, benchmark, size)), ["text_id", "item_id", "shift", "form"], "left")
         judged = judged.fillna({"slots": 0, "varied": 0}).withColumn("consistent", F.coalesce("consistent", F.lit(True)))
-    order = F.struct("consistent", "windows", (-F.col("varied")).alias("same"), (-F.col("shift")).alias("early"), (-F.col("form")).alias("closed"))
+    order = F.struct("consistent", "windows", (-F.col("varied")).alias("same"), (-F.col("shift")).alias("early"), (-F.col("form")).alias("closed"), "text_id")
     base = F.col("form") == TEMPLATE
     total = F.when(base, F.col("fit_windows")).otherwise(F.col("item_windows"))
     share = F.greatest(F.col("windows") / total, F.when(F.col("fit_windows") > 0, F.col("fit") / F.col("fit_windows")))
     leak = F.col("consistent") & ((F.col("windows") >= LEAK_WINDOWS) | (share >= LEAK_SHARE))
     kept = F.struct("windows", total.alias("item_windows"), share.alias("share"), "slots", "varied", "consistent", leak.alias("contaminated"))
-    best = judged.groupBy("doc_id", "item_id").agg(F.max_by(kept, F.when(base, order)).alias("a"), F.max_by(kept, F.when(~base, F.struct(leak.alias("leak"), order.alias("rest")))).alias("b"))
+    best = judged.groupBy(*keys, "item_id").agg(F.max_by(kept, F.when(base, order)).alias("a"), F.max_by(kept, F.when(~base, F.struct(leak.alias("leak"), order.alias("rest")))).alias("b"))
     plain = F.col("a").isNotNull() & (F.col("a.contaminated") | ~F.col("b.contaminated"))
-    best = best.select("doc_id", "item_id", F.when(plain, F.col("a")).otherwise(F.col("b")).alias("b")).select("doc_id", "item_id", "b.*")
+    best = best.select(*keys, "item_id", F.when(plain, F.col("a")).otherwise(F.col("b")).alias("b")).select(*keys, "item_id", "b.*")
     kind = F.when(~F.col("consistent"), "inconsistent").when(F.col("varied") > 0, "reparameterised").otherwise("verbatim")
-    return best.select("doc_id", "item_id", "windows", "item_windows", "share", F.col("slots").cast("long").alias("slots"), F.col("varied").cast("long").alias("varied"),
+    return best.select(*keys, "item_id", "windows", "item_windows", "share", F.col("slots").cast("long").alias("slots"), F.col("varied").cast("long").alias("varied"),
                        kind.alias("kind"), "contaminated")
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
+    """One row per document and item that share a window on a consistent alignment or not: windows (most on one alignment
+    that is consistent), item_windows, share (of all windows, or of those with enough fixed words if more), slots, varied, kind (verbatim, reparameterised, inconsistent), contaminated. The figures are of templates alone, item_windows then those with
+    enough fixed words, unless only the other forms show a leak or a window."""
+    return _best(docs, benchmark, size, "doc_id")
+
+
+def leaks_by_text(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
+    """As `leaks`, by the hash of the text in place of the document's id."""
+    return _best(docs, benchmark, size, "text_id")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

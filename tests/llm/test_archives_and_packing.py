@@ -173,16 +173,36 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_stages_with_repeated_and_null_ids(spark, tmp_path):
-    """Repeated rows count as copies; rows without an id stay; texts may be null."""
+    """One row of each group stays, whatever ids its rows have; columns may have any names."""
     base = spark.read.parquet(f"{SMALL}/documents.parquet")
-    text = " ".join(f"word{k}" for k in range(100))
-    rows = [(9001, text), (9001, text), (9001, "another text altogether"), (9000, "another text altogether"), (None, text), (9002, None), (9003, "")]
+    text, other = " ".join(f"word{k}" for k in range(100)), "another text altogether"
+    rows = [(9001, text), (9001, text), (9001, other), (9000, other), (9001, "a third one"), (None, text), (None, "no id at all"), (None, "no id at all"), (9002, None), (9003, ""),
+            (9004, "alone here"), (1, "a one"), (1, "b one"), (2, "c two")]
     given = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], base.schema)
-    got = corpus_pipeline.near_dedup_stage(spark, given, SMALL).collect()
-    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [9000, 9001, 9002] and sum(r.doc_id is None for r in got) == 1
-    for _, stage in corpus_pipeline.STAGES[2:]:
-        assert stage(spark, given, SMALL).count() >= len(rows)
-    assert corpus_pipeline.quality_stage(spark, given.unionByName(base), SMALL).count() > 0
+    clashes = "key root rows stays spans cuts blob blocks text_id path _path their_id Their_Blob fp first item_id y stats ids".split()
+    wide = given.withColumns({c: F.lit(f"{c}!") for c in clashes}).repartition(3)
+    got = corpus_pipeline.near_dedup_stage(spark, wide, SMALL).collect()
+    want = [(9001, text), (9000, other), (9001, "a third one"), (None, "no id at all"), (9002, None), (9004, "alone here"), (1, "a one"), (1, "b one"), (2, "c two")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    assert all(r[c] == f"{c}!" for r in got for c in clashes)
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        out = stage(spark, wide, SMALL).collect()
+        assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(rows, key=str) and all(r[c] == f"{c}!" for r in out for c in clashes), name
+    assert corpus_pipeline.packing_stage(spark, wide, SMALL).count() == len(rows)
+    assert corpus_pipeline.quality_stage(spark, wide.unionByName(base, allowMissingColumns=True), SMALL).count() > 0
+
+
+def test_stages_judge_texts_of_one_id_each(spark):
+    """A leak or a secret in one row of an id leaves the id's other rows alone; very long texts are read whole."""
+    base = spark.read.parquet(f"{SMALL}/documents.parquet")
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    long = "plain words go on " * 60_000
+    rows = [(7, long), (7, long + item), (None, item), (None, "no leak"), (8, long + "token=abcdef123"), (8, "token = none of these")]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], base.schema)
+    left = corpus_pipeline.decontamination_stage(spark, given, SMALL).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted((str(i), t) for i, t in [rows[0], rows[3], *rows[4:]])
+    out = {(r.doc_id, r.n_chars): r.text for r in corpus_pipeline.secrets_stage(spark, given, SMALL).collect()}
+    assert out[8, len(long) + 8] == long + "[secret]" and out[7, len(long)] == long and len(out) == len(rows)
 
 
 def test_pipeline_of_nothing(spark, tmp_path):

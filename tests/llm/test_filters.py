@@ -2,11 +2,15 @@
 
 import hashlib
 import re
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparkloft.llm import decontaminate, secret_scans, url_filters
+from sparkloft.llm.oracle import ORACLE_SQL
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -95,11 +99,46 @@ def test_ledger_scans_each_blob_once(spark, tmp_path):
     assert secret_scans.scan_incremental(docs.limit(0), f"{tmp_path}/other").count() == 0
 
 
-def test_redaction(spark):
-    text = "é token=abcdef and " + "b" * 30 + " secret='" + "c" * 30 + "' end"
-    rows = spark.createDataFrame([(text,), ("plain",), (None,), ("token=abcdefg",)], "text string").select("text", secret_scans.spans_of(F.coalesce("text", F.lit(""))).alias("s"))
-    got = [r[0] for r in rows.select(secret_scans.redact(F.col("text"), F.col("s"))).collect()]
-    assert got == ["é [secret] and [secret] [secret]' end", "plain", None, "[secret]"]
+def brute_cuts(spans):
+    out = []
+    for a, z in sorted((s.start, s.end) for s in spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(z, out[-1][1])
+        else:
+            out.append([a, z])
+    return out
+
+
+def test_redaction(spark, tmp_path):
+    jwt = "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12
+    texts = TEXTS + ["é token=abcdef and " + "b" * 30 + " secret='" + "c" * 30 + "' end", "plain", f"{jwt} x{jwt} {jwt}.d token={jwt}", "é" * 1023 + " token=abcdef" + "😀" * 2050 + "f" * 30]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secret_scans.scan_incremental(rows, f"{tmp_path}/ledger")
+    laid = found.join(rows, F.col("path") == F.col("doc_id")).select("doc_id", "text", "spans", "cuts", secret_scans.blocks_of(F.coalesce("text", F.lit(""))).alias("blocks"))
+    for r in laid.withColumn("out", secret_scans.redact(F.col("blocks"), F.col("cuts"))).where("size(cuts) > 0").collect():
+        cuts, at, want = brute_cuts(r.spans), 0, ""
+        assert [list(c) for c in r.cuts] == cuts
+        for a, z in cuts:
+            want, at = want + r.text[at:a] + "[secret]", z
+        assert r.out == want + r.text[at:]
+    kinds = {r.path: [(s.kind, s.start) for s in r.spans] for r in found.collect()}
+    assert [k for k in kinds[len(TEXTS) + 2] if k[0] == "jwt"] == [("jwt", 0), ("jwt", 85), ("jwt", 135)]
+
+
+def test_long_texts_take_linear_work(spark, tmp_path):
+    """A megabyte of dots, of token beginnings, and a hundred thousand secrets, each in seconds."""
+    many = "".join(f"token=secret{k:06d} " for k in range(100_000))
+    texts = ["." * 10**6, "eyJ" * 333_333, "-eyJ" * 250_000, "-----BEGIN " * 90_000, "token " * 160_000, many, "1," * 500_000, "gh" * 500_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r.path: r.n for r in secret_scans.scan_incremental(rows, f"{tmp_path}/ledger").selectExpr("path", "size(spans) as n").collect()}
+    assert got == dict.fromkeys(range(8), 0) | {5: 100_000}
+    docs = spark.createDataFrame([(5, many, "en", "s", len(many))], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.secrets_stage(spark, docs, "").first()
+    assert out.text == "[secret] " * 100_000 and out.n_chars == len(out.text)
+    items = spark.createDataFrame([(1, "What is the capital of France in the year of the great fire?")], "item_id long, text string")
+    assert decontaminate.leaks(rows, items).count() == 0
+    assert time.time() - began < 90
 
 
 def brute_leaks(docs, items, size=8, least=6):
@@ -140,7 +179,7 @@ def test_leaks(spark):
     rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(5))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(rows, items).collect()}
-    assert {k for k, r in got.items() if r.contaminated} == {(1, 2), (2, 1), (8, 2), (9, 2)}
+    assert {k for k, r in got.items() if r.contaminated} == {(1, 2), (2, 1), (8, 2), (9, 2), (None, 2)}
     assert got[2, 1].kind == "reparameterised" and got[3, 1].kind == "inconsistent" and got[1, 2].kind == "verbatim"
     assert decontaminate.leaks(rows.limit(0), items).count() == 0 and decontaminate.leaks(rows, items.limit(0)).count() == 0
 
@@ -186,3 +225,49 @@ def test_leaks_of_names_and_cases(spark):
     ]
     got = contaminated(spark, texts, [alice, anna, dense])
     assert got == {(0, 0): "reparameterised", (2, 1): "reparameterised", (3, 2): "verbatim", (4, 2): "verbatim", (5, 2): "verbatim", (6, 1): "verbatim"}
+
+
+def test_leaks_of_repeated_ids(spark):
+    """Rows of one id are judged each; what an id gets does not depend on their order or partitions."""
+    filler = "one more plain sentence of words that mean nothing here "
+    docs = [(1, filler), (1, filler + ITEMS[1][1]), (1, "a train leaves Chicago at 45 miles and arrives in Dallas after 7 hours so how far is the way from Chicago to Dallas in total")] * 3
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for order, parts in ((docs, 1), (docs[::-1], 5)):
+        rows = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        got = [(r.doc_id, r.item_id, r.kind, r.contaminated) for r in decontaminate.leaks(rows, items).collect()]
+        assert sorted(got) == [(1, 1, "reparameterised", True), (1, 2, "verbatim", True)]
+        assert decontaminate.leaks_by_text(rows, items).where("contaminated").select("text_id").distinct().count() == 2
+
+
+def test_only_matched_texts_are_tokenised_again(spark):
+    """Texts are held against the matched hashes before they are stored; only what is stored is tokenised."""
+    rows = spark.createDataFrame([(k, f"some words of text number {k}") for k in range(50)] + [(99, ITEMS[0][1])] * 3, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = decontaminate.durable(decontaminate.matches(rows, items))
+    kept, before = [], decontaminate.durable
+    decontaminate.durable = lambda df: kept.append(before(df)) or kept[-1]
+    try:
+        decontaminate.slot_values(found, rows, items)
+    finally:
+        decontaminate.durable = before
+    assert [k.count() for k in kept if "text" in k.columns] == [1]
+
+
+def test_reparameterised_leaks_as_sql(spark, tmp_path):
+    """The whole query over planted copies, re-parameterised and inconsistent ones, against its SQL."""
+    base = spark.read.parquet(f"{SMALL}/documents.parquet")
+    item = "yesterday a train left {} at {} km and came to {} after {} hours so how far is it from {} to {} in all told"
+    made = [item.format(a, n, b, m, a2, b2) for a, n, b, m, a2, b2 in (
+        ("Boston", 30, "Denver", 5, "Boston", "Denver"), ("Chicago", 45, "Dallas", 7, "Chicago", "Dallas"), ("Boston", 30, "Denver", 5, "Austin", "Miami"))]
+    rows = [(90_000 + k, f"some words go before {t} and some go after", "en", "s", len(t)) for k, t in enumerate(made)]
+    base.unionByName(spark.createDataFrame(rows, base.schema)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    items.unionByName(spark.createDataFrame([(9000, made[0])], items.schema)).coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = decontaminate.op2_decontamination(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.kind for r in got if r.item_id == 9000} == {90_000: "verbatim", 90_001: "reparameterised", 90_002: "inconsistent"}
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = c.execute(ORACLE_SQL["op2_decontamination"])
+    names = [d[0] for d in found.description]
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(found.fetchall())
