@@ -1,6 +1,7 @@
 """WARC round trips, packing, and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -19,33 +20,59 @@ JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 
 
 def check_pages(pages, found):
+    """best: the largest id of a payload; none if no page of it has one."""
     best = {}
     for i, _, h in pages:
-        if i is not None:
-            best[h or ""] = max(best.get(h or "", -1), i)
-    want = set()
+        best[h or ""] = max((x for x in (best.get(h or ""), i) if x is not None), default=None)
+    want = []
     for i, _, h in pages:
-        if i is not None:
-            raw = (h or "").encode()
-            first = best[h or ""]
-            want.add((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == first else "revisit", None if i == first else first))
-    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found} == want
-    ordered = [(r.urlkey, r.captured_at, r.page_id) for r in sorted(found, key=lambda r: (r.part, r.pos))]
+        raw, first = (h or "").encode(), best[h or ""]
+        refers = None if first is None or i == first else first
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if refers is None else "revisit", refers))
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == sorted(want, key=str)
+    ordered = [(r.urlkey, r.captured_at, r.page_id is None, r.page_id or 0) for r in sorted(found, key=lambda r: (r.part, r.pos))]
     assert ordered == sorted(ordered)
 
 
 PAGES = [
     (1, "http://a.com/x", "<p>same</p>"), (2, "http://b.com/", "<p>same</p>"), (3, None, None), (4, "", ""), (5, "http://a.com/x", "line\r\n\r\nWARC/1.1\r\n\r\n"),
-    (6, "http://a.com/x\r\ny", "é😀" * 1000), (7, "http://a.com/x", "x" * 3_000_000), (None, "http://n.com", "gone"), (8, "http://c.com:80/", "\r\n"), (9, "http://a.com/x", "\r\n"),
+    (6, "http://a.com/x\r\ny", "é😀" * 1000), (7, "http://a.com/x", "x" * 3_000_000), (None, "http://n.com", "gone"), (None, "http://n.com", "gone"), (None, "http://n.com", "\r\n"), (2, "http://b.com/", "<p>same</p>"), (2**60 + 1, "http://a.com/big", "own"), (8, "http://c.com:80/", "\r\n"), (9, "http://a.com/x", "\r\n"),
 ]
 
 
-@pytest.mark.parametrize("file_records, range_rows", [(5000, 100_000), (2, 2)])
-def test_archives_round_trip(spark, tmp_path, file_records, range_rows, monkeypatch):
+@pytest.mark.parametrize("file_bytes, range_rows", [(16 << 20, 100_000), (1, 2), (600, 3)])
+def test_archives_round_trip(spark, tmp_path, file_bytes, range_rows, monkeypatch):
     monkeypatch.setattr(warc.merge_runs, "__defaults__", (range_rows,))
-    rows = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumns({"sha": F.lit(1), "best": F.lit(2)})
-    warc.write_archives(rows, f"{tmp_path}/w", file_records=file_records)
-    check_pages(PAGES, warc.captures(spark, f"{tmp_path}/w").collect())
+    rows = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("sha", "best", "p", "of", "value", "run")})
+    warc.write_archives(rows, f"{tmp_path}/w", file_bytes=file_bytes)
+    found = warc.captures(spark, f"{tmp_path}/w").collect()
+    check_pages(PAGES, found)
+    bodies = {(i, h or "") for i, _, h in PAGES}
+    for r in found:  # a record alone, by its offset
+        with open(r.run.removeprefix("file:"), "rb") as f:
+            f.seek(r.at)
+            raw = warc.parse(gzip.decompress(f.read(r.size)))
+        assert raw["warc-type"] == r.record_type and (r.record_type == "revisit" or (r.page_id, raw["block"].decode()) in bodies)
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    """Pages of a megabyte that can't be compressed; whole files are gzip files too."""
+    r = random.Random(8)
+    rows = [(k, f"http://h{k % 3}.com/{k}", base64.b64encode(r.randbytes(750_000)).decode()) for k in range(20)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), f"{tmp_path}/w", file_bytes=3 << 20)
+    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
+    assert len(files) >= 6 and all(p.stat().st_size <= (3 << 20) + 1 for p in files)
+    assert sum(gzip.decompress(p.read_bytes()).count(b"WARC-Record-ID") for p in files) == 20
+    check_pages(rows, warc.captures(spark, f"{tmp_path}/w").collect())
+
+
+def test_damaged_archives_are_refused(spark, tmp_path):
+    whole = gzip.compress(warc.record(1, "http://a.com", b"body", None))
+    assert [warc.parse(raw)["block"] for _, _, raw in warc.members(whole + b"\0" + whole)] == [b"body", b"body"]
+    with pytest.raises(ValueError):
+        list(warc.members(whole[:-9]))
+    with pytest.raises(ValueError):
+        warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n")
 
 
 def test_small_payloads_can_stay_responses(spark, tmp_path):
