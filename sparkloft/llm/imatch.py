@@ -1,18 +1,25 @@
 """I-Match fingerprints with randomised lexicons.
 
-A text's terms are its distinct lower-case words. The lexicon holds the terms whose document frequency lies in a band:
-words of one document alone are noise, words of a large part of all documents say nothing. Each of the randomised subsets
-keeps a lexicon term with a probability of its own; a text's terms in a subset, distinct and sorted, are hashed to
-one signature, and the list of signatures is the fingerprint. Small subsets survive large edits, large ones tell like
-texts apart, so the subsets' probabilities run from 1 to 1/2048.
-
-Document frequencies are counted over all documents, by Spark, on 2^SLOT_BITS slots of a term hash; so the lexicon
-travels as a bitmap of fixed size (2^SLOT_BITS / 8 bytes), whatever the corpus. A slot shared by several terms counts for
-all of them, for all texts alike.
-
-Defined results: null text counts as empty. A text with terms but none in the band uses all its terms; the empty text has
-the signature 0 throughout. Likeness of two equal fingerprints is 1. Documents of one id follow each other by a hash of
-their texts. Documents without an id have no place in the order; `follow` leaves them out.
+A text's terms are its distinct lower-case words. The lexicon holds the terms whose inverse document frequency ln(documents /
+documents with the term) lies in BAND, and that stand in at least MIN_DOCS documents: rarer words are noise, words of a large
+part of all documents say nothing. Each of the randomised subsets keeps a lexicon term with a probability of its own (RATES);
+a text's terms in a subset, distinct and sorted, are hashed to one signature. The fingerprint is the number of terms and the
+list of signatures.
+
+Document frequencies are exact: every task counts its distinct terms (64-bit hashes), Spark adds them up. As documents hold A
+distinct terms on average, at most A times exp(BAND's end) terms can be in the band, whatever the number of documents; so the
+lexicon is sent to the tasks as a sorted list of hashes. Its size is counted first; beyond MAX_LEXICON terms (128 MB) the run
+stops and asks for a smaller band, rather than leave out terms.
+
+Likeness: two texts that differ in d terms (of one or the other) have equal signatures at rate p with probability (1 - p)^d,
+those that are empty for both included. From the observed equal and unequal signatures follows how probable each share of terms
+in common, 1 - d / (terms of both), is, if all were alike likely before; the likeness is its mean.
+
+Defined results: null text counts as empty. A text with terms but none in the band uses all its terms; the empty text has no
+terms and the signature 0 throughout. Likeness is 1 for equal fingerprints and for no others. The order of documents is by id, those
+without one last; documents of one id (or none) follow each other by a hash of their texts, equal ones in any order. One
+document alone follows itself. Very long texts are read whole; one text at a time is held. Empty tables give empty results. Only the
+named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -23,19 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloft.llm.batches import filled
 from sparkloft.sources.tables import durable, table
 
-SLOT_BITS, MIN_DOCS, MAX_SHARE, MAX_RANGES = 26, 2, 0.05, 40_000
+#: Inverse document frequencies (natural logarithm) of the lexicon: from a twentieth of all documents to one in 49,000.
+BAND, MIN_DOCS, MAX_LEXICON = (3.0, 10.8), 2, 16_000_000
+#: Documents of a range, and most ranges. A range is streamed, so its size bounds no memory.
+RANGE_DOCS, MAX_RANGES = 4000, 40_000
 #: Chance of a lexicon term to be in each subset; the first is the whole lexicon.
-RATES = (1.0, *(2.0**-k for k in range(1, 12) for _ in range(4)))
-#: Small subsets say more: theirs is the larger weight in the likeness.
-_WEIGHTS = np.array(RATES) ** -0.5
+RATES = (1.0, *(2.0**-k for k in range(1, 12) for _ in range(5)))
 _LIMITS = np.array([min(int(r * 2**64), 2**64 - 1) for r in RATES], np.uint64)
 _SEEDS = np.array([xxhash.xxh64_intdigest(f"lexicon {k}") | 1 for k in range(len(RATES))], np.uint64)
+#: Shares of terms in common that are tried.
+_SHARES = np.arange(0, 1, 1 / 40)
+_LEVELS, _LEVEL = np.unique(RATES, return_inverse=True)
+_DIFFER = np.log1p(-np.minimum(_LEVELS, 1 - 1e-9))
 
 
 def terms(text: str) -> np.ndarray:
@@ -44,155 +57,160 @@ def terms(text: str) -> np.ndarray:
     return np.sort(np.fromiter((digest(w) for w in set(text.lower().split())), np.uint64))
 
 
-def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def signatures(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    """One 32-bit signature per subset; 0 where the subset holds no term of the text."""
+def signatures(hashes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """The number of terms that count, and one 32-bit signature per subset; 0 where the subset holds no term of the text."""
+    out = np.zeros(len(RATES) + 1, np.uint32)
     if not len(hashes):
-        return np.zeros(len(RATES), np.uint32)
-    at = slots(hashes, bits)
-    inside = hashes[(bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        return out
+    at = np.searchsorted(lexicon, hashes)
+    inside = hashes[lexicon[np.minimum(at, len(lexicon) - 1)] == hashes] if len(lexicon) else hashes[:0]
     chosen = inside if len(inside) else hashes
+    out[0] = len(chosen)
     mixed = chosen[None, :] * _SEEDS[:, None]
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
     keep = mixed <= _LIMITS[:, None]
-    out = np.zeros(len(RATES), np.uint32)
     for k in np.flatnonzero(keep.any(axis=1)):
-        out[k] = xxhash.xxh32_intdigest(chosen[keep[k]].tobytes()) or 1
+        out[k + 1] = xxhash.xxh32_intdigest(chosen[keep[k]].tobytes()) or 1
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted share of equal signatures among the subsets that hold a term of either text; 1 if none does."""
-    used = ((a != 0) | (b != 0)) * _WEIGHTS
-    return float(used[a == b].sum() / used.sum()) if used.any() else 1.0
+    """The estimated share of terms in common; see above."""
+    same = a == b
+    if same.all():
+        return 1.0
+    both = int(a[0]) + int(b[0])
+    differ = np.maximum(1 - _SHARES, 1 / both) * both
+    differ = np.maximum(differ, abs(int(a[0]) - int(b[0])))
+    equal = np.minimum(np.outer(differ, _DIFFER), -1e-12)
+    found, all_ = np.bincount(_LEVEL[same[1:]], minlength=len(_LEVELS)), np.bincount(_LEVEL)
+    chance = equal @ found + np.log(-np.expm1(equal)) @ (all_ - found)
+    chance = np.exp(chance - chance.max())
+    return float((chance @ (1 - differ / both)) / chance.sum())
 
 
 def written(signature: np.ndarray) -> str:
     return signature.astype(">u4").tobytes().hex()
 
 
-def lexicon(docs: DataFrame, text: str = "text", bits: int = SLOT_BITS, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> bytes:
-    """The bitmap of slots whose document frequency is in the band."""
+def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND, min_docs: int = MIN_DOCS, most: int = MAX_LEXICON) -> np.ndarray:
+    """The hashes of the terms in the band, ascending."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, n = [], 0, 0
+        held, size = [], 0
         for b in filled(batches):
             for t in b["body"]:
-                held.append(np.unique(slots(terms(t), bits)))
+                held.append(terms(t))
                 size += len(held[-1])
-            n += len(b)
             if size > 4_000_000:
                 yield _counted(held)
                 held, size = [], 0
-        yield _counted(held)
-        yield pd.DataFrame({"slot": [-1], "n": [n]})
-
-    # the counts of slots below each chunk become one piece of the bitmap: at most 2^SLOT_BITS / 2^17 rows reach the driver
-    counted = rows.mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    counted = durable(counted.where((F.col("n") >= min_docs) | (F.col("slot") < 0)))
-    whole = counted.where("slot < 0").agg(F.sum("n")).first()[0] or 0
-    inside = counted.where((F.col("slot") >= 0) & (F.col("n") <= max(max_share * whole, min_docs)))
-
-    def chunk(b: pd.DataFrame) -> pd.DataFrame:
-        bitmap = np.zeros(1 << 14, np.uint8)
-        at = b["slot"].to_numpy() & ((1 << 17) - 1)
-        np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return pd.DataFrame({"chunk": [int(b["chunk"].iloc[0])], "bits": [bitmap.tobytes()]})
+        if held:
+            yield _counted(held)
 
-    chunks = inside.select(F.shiftright("slot", 17).alias("chunk"), "slot").groupBy("chunk").applyInPandas(chunk, "chunk long, bits binary")
-    out = np.zeros((max(1, 1 << (bits - 17)), 1 << 14), np.uint8)
-    for r in chunks.toLocalIterator():
-        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.tobytes()
+    n = rows.count()
+    idf = F.log(F.lit(float(max(n, 1))) / F.col("n"))
+    counted = rows.mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    inside = durable(counted.where((F.col("n") >= min_docs) & idf.between(*band)).select("term"))
+    size = inside.count()
+    if size > most:
+        raise ValueError(f"the band {band} holds {size} terms, more than {most} that are sent to tasks; lower its end")
+    return np.sort(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in inside.toArrow()["term"].chunks)]).view(np.uint64))
 
 
 def _counted(held: list[np.ndarray]) -> pd.DataFrame:
-    slot, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.array([], int), np.array([], int))
-    return pd.DataFrame({"slot": slot, "n": n})
+    term, n = np.unique(np.concatenate(held), return_counts=True)
+    return pd.DataFrame({"term": term.view(np.int64), "n": n})
 
 
-def fingerprints(docs: DataFrame, bitmap: bytes, text: str = "text", bits: int = SLOT_BITS) -> DataFrame:
-    """The documents with `fingerprint`, 8 hex digits per subset."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def fingerprints(docs: DataFrame, known: np.ndarray, text: str = "text", name: str = "fingerprint") -> DataFrame:
+    """The documents with a column `name` of fingerprints, 8 hex digits for the number of terms and for each subset."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        marks = np.frombuffer(shared.value, np.uint8)
-        return pd.Series([written(signatures(terms(t or ""), marks, bits)) for t in texts], dtype=object)
+        return pd.Series([written(signatures(terms(t or ""), shared.value)) for t in texts], dtype=object)
 
-    return docs.withColumn("fingerprint", of(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(name, of(F.coalesce(F.col(text), F.lit(""))))
 
 
-def range_of(key: Column, cuts: list[int]) -> Column:
+KEY = "struct<no_id:boolean,id:bigint,h:bigint>"
+
+
+def range_of(key: Column, cuts: list, kind: str = "bigint") -> Column:
     """How many of the ascending cuts are at most the key: first among every so manieth, then among those between."""
     if not cuts:
         return F.lit(0)
     step = max(1, round(len(cuts) ** 0.5))
     blocks = [cuts[k : k + step] for k in range(0, len(cuts), step)]
-    firsts = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<bigint>")
-    inner = F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>")
+    firsts = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), f"array<{kind}>")
+    inner = F.from_json(F.lit(json.dumps(blocks)), f"array<array<{kind}>>")
     k = F.size(F.filter(firsts, lambda c: c <= key))
     return F.when(k == 0, 0).otherwise((k - 1) * step + F.size(F.filter(F.try_element_at(inner, F.greatest(k, F.lit(1))), lambda c: c <= key)))
 
 
-def follow(docs: DataFrame, bitmap: bytes, per_part: int = 4000, bits: int = SLOT_BITS) -> DataFrame:
-    """docs: doc_id, body. Each document's fingerprint, that of its text with the last quarter replaced by the start of
-    the next document (by id), and the likeness to it and to the next document.
+def follow(docs: DataFrame, known: np.ndarray, per_part: int = RANGE_DOCS) -> DataFrame:
+    """docs: doc_id (long), body (not null). Each document's fingerprint, that of its text with the last quarter replaced by the
+    start of the next document (by id), and the likeness to it and to the next document.
 
-    The texts are shuffled once, by ranges of ids; the head of each range is also sent to the range before.
+    The texts are shuffled once, by ranges of ids, each range to a task of its own; the head of each range is also sent to the
+    range before.
     """
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null")
-    ids = docs.select("doc_id")
-    n = ids.count()
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("body").alias("h")).cast(KEY)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "body", key.alias("key"))
+    keys = docs.select("key")
+    n = keys.count()
+    if not n:
+        return spark.createDataFrame([], FOLLOWED_DDL)
     parts = max(1, min(MAX_RANGES, n // per_part))
-    drawn = ids.sample(fraction=min(1.0, 50 * parts / n), seed=1) if parts > 1 else ids.limit(0)  # bounds of ranges only
-    drawn = np.sort(drawn.toPandas()["doc_id"].to_numpy(np.int64))
-    cuts = sorted({int(drawn[len(drawn) * k // parts]) for k in range(1, parts)}) if len(drawn) else []
-    dealt = docs.withColumn("part", range_of(F.col("doc_id"), cuts))
-    heads = dealt.select("doc_id", "part").groupBy("part").agg(F.min("doc_id").alias("head"))
-    found = sorted((r["part"], r["head"]) for r in heads.collect())  # one row per range
-    if not found:
-        return spark.createDataFrame([], FOLLOWED)
-    before = spark.createDataFrame([(head, found[k - 1][0]) for k, (_, head) in enumerate(found)], "head long, before int")
-    firsts = docs.join(F.broadcast(before), F.col("doc_id") == F.col("head"))  # at most MAX_RANGES rows
-    firsts = firsts.groupBy("doc_id").agg(F.min_by("body", F.xxhash64("body")).alias("body"), F.first("before").alias("part"))
-    tails = firsts.withColumn("tail", F.lit(1))
-    both = dealt.select("doc_id", "body", "part", F.lit(0).alias("tail")).unionByName(tails)
-    laid = both.repartition(parts, "part").sortWithinPartitions("part", "tail", "doc_id", F.xxhash64("body"))
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.frombuffer(shared.value, np.uint8)
+    drawn = []
+    if parts > 1:  # bounds of ranges only
+        drawn = sorted(tuple(r) for r in keys.sample(fraction=min(1.0, 50 * parts / n), seed=1).select("key.*").collect())
+    cuts = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if drawn else []
+    dealt = docs.withColumn("part", range_of(F.col("key"), [dict(zip(("no_id", "id", "h"), c)) for c in cuts], KEY))
+    heads = dealt.groupBy("part").agg(F.min("key").alias("head"))
+    found = sorted((r["part"], tuple(r["head"])) for r in heads.collect())  # one row per range
+    before = spark.createDataFrame([(*head, found[k - 1][0]) for k, (_, head) in enumerate(found)], "no_id boolean, id bigint, h bigint, part int")
+    firsts = docs.join(F.broadcast(before), (F.col("key.no_id") == F.col("no_id")) & (F.col("key.id") == F.col("id")) & (F.col("key.h") == F.col("h")))
+    firsts = firsts.groupBy("part").agg(F.min("body").alias("body"))  # at most MAX_RANGES rows
+    tails = firsts.select(F.lit(None).cast("long").alias("doc_id"), "body", F.lit(None).cast(KEY).alias("key"), "part", F.lit(1).alias("tail"))
+    both = dealt.select("doc_id", "body", "key", "part", F.lit(0).alias("tail")).unionByName(tails)
+    laid = both.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "tail", "key")
+    shared = spark.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for b in filled(batches):
+        for b in batches:
             out = []
-            for key, body, range_, tail in zip(b["doc_id"], b["body"], b["part"], b["tail"]):
-                mine = signatures(terms(body), known, bits)
+            for doc_id, body, range_, tail in zip(*(c.to_pylist() for c in b.columns)):
+                mine = signatures(terms(body), shared.value)
                 if last is not None and last[2] == range_:
-                    out.append(_judge(last, body, mine, known, bits))
-                last = None if tail else (key, body, range_, mine)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLLOWED.split(", ")])
+                    out.append(_judge(last, body, mine, shared.value))
+                last = None if tail else (doc_id, body, range_, mine)
+            columns = list(zip(*out)) or [()] * len(FOLLOWED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOLLOWED)], schema=FOLLOWED)
 
-    return laid.mapInPandas(run, FOLLOWED)
+    return laid.select("doc_id", "body", "part", "tail").mapInArrow(run, FOLLOWED_DDL)
 
 
-FOLLOWED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FOLLOWED = pa.schema([
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("near_edited", pa.float64()), ("near_next", pa.float64()),
+])
+FOLLOWED_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _judge(doc: tuple, after: str, of_next: np.ndarray, known: np.ndarray, bits: int) -> tuple:
-    key, body, _, mine = doc
+def _judge(doc: tuple, after: str, of_next: np.ndarray, known: np.ndarray) -> tuple:
+    doc_id, body, _, mine = doc
     n = len(body)
     edited = body[: n - n // 4] + after[: n // 4]
-    other = signatures(terms(edited), known, bits)
+    other = signatures(terms(edited), known)
     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return key, n, sha, written(mine), written(other), likeness(mine, other), likeness(mine, of_next)
+    return doc_id, n, sha, written(mine), written(other), likeness(mine, other), likeness(mine, of_next)
 
 
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """SimHash groups and I-Match fingerprints against brute force and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -158,31 +160,83 @@ def test_components_of_a_long_path(spark):
     assert got == {k: 0 for k in range(201)} | {500: 500, 900: 500, 700: 500}
 
 
-def test_imatch_query(spark):
+def brute_lexicon(texts):
+    """Words in at least two documents whose inverse document frequency is in the band."""
+    df = Counter(w for t in texts for w in set((t or "").lower().split()))
+    return {w for w, k in df.items() if k >= 2 and imatch.BAND[0] <= math.log(len(texts) / k) <= imatch.BAND[1]}
+
+
+def brute_signatures(text, known):
+    """Number of terms, and a hash of the sorted terms of each subset, term by term."""
+    words = set(text.lower().split())
+    hashes = sorted(xxhash.xxh64_intdigest(w) for w in words & known or words)
+    out = [len(hashes)]
+    for k, rate in enumerate(imatch.RATES):
+        seed, kept = xxhash.xxh64_intdigest(f"lexicon {k}") | 1, []
+        for h in hashes:
+            x = h * seed % 2**64
+            x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+            if (x ^ x >> 32) <= min(int(rate * 2**64), 2**64 - 1):
+                kept.append(h)
+        out.append((xxhash.xxh32_intdigest(b"".join(h.to_bytes(8, "little") for h in kept)) or 1) if kept else 0)
+    return out
+
+
+def brute_likeness(a, b):
+    """The mean share of terms in common, signature by signature."""
+    if a == b:
+        return 1.0
+    both, shares = a[0] + b[0], []
+    for k in range(40):
+        d = max((1 - k / 40) * both, 1, abs(a[0] - b[0]))
+        logs = [(d * math.log1p(-min(p, 1 - 1e-9)), x == y) for p, x, y in zip(imatch.RATES, a[1:], b[1:])]
+        shares.append((sum(min(q, -1e-12) if same else math.log(-math.expm1(min(q, -1e-12))) for q, same in logs), 1 - d / both))
+    top = max(c for c, _ in shares)
+    return sum(math.exp(c - top) * s for c, s in shares) / sum(math.exp(c - top) for c, _ in shares)
+
+
+def test_imatch_query_as_brute_force(spark):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+    known = brute_lexicon([t for _, t in docs])
     got = {r.doc_id: r for r in imatch.op4_imatch_fingerprints(spark, SMALL).collect()}
     assert len(got) == len(docs)
-    by_text = {}
+    text_of = lambda sig: "".join(f"{x:08x}" for x in sig)
     for k, (i, text) in enumerate(docs):
-        after, n = docs[(k + 1) % len(docs)], len(text)
-        edited = text[: n - n // 4] + after[1][: n // 4]
+        after, n = docs[(k + 1) % len(docs)][1], len(text)
+        edited = text[: n - n // 4] + after[: n // 4]
+        mine, other, next_ = (brute_signatures(t, known) for t in (text, edited, after))
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
-        assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
-        assert (r.near_next == 1) == (r.fingerprint == got[after[0]].fingerprint)
-        assert 0 <= r.near_edited <= 1
-    assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
+        assert (r.fingerprint, r.edited_fingerprint) == (text_of(mine), text_of(other))
+        assert abs(r.near_edited - brute_likeness(mine, other)) < 1e-9 and abs(r.near_next - brute_likeness(mine, next_)) < 1e-9
+    assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.95 and np.mean([r.near_edited for r in got.values()]) > 0.6
+
+
+def test_likeness_estimates_common_terms():
+    r = np.random.default_rng(3)
+    for size in (10, 100, 3000):
+        for common in (0.0, 0.6, 0.9):
+            found = []
+            for _ in range(60):
+                a, b = r.integers(0, 2**63, size).astype(np.uint64), r.integers(0, 2**63, size).astype(np.uint64)
+                b[: int(common * size)] = a[: int(common * size)]
+                found.append(imatch.likeness(*(imatch.signatures(np.sort(x), np.zeros(0, np.uint64)) for x in (a, b))))
+            assert abs(np.mean(found) - common) < 0.15, (size, common, np.mean(found))
 
 
 def test_imatch_in_ranges(spark):
-    """Many small ranges give what one range gives, also for odd rows."""
-    docs = [(k * 7, f"term{k % 5} term{k % 11} word{k} é😀 " * (k % 4)) for k in range(60)] + [(3, None), (5, ""), (7, "x"), (7, "x")]
-    given = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    bitmap = imatch.lexicon(given, "body", bits=17)
-    one = sorted(map(tuple, imatch.follow(given, bitmap, bits=17).collect()))
-    many = sorted(map(tuple, imatch.follow(given, bitmap, per_part=5, bits=17).collect()))
-    assert one == many and len(one) == len(docs)
-    assert imatch.follow(given.limit(0), bitmap, bits=17).count() == 0
+    """Many small ranges give what one range gives, also for odd rows; every row is there."""
+    docs = [(k * 7, f"term{k % 5} term{k % 11} word{k} é😀 " * (k % 4)) for k in range(60)]
+    docs += [(3, None), (5, ""), (7, "x"), (7, "x"), (7, "y"), (None, "no id"), (None, "no id"), (None, None), (2**60 + 1, "large"), (-4, "term1 " * 100_000)]
+    given = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"key": F.lit(1), "part": F.lit(2), "tail": F.lit(3), "h": F.lit(4)})
+    given = given.withColumn("body", F.coalesce("text", F.lit("")))
+    known = imatch.lexicon(given, "body")
+    one = sorted(map(tuple, imatch.follow(given, known).collect()), key=str)
+    many = sorted(map(tuple, imatch.follow(given, known, per_part=5).collect()), key=str)
+    assert one == many and sorted(r[0] for r in one if r[0] is not None) == sorted(i for i, _ in docs if i is not None) and len(one) == len(docs)
+    assert imatch.follow(given.limit(0), known).count() == 0 and len(imatch.lexicon(given.limit(0))) == 0
+    alone = imatch.follow(given.where("doc_id = 3"), known).first()
+    assert alone.near_next == 1 and alone.n_chars == 0
 
 
 def test_ranges(spark):
@@ -192,10 +246,14 @@ def test_ranges(spark):
 
 
 def test_lexicon_is_the_band(spark):
-    docs = spark.createDataFrame([(k, f"every w{k % 3} own{k}") for k in range(30)], "doc_id long, text string")
-    marks = np.frombuffer(imatch.lexicon(docs, bits=26, max_share=0.5), np.uint8)
-    inside = lambda w: bool(marks[(s := int(imatch.slots(imatch.terms(w), 26)[0])) >> 3] >> (s & 7) & 1)
-    assert inside("w0") and not inside("every") and not inside("own3")
+    texts = [f"every w{k % 3} own{k} t{k // 30}" for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for band in ((0.5, 10.8), (0.0, 1.0), (3.0, 10.8)):
+        df = Counter(w for t in texts for w in set(t.split()))
+        want = {w for w, k in df.items() if k >= 2 and band[0] <= math.log(90 / k) <= band[1]}
+        assert set(imatch.lexicon(docs, band=band).tolist()) == {xxhash.xxh64_intdigest(w) for w in want}
+    with pytest.raises(ValueError):
+        imatch.lexicon(docs, band=(0.0, 5.0), most=3)
 
 
 def test_recall_of_planted_pairs(spark):
