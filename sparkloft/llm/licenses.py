@@ -1,17 +1,20 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-A sparse logistic regression over word n-grams (1 to 3 words) gives each line, and each stretch of lines between blank ones, a licence family or
-`unknown`. It is trained here, on variants of the public notices below and on unlicensed paragraphs; the unknown class
-is one of its classes, and its probabilities are calibrated by one temperature on variants kept from training. A prediction
-counts only if the paragraph also shares enough of a template's word pairs. Lines that are a notice by themselves are found
-first; the lines left between them and blank lines are joined (marks of comments are no words), and stretches about as long as
-a template are looked through, so notices wrapped over lines, or within long lines, are found too.
+A paragraph is a run of lines between blank ones; marks of comments are no words. A sparse logistic regression over word n-grams
+(1 to 3 words) gives a line of it, and each stretch of its words about as long as a notice, a licence family or `unknown`.
+It is trained here, on variants of the public notices below and on unlicensed sentences; the unknown class is one of its
+classes, and its probabilities are calibrated by one temperature on other wordings, which it was not trained on. A prediction
+counts only if the words also share enough of a template's word pairs. Lines that are a notice by themselves are found
+first; the lines left between them are joined, so notices wrapped over lines, or within long lines, are found too. A notice
+that is denied ("not released under ...") is none. The version is the number that the notice itself names.
 
 Features are n-grams of the notices that hold at least one of their less common words. A paragraph without any such
 word has no feature and is unknown by definition, so most paragraphs are settled by one look at their words.
 
-Defined results: null text counts as empty, with no finding. Repeated rows each get findings. Empty tables give empty
-results.
+Defined results: null text counts as empty, with no finding. Repeated rows each get findings; a null id is an id like others, in
+`op8_license_scan` repeated ids are one document with the findings of all its texts. Of notices that overlap the one with the
+largest share of its template counts, on a tie the longer, then the first. Very long texts are read whole, a paragraph at a
+time. Empty tables give empty results. Only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloft.llm.batches import filled
-from sparkloft.sources.tables import table
+from sparkloft.sources.tables import durable, table
 
-#: Public notices by family.
+#: Public notices by family, that the classifier is trained on and findings are compared with.
 TEMPLATES = {
-    "apache-2.0": [
+    "apache": [
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Licensed under the Apache License, Version 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
@@ -44,7 +47,16 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1"],
+    "agpl": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
+    "lgpl": [
+        "This library is licensed under the GNU Lesser General Public License.",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: LGPL-2.1",
+    ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
@@ -54,11 +66,19 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "cc0": ["This work is released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
     "proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
 #: Lines that speak of like things without granting a licence.
@@ -67,11 +87,27 @@ UNLICENSED = (
     "Use the file in the folder.|The general public was not admitted.|Creative people work in common rooms.|"
     "A copy of the letter was made.|The apache helicopter landed.|Version 2.0 of the plan was released.|"
     "Permission to enter was not given.|The foundation was laid in spring.|The source of the river is in the hills.|"
-    "The terms of the treaty were published.|Students of MIT won the prize.|A public library opened.|The license plate was bent."
+    "The terms of the treaty were published.|Students of MIT won the prize.|A public library opened.|The license plate was bent.|"
+    "The moon hid the sun in the eclipse.|All rights of way are reserved for walkers.|The program of the evening was free."
 ).split("|")
+#: Other wordings, for calibration alone.
+HELD_OUT = {
+    "apache": ["This file is licensed under the Apache License 2.0"], "mit": ["Distributed under the MIT License", "The code is licensed under the MIT license"],
+    "gpl": ["This file is released under the GNU General Public License v3"], "lgpl": ["Licensed under the GNU Lesser General Public License version 2.1"],
+    "agpl": ["Released under the GNU Affero General Public License v3"], "cc-by": ["Available under a Creative Commons Attribution 4.0 license"],
+    "bsd": ["Released under the BSD license"], "mpl": ["Distributed under the Mozilla Public License 2.0"], "isc": ["Released under the ISC license"],
+    "unknown": [
+        "The public may enter under these terms", "A free copy of the work in any form", "The general gave his permission", "The source of the file is a library",
+        "This version is the work of students", "Under the terms of the contract the program ended", "The commons were open to any person", "They published the notice in a public place",
+    ],
+}
+#: Words that deny, and verbs that grant.
+DENIALS, GRANTS = frozenset("not never no longer isn aren wasn nor".split()), frozenset("licensed released distributed available published covered granted".split())
 COMMON = frozenset("a an the and or of to in on for by is are be it this that with without not as at from any you may under".split())
 UNKNOWN = "unknown"
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.5
+#: Lines of more words are not a notice by themselves; they are looked through with their neighbours.
+LONGEST_LINE = 60
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
@@ -84,49 +120,69 @@ def ngrams(words: list[str], known: frozenset[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1) if not known.isdisjoint(words[i : i + n])]
 
 
+class Rows:
+    """Sparse rows: the columns and values of row r are those from starts[r] on. No row is empty."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+        sizes = [len(at) for at, _ in rows]
+        self.starts, self.row = np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(rows)), sizes)
+        self.at, self.values, self.width = np.concatenate([at for at, _ in rows]), np.concatenate([v for _, v in rows])[:, None], width
+        self.order = np.argsort(self.at, kind="stable")
+        self.columns, self.firsts = np.unique(self.at[self.order], return_index=True)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.values * weights[self.at], self.starts)
+
+    def transposed_times(self, other: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.width, other.shape[1]))
+        out[self.columns] = np.add.reduceat((self.values * other[self.row])[self.order], self.firsts)
+        return out
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def fit_sparse(x: Rows, y: np.ndarray, classes: int, rounds: int, step: float = 5.0, penalty: float = 1e-4, drag: float = 0.9) -> np.ndarray:
+    """Weights of a multinomial logistic regression, by gradient steps with momentum."""
+    weights, pace, hot = np.zeros((x.width, classes)), np.zeros((x.width, classes)), np.eye(classes)[y]
+    for _ in range(rounds):
+        pace = drag * pace + (1 - drag) * (x.transposed_times(hot - softmax(x.times(weights))) / len(y) - penalty * weights)
+        weights = weights + 2 * step * pace
+    return weights
+
+
 class Classifier:
-    def __init__(self, seed: int = 5, variants: int = 40, rounds: int = 300):
+    def __init__(self, seed: int = 5, variants: int = 12, rounds: int = 200):
         notices = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
         self.known = frozenset(w for _, t in notices for w in words_of(t)) - COMMON
         self.families = [*TEMPLATES, UNKNOWN]
         self.pairs = [(f, frozenset(_pairs(words_of(t)))) for f, t in notices]
         self.lengths = [len(words_of(t)) * 5 // 4 for _, t in notices]
+        self.index = {g: k for k, g in enumerate(sorted({g for _, t in notices for g in ngrams(words_of(t), self.known)}))}
         rng = np.random.default_rng(seed)
         fillers = [w for t in UNLICENSED for w in words_of(t)]
-        rows = [(f, words_of(t), v) for f, t in notices for v in range(variants)] + [(UNKNOWN, words_of(t), v) for t in UNLICENSED for v in range(variants)]
-        rows = [(f, self._vary(w, fillers, rng) if v else w, v) for f, w, v in rows]
-        rows += [(UNKNOWN, [str(x) for x in rng.choice(sorted(self.known), 1)], v) for v in range(10 * variants)]
-        self.index = {g: k for k, g in enumerate(sorted({g for _, t in notices for g in ngrams(words_of(t), self.known)}))}
-        x = np.zeros((len(rows), len(self.index) + 1))
-        for at, (_, w, _) in enumerate(rows):
-            x[at] = self._row(w)
-        y = np.array([self.families.index(f) for f, _, _ in rows])
-        kept = np.array([v % 4 == 3 for _, _, v in rows])
-        self.weights, self.temperature = np.zeros((x.shape[1], len(self.families))), 1.0
-        hot = np.eye(len(self.families))[y]
-        for _ in range(rounds):
-            p = self._softmax(x[~kept] @ self.weights)
-            self.weights += 0.5 * (x[~kept].T @ (hot[~kept] - p) / len(p) * 10 - 1e-3 * self.weights)
-        logits = x[kept] @ self.weights
-        loss = {t: -np.log(self._softmax(logits / t)[np.arange(len(logits)), y[kept]] + 1e-9).mean() for t in np.linspace(0.3, 3, 28)}
+        rows = [(f, self._vary(words_of(t), fillers, rng, v)) for f, t in notices + [(UNKNOWN, t) for t in UNLICENSED] for v in range(variants)]
+        rows += [(UNKNOWN, [str(x) for x in rng.choice(sorted(self.known), 1)]) for _ in range(8 * variants)]
+        self.x, self.y = Rows([self._row(w) for _, w in rows], len(self.index) + 1), np.array([self.families.index(f) for f, _ in rows])
+        self.weights = fit_sparse(self.x, self.y, len(self.families), rounds)
+        held = [(self.families.index(f), self._row(words_of(t))) for f, ts in HELD_OUT.items() for t in ts]
+        logits, truth = Rows([r for _, r in held], self.x.width).times(self.weights), np.array([k for k, _ in held])
+        loss = {t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-9).mean() for t in np.linspace(0.3, 3, 28)}
         self.temperature = float(min(loss, key=loss.get))
 
     @staticmethod
-    def _vary(words: list[str], fillers: list[str], rng) -> list[str]:
+    def _vary(words: list[str], fillers: list[str], rng, variant: int) -> list[str]:
+        if not variant:
+            return words
         out = [w for w in words if rng.random() > 0.06] or words
         return [*rng.choice(fillers, rng.integers(0, 6)), *out, *rng.choice(fillers, rng.integers(0, 6))]
 
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=-1, keepdims=True))
-        return e / e.sum(axis=-1, keepdims=True)
-
-    def _row(self, words: list[str]) -> np.ndarray:
-        x = np.zeros(len(self.index) + 1)
-        x[0] = 1
-        at = [self.index[g] + 1 for g in set(ngrams(words, self.known)) if g in self.index]
-        x[at] = 1 / np.sqrt(max(len(at), 1))
-        return x
+    def _row(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and values: the constant, and the n-grams known, as a vector of length one."""
+        at = sorted({self.index[g] + 1 for g in ngrams(words, self.known) if g in self.index})
+        return np.array([0, *at]), np.array([1.0, *[max(len(at), 1) ** -0.5] * len(at)])
 
     def predict(self, paragraph: str) -> tuple[str, float, float]:
         """Family, its probability, and the overlap with the best template of that family."""
@@ -135,13 +191,13 @@ class Classifier:
     def predict_words(self, words: list[str]) -> tuple[str, float, float]:
         if self.known.isdisjoint(words):
             return UNKNOWN, 1.0, 0.0
-        p = self._softmax(self._row(words) @ self.weights / self.temperature)
+        at, values = self._row(words)
+        p = softmax(values @ self.weights[at] / self.temperature)
         family = self.families[int(p.argmax())]
         seen = _pairs(words)
         overlap = max((len(pairs & seen) / len(pairs) for f, pairs in self.pairs if f == family), default=0.0)
         return family, float(p.max()), overlap
 
-
     def stretches(self, words: list[str]) -> list[tuple[int, int, str, float, float]]:
         """Stretches of the words (begin, end) with a confirmed licence, family, probability and overlap; they do not meet."""
         if self.known.isdisjoint(words):
@@ -166,26 +222,43 @@ class Classifier:
         return sorted(found)
 
 
+def denied(words: list[str], begin: int, end: int) -> bool:
+    """Whether a word that grants, between begin and end, has a denial among the three words before it."""
+    return any(words[k] in GRANTS and not DENIALS.isdisjoint(words[max(0, k - 3) : k]) for k in range(begin, end))
+
+
+def version_of(words: list[str]) -> str:
+    """The first number of at most two digits before the point that is not of clauses; empty if there is none."""
+    for w, after in zip(words, [*words[1:], ""]):
+        if re.fullmatch(r"v?\d{1,2}(\.\d+)?", w) and after != "clause":
+            return w.removeprefix("v").removesuffix(".0")
+    return ""
+
+
 def _pairs(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:])) or {(w, "") for w in words}
 
 
-def findings(body: str, model: Classifier) -> list[tuple[int, str, float, float, str]]:
-    """Number of the first line, family, probability, overlap and text of each paragraph with a confirmed licence."""
+def findings(body: str, model: Classifier) -> list[tuple[int, str, str, float, float, str]]:
+    """Number of the first line, family, version, probability, overlap and text of each notice with a confirmed licence."""
     out, run = [], []
 
     def joined() -> None:
         words = [(k, w) for k, line in run for w in words_of(line)]
-        for begin, end, family, p, overlap in model.stretches([w for _, w in words]):
-            first, last = words[begin][0], words[end - 1][0]
-            out.append((first, family, p, overlap, "\n".join(line for k, line in run if first <= k <= last)))
+        plain = [w for _, w in words]
+        for begin, end, family, p, overlap in model.stretches(plain):
+            if not denied(plain, begin, end):
+                first, last = words[begin][0], words[end - 1][0]
+                out.append((first, family, version_of(plain[begin : end + 3]), p, overlap, "\n".join(line for k, line in run if first <= k <= last)))
         run.clear()
 
     for k, line in enumerate(body.split("\n")):
-        family, p, overlap = model.predict(line)
+        words = words_of(line)
+        family, p, overlap = model.predict_words(words) if len(words) <= LONGEST_LINE else (UNKNOWN, 1.0, 0.0)
         if family != UNKNOWN and p >= LEAST_PROBABILITY and overlap >= LEAST_OVERLAP:
             joined()
-            out.append((k, family, p, overlap, line))
+            if not denied(words, 0, len(words)):
+                out.append((k, family, version_of(words), p, overlap, line))
         elif line.strip(" \t\r#*/;%-"):
             run.append((k, line))
         else:
@@ -194,9 +267,12 @@ def findings(body: str, model: Classifier) -> list[tuple[int, str, float, float,
     return out
 
 
+FOUND = "paragraph int, family string, version string, probability double, overlap double, line string"
+
+
 def scan_licenses(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per paragraph with a confirmed licence: doc_id, paragraph (number of its first line), family, probability,
-    overlap, line (several, if the notice is wrapped). Documents without one have no row."""
+    """One row per notice with a confirmed licence: doc_id, paragraph (number of its first line), family, version (empty if none
+    is named), probability, overlap, line (several, if the notice is wrapped). Documents without one have no row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,16 +280,18 @@ def scan_licenses(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", te
             out = []
             for key, body in zip(b["doc_id"], b["body"]):
                 out += [(key, *found) for found in findings(body, model)]
-            yield pd.DataFrame(out, columns=["doc_id", "paragraph", "family", "probability", "overlap", "line"])
+            yield pd.DataFrame(out, columns=["doc_id", *(c.split()[0] for c in FOUND.split(", "))])
 
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, paragraph int, family string, probability double, overlap double, line string")
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, families (sorted, comma-joined; empty if none), n_paragraphs with a licence."""
+    """Per document: doc_id, families (sorted, comma-joined; empty if none), licenses (with versions), n_paragraphs with a licence."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_licenses(docs, Classifier())
-    summed = found.groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count("*").alias("n_paragraphs"))
-    every = docs.select("doc_id").join(summed, "doc_id", "left")
-    return every.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  as many as there are families and versions
+    name = F.concat_ws("-", "family", F.nullif("version", F.lit("")))
+    summed = found.groupBy(F.col("doc_id").alias("id")).agg(listed("family").alias("families"), listed(name).alias("licenses"), F.count("*").alias("n_paragraphs"))
+    every = docs.select("doc_id").join(durable(summed), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return every.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("licenses", F.lit("")).alias("licenses"),
+                        F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"))

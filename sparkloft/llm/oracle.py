@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sparkloft.llm import decontaminate
 from sparkloft.llm.secret_scans import BASE_KINDS, RULES
-from sparkloft.llm.url_filters import RULES as URL_RULES, SPAM_WORDS, TWO_LABEL_SUFFIXES
+from sparkloft.llm.url_filters import RULES as URL_RULES, TWO_LABEL_SUFFIXES
 
 
 def url_filters_sql(max_bad: float = 0.5, z: float = 1.645) -> str:
@@ -27,8 +27,8 @@ def url_filters_sql(max_bad: float = 0.5, z: float = 1.645) -> str:
 
     return f"""
     WITH cut AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_replace(html, '<[^>]*>', ' ', 'g') AS shown FROM pages),
-      judged AS (SELECT *, CAST(regexp_matches(host, '{"|".join(SPAM_WORDS)}') OR coalesce(length(shown) - length(translate(shown, '*$%&#!|', '')) > length(shown) / 50, FALSE) AS INT) AS outcome FROM cut),
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_replace(html, '<[^<>]*>', ' ', 'g') AS shown FROM pages),
+      judged AS (SELECT *, CAST(coalesce(length(shown) - length(translate(shown, '*$%&#!|', '')) > length(shown) / 50, FALSE) AS INT) AS outcome FROM cut),
       hosts0 AS (SELECT host, count(outcome) AS pages, coalesce(sum(CAST(outcome AS DOUBLE)), 0) AS bad, regexp_replace(host, '(:[0-9]*|\\.)$', '') AS plain FROM judged GROUP BY host),
       hosts1 AS (SELECT host, pages, bad, CASE WHEN {labels(2)} IN ({two}) THEN {labels(3)} ELSE {labels(2)} END AS domain,
         CASE WHEN {labels(2)} IN ({two}) THEN {labels(2)} ELSE {labels(1)} END AS suffix FROM hosts0),

@@ -6,18 +6,20 @@ prior (its number of pseudo pages) is estimated from the spread of the children'
 is blocked if the lower bound of its posterior exceeds `max_bad`.
 
 Only DataFrame functions. Counts are summed by host in the map stage, so a host with a third of all pages is one row
-per task in the shuffle; everything after works on one row per host.
+per task in the shuffle; everything after works on one row per host, from a stored table of them, so pages are read once for
+counts and once for verdicts.
 
 Defined results: null url, or one without `://`: host and path are empty, no rule fits, and the empty host has a
-reputation like any other. Null outcome: the page is judged but counts nowhere. Empty tables give empty results.
-Repeated rows are judged each, and count each. Other columns of `pages` are kept unless named like a result.
+reputation like any other. Null outcome: the page is judged but counts nowhere. Rules of one length: the first in order that
+fits counts. Very long urls and pages are read whole. Empty tables give empty results. Repeated rows are judged each, and
+count each; page ids are not looked at. Other columns of `pages`, whatever their names, are kept unless named like a result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkloft.sources.tables import table
+from sparkloft.sources.tables import durable, table
 
 #: Host suffix, path prefix, verdict.
 RULES = (
@@ -31,10 +33,6 @@ RULES = (
 #: Public suffixes of two labels; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "com.cn")
 
-#: Words in a host name that mark advertising and spam.
-SPAM_WORDS = ("spam", "casino", "pills", "bets", "adult", "ads-track", "viagra", "porn")
-
-
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case; empty without `://`."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -73,11 +71,12 @@ def domain_of(host: Column) -> Column:
     return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(plain, ".", -3)).otherwise(two)
 
 
-def page_outcome(url: Column, html: Column) -> Column:
-    """A weak label of a page: 1 if its host has a spam word, or over a fiftieth of its visible text is symbol noise."""
-    shown = F.regexp_replace(html, r"<[^>]*>", " ")
+def page_outcome(html: Column) -> Column:
+    """A weak label of a page, from its visible text alone: 1 if over a fiftieth of it is symbol noise. The host, whose
+    reputation is made of it, has no part in it."""
+    shown = F.regexp_replace(html, r"<[^<>]*>", " ")
     noise = F.length(shown) - F.length(F.translate(shown, "*$%&#!|", ""))
-    return (host_of(url).rlike("|".join(SPAM_WORDS)) | F.coalesce(noise > F.length(shown) / 50, F.lit(False))).cast("int")
+    return F.coalesce(noise > F.length(shown) / 50, F.lit(False)).cast("int")
 
 
 def _strength(children: DataFrame, key: str, mean: str) -> DataFrame:
@@ -99,6 +98,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
         .agg(F.count("bad").alias("pages"), F.coalesce(F.sum(F.col("bad").cast("double")), F.lit(0.0)).alias("bad"))
         .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     )
+    hosts = durable(hosts)
     sums = [F.sum("pages").alias("pages"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums).withColumn("all", F.lit(1))
@@ -128,19 +128,18 @@ def _posterior(mean: str) -> Column:
 
 def filter_urls(pages: DataFrame, outcome: Column, rules=RULES, max_bad: float = 0.5, z: float = 1.645) -> DataFrame:
     """Every page with host, path, rule, bad_rate, lower, upper and verdict (allow or block)."""
-    named = ("host", "path", "rule", "bad_rate", "lower", "upper", "verdict", "_verdict")
+    results = ("host", "path", "rule", "bad_rate", "lower", "upper", "verdict")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    known = reputation(pages.select(host.alias("host"), outcome.alias("bad")), z).select("host", "bad_rate", "lower", "upper")
-    judged = pages.withColumns({"_host": host, "_path": path}).drop(*named)
-    judged = judged.withColumnsRenamed({"_host": "host", "_path": "path"})
-    rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumns({"rule": rule, "_verdict": verdict}).join(known, "host", "left")
+    known = durable(reputation(pages.select(host.alias("host"), outcome.alias("bad")), z).select("host", "bad_rate", "lower", "upper"))
+    kept = F.struct(*[c for c in pages.columns if c.lower() not in results])
+    rule, by_rule = apply_rules(F.col("host"), F.col("path"), rules)
+    judged = pages.select(kept.alias("row"), host.alias("host"), path.alias("path")).join(known, "host", "left")
     method = F.when(F.col("lower") > max_bad, "block").otherwise("allow")
-    return judged.withColumn("verdict", F.coalesce("_verdict", method)).drop("_verdict")
+    return judged.select("row.*", "host", "path", rule.alias("rule"), "bad_rate", "lower", "upper", F.coalesce(by_rule, method).alias("verdict"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    judged = filter_urls(pages, page_outcome(F.col("url"), F.col("html")))
+    judged = filter_urls(pages, page_outcome(F.col("html")))
     rates = [F.round(c, 6).alias(c) for c in ("bad_rate", "lower", "upper")]
     return judged.select("page_id", "host", "path", "rule", "verdict", *rates)

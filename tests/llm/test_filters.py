@@ -32,13 +32,14 @@ URLS = [
 
 
 def test_hosts_paths_and_rules(spark):
-    rows = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    rows = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "_host", "_path", "Path", "row", "_verdict", "bad", "domain")})
     got = {r.page_id: r for r in url_filters.filter_urls(rows, F.lit(0)).collect()}
     for k, url in enumerate(URLS):
         host, path = brute_host_path(url)
         fits = [(len(h + p), h + p, v) for h, p, v in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         want = max(fits)[1:] if fits else (None, "allow")
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, *want), url
+        assert {got[k][c] for c in ('_host', '_path', 'row', '_verdict', 'bad', 'domain')} == {'clash'}
 
 
 def test_reputation_shrinks(spark):
@@ -52,6 +53,14 @@ def test_reputation_shrinks(spark):
     assert url_filters.reputation(spark.createDataFrame([], "host string, bad int")).count() == 0
 
 
+def test_page_outcomes(spark):
+    """Of the visible text alone; long runs of open brackets take linear time."""
+    pages = [None, "", "<p>clean text</p>", "<p>a$b%c</p>", "<a title='$$$$'>plain</a>", "<" * 10**6, "x" * 60 + "<!!>" + "!"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "k int, html string")
+    got = {r.k: r.o for r in rows.select("k", url_filters.page_outcome(F.col("html")).alias("o")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 0}
+
+
 def test_url_query(spark):
     got = url_filters.op3_url_filters(spark, SMALL).toPandas()
     assert len(got) == 50 and set(got["verdict"]) <= {"allow", "block"}

@@ -1,5 +1,6 @@
 """Quality, toxicity and licence classifiers: accuracy on held-out rows, and odd rows."""
 
+import re
 import zlib
 
 import numpy as np
@@ -100,6 +101,7 @@ def test_toxicity_odd_rows(spark):
 def test_licenses_found(spark):
     lines = {t: f for f, ts in licenses.TEMPLATES.items() for t in ts} | {t: None for t in licenses.UNLICENSED}
     lines |= {"RELEASED!! UNDER!! THE!! MIT!! LICENSE.!!": "mit", "the zork license of 1920": None, "Licence": None}
+    lines |= {"This was not released under the MIT License.": None, "The code is no longer licensed under the Apache License, Version 2.0.": None, "Licensed under CC BY 3.0.": "cc-by"}
     docs = [(k, f"Some text above.\n{t}\nand below.") for k, t in enumerate(lines)] + ODD
     given = spark.createDataFrame([(None if i is None else i + 1000 * (i < 7 and t is not None and "above" not in t), t) for i, t in docs], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan_licenses(given.withColumn("family", F.lit("x")), licenses.Classifier()).collect()}
@@ -178,3 +180,35 @@ def test_every_labelled_row_teaches(spark):
     got = kept.collect()
     assert len(got) == 40 and abs(sum(x.weight for x in got if x.y == 0) - (1 + 20)) < 1e-9
     assert toxicity.training_rows(docs.select("doc_id", F.col("text").alias("body")), labels, 12).count() == 12
+
+
+def test_license_versions_and_families():
+    model = licenses.Classifier()
+    cases = {
+        "Licensed under CC BY 3.0.": ("cc-by", "3"), "Licensed under the BSD 3-Clause License.": ("bsd", ""), "SPDX-License-Identifier: LGPL-2.1": ("lgpl", "2.1"),
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3": ("agpl", "3"),
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": ("isc", ""),
+    }
+    for text, want in cases.items():
+        assert [f[1:3] for f in licenses.findings(text, model)] == [want], text
+        assert [f[1:3] for f in licenses.findings("\n# ".join(["#", *re.findall(r"(?:\S+ ?){1,6}", text)]), model)] == [want], text
+    assert licenses.findings("word " * 300_000 + "\n" + "license " * 100_000, model) == []
+
+
+def test_sparse_regression_as_dense():
+    model = licenses.Classifier(rounds=30)
+    x = np.zeros((len(model.y), model.x.width))
+    x[model.x.row, model.x.at] = model.x.values[:, 0]
+    hot, weights, pace = np.eye(len(model.families))[model.y], 0.0 * model.weights, 0.0 * model.weights
+    for _ in range(30):
+        pace = 0.9 * pace + 0.1 * (x.T @ (hot - licenses.softmax(x @ weights)) / len(x) - 1e-4 * weights)
+        weights = weights + 10 * pace
+    assert np.allclose(weights, model.weights) and (x != 0).mean() < 0.1
+
+
+def test_license_probabilities_are_calibrated_on_other_texts():
+    trained = {t for ts in licenses.TEMPLATES.values() for t in ts} | set(licenses.UNLICENSED)
+    held = [(f, t) for f, ts in licenses.HELD_OUT.items() for t in ts]
+    assert not trained & {t for _, t in held}
+    model = licenses.Classifier()
+    assert np.mean([model.predict(t)[0] == f for f, t in held]) > 0.8
