@@ -33,7 +33,7 @@ WORDS, MOST_SLOTS, LEAK_WINDOWS, LEAK_SHARE = 8, 4, 6, 0.5
 BROADCAST_ROWS, BROADCAST_HASHES = 500_000, 5_000_000
 #: Forms of windows; see `item_windows`.
 TEMPLATE, PLAIN, OPEN = 0, 1, 2
-WINDOWS = "array<struct<pos:int,hashes:array<bigint>>>"
+WINDOWS = "array<struct<closed:bigint,low:bigint,open:bigint>>"
 #: Units that are placeholders after a number.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg t lb lbs pound pounds ounce ounces ml l liter liters litre "
@@ -64,35 +64,36 @@ def lowered(words: Column) -> Column:
     return F.transform(words, lambda t: F.lower(F.ltrim(t, F.lit(BEGIN))))
 
 
-def template(words: Column, low: Column) -> Column:
-    """Placeholders and lower-case words, one for each token. low: the words lower-cased."""
-    units = F.array(*map(F.lit, UNITS))
+def capitalised(words: Column, low: Column) -> Column:
+    """Numbers and names within sentences as placeholders, other words in lower case."""
+
+    def kind(t: Column, plain: Column) -> Column:
+        name = (t != plain) & ~t.startswith(BEGIN) & (F.length(t) > 1) & (F.substring(t, 2, 10**6) == F.substring(plain, 2, 10**6))
+        return F.when((plain >= "0") & (plain < ":"), NUMBER).when(name, NAME).otherwise(plain)
 
-    def digit(t: Column) -> Column:
-        return F.substring(t, 1, 1).between("0", "9")
+    return F.zip_with(words, low, kind)
 
-    def kind(t: Column, i: Column) -> Column:
-        plain = F.get(low, i)
-        named = (t != plain) & ~t.startswith(BEGIN) & (F.length(t) > 1) & (F.substring(t, 2, 10**6) == F.substring(plain, 2, 10**6))
-        return (
-            F.when(digit(plain), NUMBER)
-            .when(F.coalesce(digit(F.get(low, i - 1)), F.lit(False)) & F.array_contains(units, plain), UNIT)
-            .when(named, NAME)
-            .otherwise(plain)
-        )
 
-    return F.transform(words, kind)
+def template(seen: Column, low: Column) -> Column:
+    """Placeholders and lower-case words, one for each token. seen: of `capitalised`; low: the words lower-cased."""
+    units = F.array(*map(F.lit, UNITS))
+
+    def kind(c: Column, i: Column) -> Column:
+        counted = (c != NUMBER) & (F.get(seen, i - 1) == NUMBER) & F.array_contains(units, F.get(low, i))
+        return F.when(counted, UNIT).otherwise(c)
 
+    return F.transform(seen, kind)
 
-def opened(words: Column, low: Column, closed: Column) -> Column:
+
+def opened(words: Column, closed: Column) -> Column:
     """The template with capitalised words that begin a sentence as names, which they may be."""
 
-    def kind(t: Column, i: Column) -> Column:
-        plain = F.get(low, i)
-        named = (F.length(t) > 2) & (F.substring(t, 2, 10**6) != plain) & (F.substring(t, 3, 10**6) == F.substring(plain, 2, 10**6))
-        return F.when(t.startswith(BEGIN) & named & (F.get(closed, i) == plain), NAME).otherwise(F.get(closed, i))
+    def kind(t: Column, c: Column) -> Column:
+        word = F.substring(t, 2, 10**6)
+        name = t.startswith(BEGIN) & (F.length(t) > 2) & (word != c) & (F.lower(word) == c) & (F.substring(t, 3, 10**6) == F.substring(c, 2, 10**6))
+        return F.when(name, NAME).otherwise(c)
 
-    return F.transform(words, kind)
+    return F.zip_with(words, closed, kind)
 
 
 def templated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -101,27 +102,32 @@ def templated(rows: DataFrame, *keys: str) -> DataFrame:
     loop over its elements."""
     raw = rows.select(*keys, tokens(F.coalesce(F.col("text"), F.lit(""))).alias("raw"))
     low = raw.select(*keys, "raw", lowered(F.col("raw")).alias("low"))
-    closed = low.select(*keys, "raw", "low", template(F.col("raw"), F.col("low")).alias("words"))
-    return closed.select(*keys, "raw", "low", "words", opened(F.col("raw"), F.col("low"), F.col("words")).alias("open"))
+    seen = low.select(*keys, "raw", "low", capitalised(F.col("raw"), F.col("low")).alias("seen"))
+    closed = seen.select(*keys, "raw", "low", template(F.col("seen"), F.col("low")).alias("words"))
+    return closed.select(*keys, "raw", "low", "words", opened(F.col("raw"), F.col("words")).alias("open"))
 
 
 def is_slot(t: Column) -> Column:
     return t.isin(NUMBER, UNIT, NAME)
 
 
-def window_hashes(lists: list[Column], size: int = WORDS) -> Column:
-    """pos and hashes (one for each of the lists) of each window, by its first word; null if there are too few. To be
-    read with explode_outer: with explode Spark asks for the list's size first and computes the lists anew for that. Every
-    list is named twice, else Spark moves its steps into the loop over windows."""
-    sizes = [F.size(x) for x in lists]
-    n = F.least(*sizes) if len(sizes) > 1 else sizes[0]
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1))
-
-    def hashed(x: Column, i: Column) -> Column:
-        """As of the slice, which would copy the whole list for each window."""
-        return F.xxhash64(*[F.get(x, i + (k - 1)) for k in range(size)])
-
-    return F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), F.array(*[hashed(x, i) for x in lists]).alias("hashes")))
+def with_windows(rows: DataFrame, sizes: dict[str, tuple[str, int]]) -> DataFrame:
+    """The rows with a list of hashes under each name: of every window of that many words of that list, by its first word. A
+    window's hash is made of those of its halves, so each list of hashes is a column that is computed once from shorter ones."""
+    for name, (column, size) in sizes.items():
+        parts, todo = set(), [size]
+        while todo:
+            m = todo.pop()
+            if m > 1 and m not in parts:
+                parts.add(m)
+                todo += [m // 2, m - m // 2]
+        at = lambda m, name=name, column=column: F.col(column if m == 1 else f"{name}_{m}")
+        for m in sorted(parts):
+            later = F.slice(at(m - m // 2), m // 2 + 1, F.size(column))
+            rows = rows.withColumn(f"{name}_{m}", F.zip_with(at(m // 2), later, lambda a, b: F.xxhash64(a, b)))
+        whole = at(size) if size > 1 else F.transform(column, lambda a: F.xxhash64(a))
+        rows = rows.withColumn(name, F.slice(whole, 1, F.greatest(F.size(column) - (size - 1), F.lit(0)))).drop(*(f"{name}_{m}" for m in parts))
+    return rows
 
 
 def item_windows(benchmark: DataFrame, size: int = WORDS, most_slots: int = MOST_SLOTS) -> DataFrame:
@@ -132,14 +138,17 @@ def item_windows(benchmark: DataFrame, size: int = WORDS, most_slots: int = MOST
     `size` if the item is that short."""
     items = templated(benchmark.where("item_id is not null"), "item_id").where(F.size("low") > 0)
     items = items.withColumn("width", F.least(F.size("low"), F.lit(size)))
+    items = with_windows(items, {f"{x}_h": (x, size) for x in ("words", "open")} | {f"low_{w}h": ("low", w) for w in range(1, size + 1)})
+    low_h = F.get(F.array(*[F.col(f"low_{w}h") for w in range(1, size + 1)]), F.col("width") - 1)
+    items = items.withColumn("low_h", low_h)
     listed = items.withColumn("item_pos", F.explode(F.sequence(F.lit(0), F.size("low") - F.col("width"))))
     cut = {x: F.slice(x, F.col("item_pos") + 1, F.col("width")) for x in ("low", "words", "open")}
-    listed = listed.select("item_id", "item_pos", "width", *[v.alias(x) for x, v in cut.items()])
+    listed = listed.select("item_id", "item_pos", "width", *[v.alias(x) for x, v in cut.items()], *[F.get(f"{x}_h", F.col("item_pos")).alias(f"{x}_h") for x in cut])
     slots = {x: F.size(F.filter(x, is_slot)) for x in ("words", "open")}
     short = F.col("width") < size
     fit = {x: ~short & (n <= most_slots) for x, n in slots.items()}
-    forms = [F.struct(F.xxhash64("low").alias("hash"), F.lit(form).alias("form")) for form in (PLAIN, OPEN)]
-    forms += [F.when(fit[x], F.struct(F.xxhash64(x).alias("hash"), F.lit(form).alias("form"))) for x, form in (("words", TEMPLATE), ("words", PLAIN), ("words", OPEN), ("open", OPEN))]
+    forms = [F.struct(F.col("low_h").alias("hash"), F.lit(form).alias("form")) for form in (PLAIN, OPEN)]
+    forms += [F.when(fit[x], F.struct(F.col(f"{x}_h").alias("hash"), F.lit(form).alias("form"))) for x, form in (("words", TEMPLATE), ("words", PLAIN), ("words", OPEN), ("open", OPEN))]
     rich, slot = ~short & ~fit["words"], ~short & (slots["open"] > 0)
     found = listed.select("item_id", "item_pos", "width", rich.alias("rich"), slot.alias("slot"), (fit["words"] & (slots["words"] > 0)).alias("fit_slot"), F.array(*forms).alias("forms"))
     count = found.groupBy("item_id").agg(
@@ -156,11 +165,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFra
     items = durable(item_windows(benchmark, size))
     widths = [r["width"] for r in items.where(F.col("width") < size).select("width").distinct().collect()]
     rows = templated(docs.where("text is not null").withColumn("text_id", text_id(F.col("text"))), "doc_id", "text_id")
-    hashed = window_hashes([F.col("words"), F.col("low"), F.col("open")], size)
-    if widths:
-        hashed = F.concat(*[F.coalesce(x, F.array().cast(WINDOWS)) for x in (hashed, *[window_hashes([F.col("low")], w) for w in sorted(widths)])])
-    listed = rows.select("doc_id", "text_id", hashed.alias("found")).select("doc_id", "text_id", F.explode_outer("found").alias("w"))
-    listed = listed.select("doc_id", "text_id", F.col("w.pos").alias("pos"), F.posexplode(F.array_distinct("w.hashes")).alias("k", "hash"))
+    widths.sort()
+    rows = with_windows(rows, {f"{x}_h": (x, size) for x in ("words", "low", "open")} | {f"low_{w}h": ("low", w) for w in widths})
+    none = F.array().cast("array<bigint>")
+    lists = [F.arrays_zip("words_h", "low_h", "open_h"), *[F.arrays_zip(f"low_{w}h", none, none) for w in widths]]
+    hashed = F.concat(*[x.cast(WINDOWS) for x in lists]) if widths else lists[0].cast(WINDOWS)
+    # explode_outer: before explode Spark asks for the list's size and computes the list anew for that
+    listed = rows.select("doc_id", "text_id", F.size("low").alias("n"), hashed.alias("found")).select("doc_id", "text_id", "n", F.posexplode_outer("found").alias("at", "w"))
+    pos, begin = F.when(F.lit(False), 0), F.lit(0)
+    for w in (size, *widths):
+        end = begin + F.greatest(F.col("n") - (w - 1), F.lit(0))
+        pos, begin = pos.when(F.col("at") < end, F.col("at") - begin), end
+    closed, low, open_ = (F.col(f"w.{x}") for x in ("closed", "low", "open"))
+    forms = F.array(closed, F.when(low.eqNullSafe(closed), None).otherwise(low), F.when(open_.eqNullSafe(closed) | open_.eqNullSafe(low), None).otherwise(open_))
+    listed = listed.select("doc_id", "text_id", pos.alias("pos"), F.posexplode_outer(forms).alias("k", "hash"))
     number = items.count()
     if number <= BROADCAST_ROWS:
         items = F.broadcast(items)
