@@ -2,14 +2,16 @@
 
 Each task reads its share of the documents, tokenises them and packs the pieces on the spot: a piece goes where the sum
 over residual gaps of the squared number of open bins becomes smallest (a new bin counts like any other place). Token ids
-never cross a shuffle on the way. Pieces are placed in rounds of at most ROUND tokens, long ones first; bins stay open
-from round to round, so memory is bounded by a round and the open bins' counts.
+never cross a shuffle on the way. Pieces are placed in rounds of at most ROUND tokens (more only if one document has more), long
+ones first; bins stay open from round to round until they hold OPEN tokens in all, which are then left to the last step. So
+a task holds at most a round and OPEN tokens, whatever its share of the documents.
 
 What a task leaves in bins that are not full is a small rest. The lengths of its pieces alone are brought together, a
 bounded number for each group, and packed once more; the new places are joined to the pieces. Only these rows are shuffled.
 
-Defined results: null text counts as empty and makes one piece, the end mark. Repeated rows are packed each. An empty
-table gives no piece. Only the named columns are read.
+Defined results: null text counts as empty and makes one piece, the end mark. Repeated rows are packed each; ids may be null or
+repeated, as places are told apart by sequence and offset. Of very long texts every piece but the first is full. Equally good
+places: the smallest gap. An empty table gives no piece. Only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -28,15 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sparkloft.sources.tables import fresh_dir, table
 
 LENGTH, END = 1024, 2
-#: Tokens held at once by a task; pieces of one group of the last step.
-ROUND, GROUP = 2_000_000, 40_000
+#: Tokens of a round, and of open bins, that a task holds; pieces of one group of the last step.
+ROUND, OPEN, GROUP = 2_000_000, 4_000_000, 40_000
 
 
 class Bins:
     """Open bins of a size, by gap. `counts[g]` bins have g places left; `stacks[g]` names them."""
 
-    def __init__(self, size: int):
-        self.size, self.made = size, 0
+    def __init__(self, size: int, made: int = 0):
+        self.size, self.made = size, made
         self.counts = np.zeros(size + 1, np.int64)
         self.stacks: dict[int, list[int]] = defaultdict(list)
 
@@ -44,7 +46,7 @@ class Bins:
         """Bin and offset of a piece, where the sum of squares grows least; on a tie the smallest gap left."""
         size, counts = self.size, self.counts
         best, gap = 2 * counts[size - length] + 1 if length < size else 0, size
-        if self.made:
+        if self.stacks:
             gaps = counts[length:size]
             after = counts[: size - length].copy()
             after[:1] = 0
@@ -137,14 +139,18 @@ def pack(
         tokens = 0
 
         def rounds(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal bins
             done = []
             for piece in sorted(held, key=lambda p: -p[3]):
                 name, offset = bins.place(piece[3])
                 loose[name].append((*piece, base + name, offset))
             held.clear()
             still = bins.open_bins()
-            for name in [k for k in loose if last or k not in still]:
+            leave = last or sum(p[3] for k in still for p in loose[k]) > OPEN
+            for name in [k for k in loose if leave or k not in still]:
                 done += [(*p, name in still) for p in loose.pop(name)]
+            if leave:
+                bins = Bins(size, bins.made)
             for at in range(0, len(done), 1000):
                 yield batch(done[at : at + 1000], id_type)
 

@@ -8,7 +8,9 @@ has shaped; from their histogram, of at most BINS rows, pool-adjacent-violators
 
 Labelled rows are all used; no sample. Defined results: null text counts as empty; empty texts have statistics (zeros)
 and a score like others. Null labels and labels of unknown documents are ignored. Without any label of use every score is
-0.5. Repeated documents are scored each; a repeated label counts each time. A null doc_id is never joined to a label.
+0.5. Repeated documents are scored each; a repeated label counts each time, a label of a repeated id for each of its texts. A null
+doc_id is scored and never joined to a label. Very long texts are read whole. An empty table of documents gives no score. Only
+the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -85,7 +87,8 @@ def fourier(x: np.ndarray, shift: np.ndarray, scale: np.ndarray, features: int =
 
 
 def normal_equations(rows: DataFrame, shift: np.ndarray, scale: np.ndarray, features: int) -> dict[int, np.ndarray]:
-    """rows: stats, y, fold. For each fold the sum of z (z, y)': one row of it is one row of the shuffle."""
+    """rows: stats, y, fold. For each fold the sum of z (z, y)': a task sends one row for each of its rows, and Spark adds them up
+    as they come."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -98,11 +101,8 @@ def normal_equations(rows: DataFrame, shift: np.ndarray, scale: np.ndarray, feat
         for fold, s in sums.items():
             yield pd.DataFrame({"fold": fold, "i": range(len(s)), "v": list(s)})
 
-    def add(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"fold": b["fold"][:1], "i": b["i"][:1], "v": [np.sum(np.vstack(b["v"]), axis=0)]})
-
-    schema = "fold int, i int, v array<double>"
-    added = rows.mapInPandas(part, schema).groupBy("fold", "i").applyInPandas(add, schema).collect()
+    parts = rows.mapInPandas(part, "fold int, i int, v array<double>")
+    added = parts.groupBy("fold", "i").agg(F.array(*[F.sum(F.get("v", F.lit(k))) for k in range(features + 2)]).alias("v")).collect()
     out: dict[int, np.ndarray] = {}
     for r in added:
         out.setdefault(r["fold"], np.zeros((features + 1, features + 2)))[r["i"]] = r["v"]

@@ -140,8 +140,10 @@ def test_packing_odd_rows(spark):
     assert packing.pack(given.where("doc_id = 2").unionAll(given.where("doc_id = 2")), JSON).count() == 2
 
 
-def test_small_rounds_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("open_", [4_000_000, 2000])
+def test_small_rounds_lose_nothing(spark, monkeypatch, open_):
     monkeypatch.setattr(packing, "ROUND", 3000)
+    monkeypatch.setattr(packing, "OPEN", open_)
     monkeypatch.setattr(packing, "GROUP", 50)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     check_packing(docs, packing.op6_best_fit_packing(spark, SMALL).collect(), 0.85)
