@@ -50,11 +50,15 @@ def explode_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT r_regionkey, array_to_string(list_sort([r_name, nullif(r_name, 'ASIA'), 'M'], 'ASC', 'NULLS LAST'), '|') AS sorted FROM region""")
+    SELECT r_regionkey, array_to_string(list_transform(list_sort(names, 'ASC', 'NULLS LAST'), lambda x: coalesce(x, '<null>')), '|') AS last,
+      array_to_string(list_transform(list_sort(names, 'ASC', 'NULLS FIRST'), lambda x: coalesce(x, '<null>')), '|') AS first,
+      array_to_string(list_transform(list_sort(names, 'DESC', 'NULLS LAST'), lambda x: coalesce(x, '<null>')), '|') AS falling
+    FROM (SELECT r_regionkey, [r_name, nullif(r_name, 'ASIA'), 'M'] AS names FROM region)""")
 def array_sort_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """array_sort puts nulls last, sort_array first; array_join leaves them out."""
-    listed = F.array_sort(F.array("r_name", F.nullif("r_name", F.lit("ASIA")), F.lit("M")))
-    return table(spark, sf_dir, "region").select("r_regionkey", F.array_join(listed, "|").alias("sorted"))
+    """array_sort puts nulls last; sort_array first, or last if it falls. array_join is given a word for them."""
+    names = F.array("r_name", F.nullif("r_name", F.lit("ASIA")), F.lit("M"))
+    ways = {"last": F.array_sort(names), "first": F.sort_array(names), "falling": F.sort_array(names, asc=False)}
+    return table(spark, sf_dir, "region").select("r_regionkey", *[F.array_join(x, "|", "<null>").alias(n) for n, x in ways.items()])
 
 
 @query("""

@@ -49,20 +49,24 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT p_partkey, levenshtein(p_name, p_type) AS distance, split_part(p_name, ' ', 2) AS noun, instr(p_name, 'e') AS at,
-      translate(p_name, 'aeiou', '12345') AS coded, ascii(p_brand) AS first FROM part""")
+      translate(p_name, 'aeiou', '12345') AS coded, ascii(p_brand) AS first,
+      array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM part""")
 def strings_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distance"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun"),
-        F.instr("p_name", "e").cast("long").alias("at"), F.translate("p_name", "aeiou", "12345").alias("coded"), F.ascii("p_brand").cast("int").alias("first"))
+        F.instr("p_name", "e").cast("long").alias("at"), F.translate("p_name", "aeiou", "12345").alias("coded"), F.ascii("p_brand").cast("int").alias("first"),
+        F.initcap("p_name").alias("title"))
 
 
 @query("""
-    SELECT n_nationkey, n_name || nullif(n_name, 'NATION_1') AS joined, concat_ws('-', n_name, nullif(n_name, 'NATION_1')) AS listed FROM nation""")
+    SELECT n_nationkey, n_name || nullif(n_name, 'NATION_1') AS joined, concat_ws('-', n_name, nullif(n_name, 'NATION_1')) AS listed,
+      substring(n_name, 1, 3) AS head, substring(n_name, -2, 2) AS tail FROM nation""")
 def null_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """concat with a null is null; concat_ws leaves it out."""
+    """concat with a null is null; concat_ws leaves it out. A substring from 0 is one from 1."""
     maybe = F.nullif("n_name", F.lit("NATION_1"))
     return table(spark, sf_dir, "nation").select(
-        "n_nationkey", F.concat("n_name", maybe).alias("joined"), F.concat_ws("-", "n_name", maybe).alias("listed"))
+        "n_nationkey", F.concat("n_name", maybe).alias("joined"), F.concat_ws("-", "n_name", maybe).alias("listed"),
+        F.substring("n_name", 0, 3).alias("head"), F.substring("n_name", -2, 2).alias("tail"))
 
 
 @query("SELECT date_trunc('day', ts) AS day, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
@@ -108,10 +112,26 @@ def arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT p_partkey, round(p_retailprice / nullif(p_size % 5, 0), 4) AS ratio, try_cast(split_part(p_brand, '#', 2) AS BIGINT) AS number, try_cast(p_name AS BIGINT) AS none
-    FROM part""")
+    SELECT p_partkey, round(p_size / 2, 0) AS half_up, round(-p_size / 2, 0) AS half_down, round_even(p_size / 2, 0) AS half_even, round_even(-p_size / 2, 0) AS negative_even,
+      power(p_size, 2) AS square, round(power(p_size, 0.5), 6) AS root, sign(p_size - 25)::BIGINT AS sign, abs(p_size - 25)::BIGINT AS gap FROM part""")
+def rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves go away from zero with round, to the even neighbour with bround."""
+    size, half = F.col("p_size"), F.col("p_size") / 2
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.round(half, 0).alias("half_up"), F.round(-half, 0).alias("half_down"), F.bround(half, 0).alias("half_even"), F.bround(-half, 0).alias("negative_even"),
+        F.power(size, F.lit(2)).alias("square"), F.round(F.power(size, F.lit(0.5)), 6).alias("root"),
+        F.sign(size - 25).cast("long").alias("sign"), F.abs(size - 25).cast("long").alias("gap"))
+
+
+@query("""
+    SELECT p_partkey, round(p_retailprice / nullif(p_size % 5, 0), 4) AS ratio, try_cast(split_part(p_brand, '#', 2) AS BIGINT) AS number, try_cast(p_name AS BIGINT) AS none,
+      try_cast(9223372036854775806::HUGEINT + p_partkey AS BIGINT) AS sum, try_cast(-9223372036854775807::HUGEINT - p_partkey AS BIGINT) AS difference,
+      try_cast(922337203685477580::HUGEINT * p_partkey AS BIGINT) AS product FROM part""")
 def safe_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Division by zero and bad casts give null, not an error."""
+    """Division by zero, bad casts and overflow give null, not an error."""
+    most = F.lit(9223372036854775806)
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.round(F.try_divide("p_retailprice", F.col("p_size") % 5), 4).alias("ratio"),
-        F.split_part("p_brand", F.lit("#"), F.lit(2)).try_cast("long").alias("number"), F.col("p_name").try_cast("long").alias("none"))
+        F.split_part("p_brand", F.lit("#"), F.lit(2)).try_cast("long").alias("number"), F.col("p_name").try_cast("long").alias("none"),
+        F.try_add(most, "p_partkey").alias("sum"), F.try_subtract(-most - 1, F.col("p_partkey")).alias("difference"),
+        F.try_multiply(F.lit(922337203685477580), "p_partkey").alias("product"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sparkloft.plans.registry import query
-from sparkloft.sources.tables import table
+from sparkloft.sources.tables import durable, table
 
 
 def money(name: str):
@@ -71,20 +71,29 @@ def limit_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.offset(15).limit(10).select("o_orderkey", "o_totalprice")
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "row") -> DataFrame:
+    """The rows sorted, with their place from 1. Rows are dealt to ranges, numbered in each, and what the ranges before hold,
+    one number each, is added; so no task gets all rows."""
+    ranged = durable(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    held = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = held.alias("p").join(held.alias("q"), F.col("q._part") < F.col("p._part"), "left").groupBy(F.col("p._part").alias("_part"))
+    before = before.agg(F.coalesce(F.sum("q._n"), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_part", "_before").orderBy(name)
+
+
 @query("""
-    SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders
-    ORDER BY s ASC NULLS FIRST, o_orderkey LIMIT 20""")
+    SELECT o_orderkey, s, row_number() OVER (ORDER BY s ASC NULLS FIRST, o_orderkey) AS row FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders)""")
 def sort_nulls_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("s"))
-    return rows.orderBy(F.col("s").asc_nulls_first(), "o_orderkey").limit(20)
+    return numbered(rows, F.col("s").asc_nulls_first(), F.col("o_orderkey").asc())
 
 
 @query("""
-    SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders
-    ORDER BY s DESC NULLS LAST, o_orderkey LIMIT 20""")
+    SELECT o_orderkey, s, row_number() OVER (ORDER BY s DESC NULLS LAST, o_orderkey) AS row FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders)""")
 def sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("s"))
-    return rows.orderBy(F.col("s").desc_nulls_last(), "o_orderkey").limit(20)
+    return numbered(rows, F.col("s").desc_nulls_last(), F.col("o_orderkey").asc())
 
 
 @query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")

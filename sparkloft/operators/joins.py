@@ -89,8 +89,15 @@ def cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select("r_name").crossJoin(table(spark, sf_dir, "nation").select("n_name"))
 
 
-@query("SELECT a.s_suppkey AS low, count(*) AS above FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal GROUP BY 1")
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey")
 def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by an inequality alone, which no shuffle can bring together: both tables have a fixed size, one is broadcast."""
+    regions = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    return table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") < F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("SELECT a.s_suppkey AS low, count(*) AS above FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal GROUP BY 1")
+def larger_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many suppliers have a larger balance. The condition is an inequality, but only its count is asked for: a
     running count over balances replaces the pairs."""
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("low"), "s_acctbal")

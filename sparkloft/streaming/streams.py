@@ -15,7 +15,6 @@ from sparkloft.sources.tables import fresh_dir, table
 from sparkloft.streaming.event_time import session_counts, sliding_counts, tumbling_counts
 
 LATENESS = "10 minutes"
-WAIT_S = 300
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,18 +24,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
 
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What the stream puts out until its input is used up. In complete mode the last batch is the result."""
+def run_to_end(stream: DataFrame, mode: str = "append", place: tuple[str, str] | None = None) -> DataFrame:
+    """What the stream puts out until its input is used up, however long that takes. In complete mode the last batch is the
+    result. place: folders of the result and the checkpoint, new ones if not given; a stream that has them goes on there."""
     spark = stream.sparkSession
-    path, state = fresh_dir(spark, "stream"), fresh_dir(spark, "stream-state")
+    path, state = place or (fresh_dir(spark, "stream"), fresh_dir(spark, "stream-state"))
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         started = writer.format("parquet").option("path", path).start()
     else:
         started = writer.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(path)).start()
     try:
-        if not started.awaitTermination(WAIT_S):
-            raise TimeoutError(f"the stream was not done after {WAIT_S} s")
+        started.awaitTermination()
     finally:
         started.stop()
     return spark.read.schema(stream.schema).parquet(path)
@@ -77,8 +76,9 @@ def stream_session_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, value FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of an id within the watermark are dropped; the state forgets ids that are older."""
-    once = event_stream(spark, sf_dir).dropDuplicatesWithinWatermark(["event_id"])
+    """Every event comes twice. Repeats of an id within the watermark are dropped; the state forgets ids that are older."""
+    twice = event_stream(spark, sf_dir).union(event_stream(spark, sf_dir))
+    once = twice.dropDuplicatesWithinWatermark(["event_id"])
     return run_to_end(once.select("event_id", "user_id", "value"))
 
 
@@ -98,6 +98,22 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(event_stream(spark, sf_dir).join(customers, "user_id").select("event_id", "c_mktsegment"))
 
 
+@query("""
+    WITH known AS (SELECT max(ts) FILTER (WHERE event_type <> 'error') - INTERVAL 10 MINUTE AS before, max(ts) - INTERVAL 10 MINUTE AS after FROM events)
+    SELECT date_trunc('hour', ts) AS start, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DECIMAL(38,4)) AS total FROM events, known
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= after AND (event_type <> 'error' OR date_trunc('hour', ts) + INTERVAL 1 HOUR > before) GROUP BY 1""")
+def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are reported when all other events have been read and the stream has stopped. It goes on from its checkpoint and
+    drops those whose window the watermark had closed."""
+    events, arrived = table(spark, sf_dir, "events"), fresh_dir(spark, "arrived")
+    place = fresh_dir(spark, "stream"), fresh_dir(spark, "stream-state")
+    for part in ("event_type != 'error'", "event_type = 'error'"):
+        events.where(part).write.mode("append").parquet(arrived)
+        rows = spark.readStream.schema(events.schema).parquet(arrived).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
+        out = run_to_end(tumbling_counts(rows), place=place)
+    return out
+
+
 class Totals(StatefulProcessor):
     """Per user the number of events and the largest value so far."""
 

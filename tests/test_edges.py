@@ -4,6 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from sparkloft.operators.aggregates import quantiles
+from sparkloft.operators.basics import numbered
 from sparkloft.operators.joins import as_of, not_in, range_join, running_count
 from sparkloft.sources.formats import round_trip
 from sparkloft.streaming.event_time import tumbling_counts
@@ -47,6 +49,19 @@ def test_running_count(spark):
     assert all(r.above == 499 - r.x for r in running_count(rows, "x", "n").collect())
 
 
+def test_quantiles_of_odd_groups(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 10.0), ("b", 5.0), (None, 1.0), (None, 4.0), ("c", None)]
+    got = {r.g: (r.q25, r.mid, r.top) for r in quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"q25": 0.25, "mid": 0.5, "top": 1.0}).collect()}
+    assert got == {"a": (1.75, 2.0, 10.0), "b": (5.0, 5.0, 5.0), None: (1.75, 2.5, 4.0)}
+
+
+def test_numbered_in_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"), F.nullif(F.col("id") % 3, F.lit(0)).alias("s"))
+    got = numbered(rows, F.col("s").asc_nulls_first(), F.col("x").desc()).collect()
+    assert [r.row for r in got] == list(range(1, 1001))
+    assert [(r.s, r.x) for r in got] == sorted(((r.s, r.x) for r in got), key=lambda p: (p[0] is not None, p[0] or 0, -p[1]))
+
+
 def test_formats_keep_nulls_and_empty_strings(spark):
     rows = spark.createDataFrame([(1, None, at(1)), (2, "", None), (3, 'a,"b"\n', at(2)), (None, "x", at(3))], "i long, s string, t timestamp_ntz")
     for kind in ("parquet", "json", "csv", "orc"):
