@@ -131,7 +131,9 @@ def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 def links(nodes: DataFrame, segments: int, width: int, max_bits: int, bucket: int = BUCKET) -> DataFrame:
     """nodes: fp, each once, and a short number `n`. Links a, b (XXH64 of fp) that connect all fingerprints at most max_bits
-    apart. Table entries hold keys and the short numbers alone; fingerprints are joined to what meets."""
+    apart. Table entries hold keys and the short numbers alone. Fingerprints that meet in one table mostly meet in many, so lists
+    of numbers that met are made distinct before fingerprints are joined to them; lists are in order, so each is searched from its
+    smallest number and most give the same links."""
     high = high_bits(nodes.count(), width)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +152,10 @@ def links(nodes: DataFrame, segments: int, width: int, max_bits: int, bucket: in
     mine, other = F.pmod(F.xxhash64("n"), blocks).cast("int"), F.col("other")
     cells = counted.withColumn("blocks", blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("n", "cell", "low", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
-    lists = cells.join(nodes.select("n", "fp"), "n").groupBy("cell", "low", "i", "j").agg(F.collect_list("fp").alias("fps"))
+    met = cells.groupBy("cell", "low", "i", "j").agg(F.array_sort(F.collect_list("n")).alias("ns")).select("ns").distinct()
+    met = met.withColumn("list", F.xxhash64("ns")).select("list", F.explode("ns").alias("n"))
+    lists = met.join(nodes.select("n", "fp"), "n").groupBy("list").agg(F.array_sort(F.collect_set(F.struct("n", "fp"))).alias("members"))
+    lists = lists.select(F.col("members.fp").alias("fps")).where(F.size("fps") > 1)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filled(batches):
