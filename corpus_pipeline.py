@@ -55,7 +55,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8). Ids all of whose rows go are dropped by
     id alone; rows of ids that are null, or repeated with a row that stays, are told apart by the names of their shingle sets."""
-    sets = durable(simhash.similar_sets(docs.select("doc_id", "text")).groupBy("doc_id", "key", "root").agg(F.count("*").alias("rows")))
+    sets = durable(simhash.similar_sets(docs.select("doc_id", "text")))
+    sets = durable(sets.groupBy("doc_id", "key", "root").agg(F.count("*").alias("rows")))
     first = durable(sets.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     judged = durable(sets.join(first, "root").select("doc_id", "key", "rows", stays.alias("stays")))
