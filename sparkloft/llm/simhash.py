@@ -38,10 +38,12 @@ from sparkloft.llm.components import components
 from sparkloft.sources.tables import durable, table
 
 BUCKET, CELL = 2048, 4096
+#: Words of a long fingerprint that candidates are compared by.
+COMPARED = 8
 #: Shingles of a block of a loose group (8 bytes each); lists of sets of at most so many rows are broadcast.
 BLOCK, BROADCAST_SETS = 250_000, 500_000
 #: Standard errors above the mean distance at which a pair of fingerprints is still a candidate.
-MARGIN = 5
+MARGIN = 4
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -91,7 +93,7 @@ def plan(n: int, similarity: float, missed: float = 0.01) -> tuple[int, int, int
     meet = (1 - apart) ** width * (1 + width * ratio + width * (width - 1) / 2 * ratio**2)
     segments = ceil(log(missed) / log(1 - meet))
     length = max(8, ceil(segments * width / 64))
-    bits = 64 * length
+    bits = 64 * min(length, COMPARED)
     return segments, width, length, min(bits, ceil(apart * bits + MARGIN * sqrt(bits * apart * (1 - apart))))
 
 
@@ -130,10 +132,10 @@ def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def links(nodes: DataFrame, segments: int, width: int, max_bits: int, bucket: int = BUCKET) -> DataFrame:
-    """nodes: fp, each once, and a short number `n`. Links a, b (XXH64 of fp) that connect all fingerprints at most max_bits
-    apart. Table entries hold keys and the short numbers alone. Fingerprints that meet in one table mostly meet in many, so lists
-    of numbers that met are made distinct before fingerprints are joined to them; lists are in order, so each is searched from its
-    smallest number and most give the same links."""
+    """nodes: fp, each once, a short number `n` and `id`. Links a, b (ids) that connect all fingerprints at most max_bits
+    apart, as far as their first COMPARED words tell. Table entries hold keys and the short numbers alone; fingerprints are joined
+    to what meets. Fingerprints that meet in one table mostly meet in many, so a task joins up what its buckets link and names
+    only the smallest id of each; most tasks name the same."""
     high = high_bits(nodes.count(), width)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,29 +154,28 @@ def links(nodes: DataFrame, segments: int, width: int, max_bits: int, bucket: in
     mine, other = F.pmod(F.xxhash64("n"), blocks).cast("int"), F.col("other")
     cells = counted.withColumn("blocks", blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("n", "cell", "low", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
-    met = cells.groupBy("cell", "low", "i", "j").agg(F.array_sort(F.collect_list("n")).alias("ns")).select("ns").distinct()
-    met = met.withColumn("list", F.xxhash64("ns")).select("list", F.explode("ns").alias("n"))
-    lists = met.join(nodes.select("n", "fp"), "n").groupBy("list").agg(F.array_sort(F.collect_set(F.struct("n", "fp"))).alias("members"))
-    lists = lists.select(F.col("members.fp").alias("fps")).where(F.size("fps") > 1)
+    known = nodes.select("n", "id", F.substring("fp", 1, 8 * COMPARED).alias("fp"))
+    lists = cells.join(known, "n").groupBy("cell", "low", "i", "j").agg(F.collect_list("id").alias("ids"), F.collect_list("fp").alias("fps"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filled(batches):
-            a, z = [], []
-            for fps in b["fps"]:
+            least: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (up := least.setdefault(x, x)) != x:
+                    least[x] = x = least.setdefault(up, up)
+                return x
+
+            for ids, fps in zip(b["ids"], b["fps"]):
                 fps = list(fps)
                 found = np.frombuffer(b"".join(fps), ">u8").reshape(len(fps), -1)
                 for u, v in forest(found.astype(np.uint64), max_bits):
-                    a.append(fps[u])
-                    z.append(fps[v])
-            yield pd.DataFrame({"a": [_id(x) for x in a], "b": [_id(x) for x in z]}, dtype="int64")
-
-    return lists.select("fps").mapInPandas(search, "a long, b long").distinct()
-
+                    one, other = top(int(ids[u])), top(int(ids[v]))
+                    least[max(one, other)] = min(one, other)
+            pairs = [(x, top(x)) for x in list(least)]
+            yield pd.DataFrame([(x, y) for x, y in pairs if x != y], columns=["a", "b"], dtype="int64")
 
-def _id(fp: bytes) -> int:
-    """As Spark's xxhash64; one to one for 8 bytes."""
-    h = xxhash.xxh64_intdigest(fp, 42)
-    return h - (1 << 64) if h >> 63 else h
+    return lists.select("ids", "fps").mapInPandas(search, "a long, b long").distinct()
 
 
 def near_duplicates(fps: DataFrame, segments: int = 2, width: int = 32, max_bits: int = 4) -> DataFrame:
@@ -182,7 +183,7 @@ def near_duplicates(fps: DataFrame, segments: int = 2, width: int = 32, max_bits
     reachable over links."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = durable(nodes.withColumns({"id": F.xxhash64("fp"), "n": F.monotonically_increasing_id()}))
-    found = components(links(nodes.select("fp", "n"), segments, width, max_bits))
+    found = components(links(nodes.select("fp", "n", "id"), segments, width, max_bits))
     named = durable(nodes.join(found, "id", "left").select("fp", "first", F.coalesce("root", "id").alias("root")))
     least = durable(named.groupBy("root").agg(F.min("first").alias("component_id")))
     return fps.join(durable(named.join(least, "root").select("fp", "component_id")), "fp")
