@@ -64,3 +64,16 @@ def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top three per user; Spark limits each group before the shuffle too."""
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
     return table(spark, sf_dir, "events").withColumn("k", rank).where("k <= 3").select("user_id", "event_id", "value")
+
+
+@query("""
+    SELECT conv_id, turn, role, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS turns,
+      lag(role) OVER w AS answers, coalesce(role = lag(role) OVER w, FALSE) AS repeats, CAST(sum(length(text)) OVER w AS BIGINT) AS chars_so_far FROM conversations
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with its place, the role before it, and what has been said so far; one window for all of a conversation."""
+    w, whole = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id")
+    before = F.lag("role").over(w)
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", F.row_number().over(w).cast("long").alias("place"), F.count("*").over(whole).alias("turns"), before.alias("answers"),
+        F.coalesce(F.col("role") == before, F.lit(False)).alias("repeats"), F.sum(F.length("text").cast("long")).over(w).alias("chars_so_far"))
