@@ -44,6 +44,9 @@ COMPARED = 8
 BLOCK, BROADCAST_SETS = 250_000, 500_000
 #: Standard errors above the mean distance at which a pair of fingerprints is still a candidate.
 MARGIN = 4
+#: Bits of a segment beyond log2 of the number of fingerprints. A bit more halves the chance meetings, each a row with a whole
+#: fingerprint, and takes a tenth more segments, whose rows are short.
+SLACK = 11
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -85,10 +88,11 @@ def fingerprints(docs: DataFrame, words: int = 4, length: int = 1, doc_id: str =
 
 def plan(n: int, similarity: float, missed: float = 0.01) -> tuple[int, int, int, int]:
     """Segments, their width, 64-bit words and largest distance for candidates of at least this Jaccard similarity among n
-    fingerprints; the distance is MARGIN standard errors above its mean for pairs just similar enough. Width grows with log2(n), so that chance meetings in a table stay rare; the number of segments follows
-    from the chance that a pair just similar enough differs in at most 2 bits of a segment, and from `missed`."""
+    fingerprints; the distance is MARGIN standard errors above its mean for pairs just similar enough. Width grows with
+    log2(n), so that chance meetings in a table stay rare; the number of segments follows from the chance that a pair just
+    similar enough differs in at most 2 bits of a segment, and from `missed`."""
     apart = acos(2 * similarity / (1 + similarity)) / pi
-    width = min(40, max(16, ceil(log2(max(n, 2))) + 9))
+    width = max(16, ceil(log2(max(n, 2))) + SLACK)
     ratio = apart / (1 - apart)
     meet = (1 - apart) ** width * (1 + width * ratio + width * (width - 1) / 2 * ratio**2)
     segments = ceil(log(missed) / log(1 - meet))
