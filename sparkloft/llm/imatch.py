@@ -12,8 +12,8 @@ lexicon is sent to the tasks as a sorted list of hashes. Its size is counted fir
 stops and asks for a smaller band, rather than leave out terms.
 
 Likeness: two texts that differ in d terms (of one or the other) have equal signatures at rate p with probability (1 - p)^d,
-those that are empty for both included. From the observed equal and unequal signatures follows how probable each share of terms
-in common, 1 - d / (terms of both), is, if all were alike likely before; the likeness is its mean.
+those that are empty for both included. The likeness is the share of terms in common, 1 - d / (terms of both), under which the
+observed equal and unequal signatures are most probable; a mean over all shares would be drawn to the middle.
 
 Defined results: null text counts as empty. A text with terms but none in the band uses all its terms; the empty text has no
 terms and the signature 0 throughout. Likeness is 1 for equal fingerprints and for no others. The order of documents is by id, those
@@ -87,8 +87,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     equal = np.minimum(np.outer(differ, _DIFFER), -1e-12)
     found, all_ = np.bincount(_LEVEL[same[1:]], minlength=len(_LEVELS)), np.bincount(_LEVEL)
     chance = equal @ found + np.log(-np.expm1(equal)) @ (all_ - found)
-    chance = np.exp(chance - chance.max())
-    return float((chance @ (1 - differ / both)) / chance.sum())
+    return float(1 - differ[chance.argmax()] / both)
 
 
 def written(signature: np.ndarray) -> str:

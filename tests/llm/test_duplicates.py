@@ -183,7 +183,7 @@ def brute_signatures(text, known):
 
 
 def brute_likeness(a, b):
-    """The mean share of terms in common, signature by signature."""
+    """The likeliest share of terms in common, signature by signature."""
     if a == b:
         return 1.0
     both, shares = a[0] + b[0], []
@@ -191,8 +191,7 @@ def brute_likeness(a, b):
         d = max((1 - k / 40) * both, 1, abs(a[0] - b[0]))
         logs = [(d * math.log1p(-min(p, 1 - 1e-9)), x == y) for p, x, y in zip(imatch.RATES, a[1:], b[1:])]
         shares.append((sum(min(q, -1e-12) if same else math.log(-math.expm1(min(q, -1e-12))) for q, same in logs), 1 - d / both))
-    top = max(c for c, _ in shares)
-    return sum(math.exp(c - top) * s for c, s in shares) / sum(math.exp(c - top) for c, _ in shares)
+    return max(shares, key=lambda x: x[0])[1]
 
 
 def test_imatch_query_as_brute_force(spark):
