@@ -112,4 +112,27 @@ def decontamination_sql() -> str:
       consistent AND (windows >= {d.LEAK_WINDOWS} OR windows / item_windows >= {d.LEAK_SHARE}) AS contaminated FROM best"""
 
 
-ORACLE_SQL = {"op2_decontamination": decontamination_sql(), "op3_url_filters": url_filters_sql(), "op5_secret_scans": secret_scans_sql()}
+def exact_dedup_sql() -> str:
+    """Texts without white space, as the key of windows."""
+    return """
+    WITH texts AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS body FROM documents),
+      judged AS (SELECT doc_id, body, first_value(doc_id) OVER (PARTITION BY body ORDER BY size DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM texts)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM judged"""
+
+
+def hard_negatives_sql(positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> str:
+    """All products of anchors and rows, as doubles, in which they are exact."""
+    return f"""
+    WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+      scores AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+        FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+      near AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {positives})
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id,
+      positive_score, score AS negative_score FROM near JOIN scores USING (anchor_id)
+    WHERE NOT same AND {low} * positive_score <= 100 * score AND 100 * score <= {high} * positive_score
+    QUALIFY rank <= {negatives}"""
+
+
+ORACLE_SQL = {"op11_exact_dedup": exact_dedup_sql(), "op12_hard_negatives": hard_negatives_sql(), "op2_decontamination": decontamination_sql(), "op3_url_filters": url_filters_sql(), "op5_secret_scans": secret_scans_sql()}
