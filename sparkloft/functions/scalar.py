@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloft.functions.times import micros
 from sparkloft.plans.registry import query
 from sparkloft.sources.tables import table
 
@@ -71,8 +72,9 @@ def null_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('day', ts) AS day, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
 def date_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda unit: F.date_trunc(unit, "ts").cast("timestamp_ntz")
-    rows = table(spark, sf_dir, "events").select(at("day").alias("day"), at("hour").alias("hour"))
+    """date_trunc() takes times of the session's zone; these have none, so days are dates and hours are added to them."""
+    day = F.col("ts").cast("date").cast("timestamp_ntz")
+    rows = table(spark, sf_dir, "events").select(day.alias("day"), (day + F.make_dt_interval(F.lit(0), F.hour("ts"))).alias("hour"))
     return rows.groupBy("day", "hour").agg(F.count("*").alias("n"))
 
 
@@ -92,11 +94,10 @@ def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def date_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return joined.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.datediff("l_shipdate", "o_orderdate").cast("long").alias("days"),
         F.add_months("o_orderdate", 1).alias("month_on"), F.date_format("o_orderdate", "yyyy/MM").alias("label"),
-        (micros("l_shipdate") - micros("o_orderdate")).alias("micros"))
+        (micros(joined, "l_shipdate") - micros(joined, "o_orderdate")).alias("micros"))
 
 
 @query("""

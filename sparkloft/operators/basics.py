@@ -72,14 +72,14 @@ def limit_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: Column, name: str = "row") -> DataFrame:
-    """The rows sorted, with their place from 1. Rows are dealt to ranges, numbered in each, and what the ranges before hold,
-    one number each, is added; so no task gets all rows."""
-    ranged = durable(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    held = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = held.alias("p").join(held.alias("q"), F.col("q._part") < F.col("p._part"), "left").groupBy(F.col("p._part").alias("_part"))
-    before = before.agg(F.coalesce(F.sum("q._n"), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_part", "_before").orderBy(name)
+    """The rows sorted, with their place from 1. Rows are dealt to ranges and sorted in each; a row's place is its place in its
+    range, and what the ranges before hold, one number each, is added. So no task gets all rows, and they are shuffled once."""
+    ranged = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)  # how that function counts: 2**33 for each range
+    held = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    before = held.select("_part", before.alias("_before"))
+    return ranged.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, inside + F.col("_before") + 1).drop("_part", "_before", "_at")
 
 
 @query("""
@@ -99,12 +99,3 @@ def sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority").distinct()
-
-
-@query("""
-    WITH RECURSIVE steps(n, total) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 50)
-    SELECT n, total FROM steps""")
-def recursive_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("""
-        WITH RECURSIVE steps(n, total) AS (SELECT 1L, 1L UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 50)
-        SELECT n, total FROM steps""")

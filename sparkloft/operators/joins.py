@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from sparkloft.functions.times import micros
 from sparkloft.plans.registry import query
 from sparkloft.sources.tables import durable, table, views
 
@@ -111,8 +112,8 @@ def running_count(rows: DataFrame, order: str, n: str) -> DataFrame:
     ranged = durable(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     parts = ranged.groupBy("_part").agg(F.sum(n).alias("_n"))
-    more = parts.alias("p").join(parts.alias("q"), F.col("q._part") > F.col("p._part"), "left").groupBy(F.col("p._part").alias("_part"))
-    more = more.agg(F.coalesce(F.sum("q._n"), F.lit(0)).alias("_more"))
+    after = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    more = parts.select("_part", F.coalesce(F.sum("_n").over(after), F.lit(0)).alias("_more"))
     own = F.coalesce(F.sum(n).over(inside), F.lit(0))
     return ranged.withColumn("_own", own).join(F.broadcast(more), "_part").withColumn("above", F.col("_own") + F.col("_more")).drop("_part", "_own", "_more")
 
@@ -121,11 +122,11 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     """Pairs of equal keys with left_ts < right_ts <= left_ts + width. Time is cut into bins of that width: a left row meets
     its own bin and the next, so the join has an equality on the bin and does not grow with a key's history."""
     size = _seconds(width)
-    at = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(size * 1_000_000))
-    a = left.withColumn("_bin", F.explode(F.array(at(left_ts), at(left_ts) + 1)))
-    b = right.withColumn("_bin", at(right_ts))
-    later = F.unix_micros(F.col(right_ts).cast("timestamp")) - F.unix_micros(F.col(left_ts).cast("timestamp"))
-    return a.join(b, [*keys, "_bin"]).where((later > 0) & (later <= size * 1_000_000)).drop("_bin")
+    bin_of = lambda at: F.floor(F.col(at) / F.lit(size * 1_000_000))
+    a = left.withColumn("_left", micros(left, left_ts)).withColumn("_bin", F.explode(F.array(bin_of("_left"), bin_of("_left") + 1)))
+    b = right.withColumn("_right", micros(right, right_ts)).withColumn("_bin", bin_of("_right"))
+    later = F.col("_right") - F.col("_left")
+    return a.join(b, [*keys, "_bin"]).where((later > 0) & (later <= size * 1_000_000)).drop("_bin", "_left", "_right")
 
 
 def _seconds(width: str) -> int:
@@ -152,10 +153,10 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, bin_
     Both sides are merged and a window carries the last value on, so work does not grow with pairs. The window is of a key
     and a bin of time, so a key with a third of all rows is split; what a bin inherits comes from one row for each bin.
     """
-    names, micros = left.columns, _seconds(bin_width) * 1_000_000
+    names, width = left.columns, _seconds(bin_width) * 1_000_000
     known = right.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, ts, F.lit(0).alias("_side"), F.col(value).alias("_value"))
     both = left.withColumns({"_side": F.lit(1), "_value": F.lit(None)}).unionByName(known, allowMissingColumns=True)
-    both = both.withColumn("_bin", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(micros)))
+    both = both.withColumn("_bin", F.floor(micros(both, ts) / F.lit(width)))
     order = F.when(F.col("_value").isNotNull(), F.struct(ts, "_value"))
     ends = both.groupBy(key, "_bin").agg(F.max_by("_value", order).alias("_end"))
     before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sparkloft.functions.times import has_zone, unzoned
 from sparkloft.plans.registry import query
 from sparkloft.sources.tables import table
 
@@ -18,39 +19,39 @@ SESSIONS = """
     GROUP BY user_id, session"""
 
 
-def zoned(events: DataFrame) -> DataFrame:
-    """Stored times have no zone; windows and watermarks need one. The session's is used, and taken off again."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+def _plain(events: DataFrame, c: Column) -> Column:
+    """Stored times have no zone and windows take them as they are; a stream's are instants, which go back."""
+    return unzoned(c) if has_zone(events, "ts") else c
 
 
 def tumbling_counts(events: DataFrame) -> DataFrame:
     w = F.window("ts", "1 hour")
     return events.groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(12,2)")).cast("decimal(38,4)").alias("total")).select(
-        F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
+        _plain(events, F.col("w.start")).alias("start"), "n", "total")
 
 
 def sliding_counts(events: DataFrame) -> DataFrame:
     w = F.window("ts", "1 hour", "30 minutes")
-    return events.groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return events.groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(_plain(events, F.col("w.start")).alias("start"), "n")
 
 
 def session_counts(events: DataFrame) -> DataFrame:
     w = F.session_window("ts", "6 hours")
     return events.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n"), F.max("ts").alias("last")).select(
-        "user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+        "user_id", _plain(events, F.col("w.start")).alias("start"), _plain(events, F.col("last")).alias("last"), "n")
 
 
 @query(TUMBLING)
 def tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tumbling_counts(zoned(table(spark, sf_dir, "events")))
+    return tumbling_counts(table(spark, sf_dir, "events"))
 
 
 @query(SLIDING)
 def sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sliding_counts(zoned(table(spark, sf_dir, "events")))
+    return sliding_counts(table(spark, sf_dir, "events"))
 
 
 @query(SESSIONS)
 def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session ends six hours after its last event; an event at that very time begins another."""
-    return session_counts(zoned(table(spark, sf_dir, "events")))
+    return session_counts(table(spark, sf_dir, "events"))

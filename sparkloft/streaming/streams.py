@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sparkloft.functions.times import instant
 from sparkloft.plans.registry import query
 from sparkloft.sources.tables import fresh_dir, table
 from sparkloft.streaming.event_time import session_counts, sliding_counts, tumbling_counts
@@ -21,7 +22,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream with a watermark."""
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
+    return rows.withColumn("ts", instant(F.col("ts"))).withWatermark("ts", LATENESS)
 
 
 def run_to_end(stream: DataFrame, mode: str = "append", place: tuple[str, str] | None = None) -> DataFrame:
@@ -109,7 +110,7 @@ def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = fresh_dir(spark, "stream"), fresh_dir(spark, "stream-state")
     for part in ("event_type != 'error'", "event_type = 'error'"):
         events.where(part).write.mode("append").parquet(arrived)
-        rows = spark.readStream.schema(events.schema).parquet(arrived).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
+        rows = spark.readStream.schema(events.schema).parquet(arrived).withColumn("ts", instant(F.col("ts"))).withWatermark("ts", LATENESS)
         out = run_to_end(tumbling_counts(rows), place=place)
     return out
 
