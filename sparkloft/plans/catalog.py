@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from sparkloft.functions import nested, scalar, udfs
-from sparkloft.operators import aggregates, basics, joins, recursion, sets, windows
+from sparkloft.operators import aggregates, basics, joins, recursion, sets, vector_index, windows
 from sparkloft.plans.registry import ORACLE_SQL, QUERIES
 from sparkloft.sources import formats
 from sparkloft.streaming import event_time, streams
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "basics", "event_time", "formats", "joins", "nested", "recursion", "scalar", "sets", "streams", "udfs", "windows"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "basics", "event_time", "formats", "joins", "nested", "recursion", "scalar", "sets", "streams", "udfs", "vector_index", "windows"]
