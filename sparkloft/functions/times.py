@@ -27,5 +27,10 @@ def instant(c: Column) -> Column:
 
 def unzoned(c: Column) -> Column:
     """What instant() came from."""
-    seconds = (F.unix_micros(c).cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)")
+    return stood(F.unix_micros(c))
+
+
+def stood(at: Column) -> Column:
+    """The time without a zone that micros() has counted."""
+    seconds = (at.cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)")
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)

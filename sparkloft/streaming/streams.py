@@ -5,6 +5,7 @@ a stream that broke off goes on where it was."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -42,6 +43,24 @@ def run_to_end(stream: DataFrame, mode: str = "append", place: tuple[str, str] |
     return spark.read.schema(stream.schema).parquet(path)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession, empty_batches: bool = True):
+    """State stores that custom state needs. State that expires by the clock asks for batches without data for ever; where all input is
+    read and the stream then ends, they are turned off."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower(),
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def _closed(sql: str, length: str) -> str:
     """The windows that the final watermark has closed."""
     return f"SELECT * FROM ({sql}) WHERE start + INTERVAL {length} <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -135,12 +154,7 @@ class Totals(StatefulProcessor):
 @query("SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY 1")
 def stream_custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """transformWithStateInPandas; each batch puts out its users' totals so far, the last of them counts."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with rocksdb(spark):
         grouped = event_stream(spark, sf_dir).select("user_id", "value").groupBy("user_id")
         out = grouped.transformWithStateInPandas(Totals(), "user_id long, n long, most double", "Append", "None")
         return run_to_end(out).groupBy("user_id").agg(F.max("n").alias("n"), F.max("most").alias("most"))
-    finally:
-        spark.conf.set(provider, before)
