@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloft.functions.partial_states import PartialAggregate, aggregated
 from sparkloft.plans.registry import query
 from sparkloft.sources.tables import table
 
@@ -31,13 +33,25 @@ def pandas_scalar_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(max(value) - min(value), 4) AS spread FROM events GROUP BY 1")
 def pandas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function of a whole group; for groups of bounded size."""
+    """A user's aggregate by states that are merged: five event types, none of them in one worker."""
+    found = aggregated(table(spark, sf_dir, "events"), ["event_type"], "value", Spread(), "spread")
+    return found.select("event_type", F.round("spread", 4).alias("spread"))
 
-    @F.pandas_udf("double")
-    def spread(x: pd.Series) -> float:
-        return float(x.max() - x.min())
 
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(spread("value"), 4).alias("spread"))
+class Spread(PartialAggregate):
+    """The largest value less the smallest."""
+
+    def start(self) -> np.ndarray:
+        return np.array([np.inf, -np.inf])
+
+    def add(self, state: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.array([values.min(initial=state[0]), values.max(initial=state[1])])
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.array([min(a[0], b[0]), max(a[1], b[1])])
+
+    def finish(self, state: np.ndarray) -> float | None:
+        return float(state[1] - state[0]) if state[0] <= state[1] else None
 
 
 @query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
@@ -86,9 +100,11 @@ def map_in_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(c.k, s.k) AS k, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers
     FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k""")
 def cogrouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides are counted before they meet, so a group holds a row of each."""
+
     def counts(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [key[0]], "customers": [len(a)], "suppliers": [len(b)]})
+        return pd.DataFrame({"k": [key[0]], "customers": [int(a["n"].sum())], "suppliers": [int(b["n"].sum())]})
 
-    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).groupBy("k")
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).groupBy("k")
+    a = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n")).groupBy("k")
+    b = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n")).groupBy("k")
     return a.cogroup(b).applyInPandas(counts, "k int, customers long, suppliers long")
