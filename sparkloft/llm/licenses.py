@@ -3,23 +3,27 @@
 A paragraph is a run of lines between blank ones; marks of comments are no words. A sparse logistic regression over word n-grams
 (1 to 3 words) gives a line of it, and each stretch of its words about as long as a notice, a licence family or `unknown`.
 It is trained here, on variants of the public notices below and on unlicensed sentences; the unknown class is one of its
-classes, and its probabilities are calibrated by one temperature on other wordings, which it was not trained on. A prediction
-counts only if the words also share enough of a template's word pairs. Lines that are a notice by themselves are found
-first; the lines left between them are joined, so notices wrapped over lines, or within long lines, are found too. A notice
+classes, also trained on licences that are none of the families, and its probabilities are calibrated by one temperature on other
+wordings, of every family, which it was not trained on. A prediction counts only if the words also share enough of a template's
+word pairs (all of a template of up to four words) and hold a name of that family, as it is called in NAMES; the longest name at a
+place counts. The lines of a paragraph are joined, so notices wrapped over lines, or within long lines, are found too. A notice
 that is denied ("not released under ...") is none. The version is the number that the notice itself names.
 
-Features are n-grams of the notices that hold at least one of their less common words. A paragraph without any such
-word has no feature and is unknown by definition, so most paragraphs are settled by one look at their words.
+Features are n-grams of the notices that hold at least one of their less common words. A paragraph without the first word of any
+name is unknown by definition, so most paragraphs are settled by one look at their words. Stretches are found by one window that
+moves over the places of a template's pairs, so a long text takes time in proportion to its length.
 
 Defined results: null text counts as empty, with no finding. Repeated rows each get findings; a null id is an id like others, in
-`op8_license_scan` repeated ids are one document with the findings of all its texts. Of notices that overlap the one with the
-largest share of its template counts, on a tie the longer, then the first. Very long texts are read whole, a paragraph at a
+`op8_license_scan` repeated ids are one document with the findings of all its texts. Of notices that overlap the one that
+shares most pairs with its template counts, then the one with the larger share of it, then the shorter, then the first. Very long texts are read whole, a paragraph at a
 time. Empty tables give empty results. Only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,52 +39,104 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Licensed under the Apache License, Version 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License 2.0", "Apache License, Version 2.0", "License: Apache 2.0", "Licensed under Apache 2.0", "Apache 2.0 License",
     ],
     "mit": [
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "MIT License", "License: MIT", "Licensed under MIT", "MIT licensed",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License", "GNU GPL v3", "GNU GPL version 3", "Licensed under GPL v2", "Licensed under the GPL", "GPL 2.0 only", "GPL 3.0 or later", "License: GPL",
     ],
     "agpl": [
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "Affero General Public License", "GNU AGPL v3", "Licensed under AGPL v3", "AGPL 3.0 only", "AGPL 3.0 or later", "License: AGPL",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License.",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: LGPL-2.1",
+        "Lesser General Public License", "GNU LGPL v2.1", "Licensed under LGPL v3", "LGPL 2.1 only", "LGPL 2.1 or later", "License: LGPL",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "CC BY NC 4.0", "Creative Commons Attribution NonCommercial 4.0",
     ],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "CC BY SA 4.0", "Creative Commons Attribution ShareAlike 4.0",
     ],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc0": ["This work is released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
+    "cc-by-nd": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "CC BY ND 4.0", "Creative Commons Attribution NoDerivatives 4.0",
+    ],
+    "cc-by-nc-sa": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "CC BY NC SA 4.0", "Creative Commons Attribution NonCommercial ShareAlike 4.0",
+    ],
+    "cc-by-nc-nd": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "CC BY NC ND 4.0", "Creative Commons Attribution NonCommercial NoDerivatives 4.0",
+    ],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC BY 4.0", "Creative Commons Attribution 4.0"],
+    "cc0": ["This work is released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0", "CC0 1.0 Universal", "CC0 1.0", "Licensed under CC0", "License: CC0"],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD License", "BSD 2 Clause", "BSD 3 Clause", "License: BSD", "BSD style license",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Licensed under the ISC License.",
         "SPDX-License-Identifier: ISC",
+        "ISC License", "License: ISC",
+    ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License", "MPL 2.0", "Licensed under MPL",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0",
+        "Eclipse Public License", "EPL 2.0", "Licensed under EPL",
     ],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
-    "proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense",
+        "The Unlicense", "License: Unlicense", "Licensed under the Unlicense",
+    ],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "Boost Software License"],
+    "zlib": ["This software is licensed under the zlib License.", "SPDX-License-Identifier: Zlib", "zlib License", "License: zlib"],
+    "proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "All rights reserved. Unauthorized copying is prohibited."],
 }
+#: What a notice of a family is called, or says alone; one must stand in it.
+NAMES = {
+    "apache": ["apache"], "mit": ["mit", "any person obtaining a copy"], "gpl": ["gpl", "gnu general public"], "agpl": ["agpl", "affero general public"],
+    "lgpl": ["lgpl", "lesser general public", "library general public"], "cc-by": ["cc by", "creative commons attribution"],
+    "cc-by-nc": ["cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"],
+    "cc-by-sa": ["cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"],
+    "cc-by-nd": ["cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs", "creative commons attribution no derivatives"],
+    "cc-by-nc-sa": ["cc by nc sa", "creative commons attribution noncommercial sharealike", "creative commons attribution non commercial share alike"],
+    "cc-by-nc-nd": ["cc by nc nd", "creative commons attribution noncommercial noderivatives", "creative commons attribution noncommercial noderivs"],
+    "cc0": ["cc0"], "bsd": ["bsd", "redistribution and use in source and binary forms"], "isc": ["isc", "with or without fee is hereby granted"],
+    "mpl": ["mpl", "mozilla public"], "epl": ["epl", "eclipse public"], "unlicense": ["unlicense", "unencumbered software released into the public domain"],
+    "boost": ["boost software", "bsl"], "zlib": ["zlib"], "proprietary": ["all rights reserved"],
+}
+#: Licences of no family here, for the unknown class.
+OTHERS = "Zope Public|Artistic|Academic Free|Open Software|Python Software Foundation|PHP|Common Development and Distribution|Sleepycat|Open Font|Q Public|Sun Public|Fair|W3C Software|Vim|Ruby".split("|")
+OTHER_FORMS = "Licensed under the {} License.|{} License|This program is free software under the terms of the {} License, version 2.0.|Released under the {} Public Licence.|SPDX-License-Identifier: {}".split("|")
 #: Lines that speak of like things without granting a licence.
 UNLICENSED = (
     "He lost his driving license last year.|The software is fast and free of errors.|Under the bridge the work was done.|"
@@ -95,24 +151,63 @@ HELD_OUT = {
     "apache": ["This file is licensed under the Apache License 2.0"], "mit": ["Distributed under the MIT License", "The code is licensed under the MIT license"],
     "gpl": ["This file is released under the GNU General Public License v3"], "lgpl": ["Licensed under the GNU Lesser General Public License version 2.1"],
     "agpl": ["Released under the GNU Affero General Public License v3"], "cc-by": ["Available under a Creative Commons Attribution 4.0 license"],
+    "cc-by-nc": ["Available under a Creative Commons Attribution-NonCommercial 4.0 license"], "cc-by-sa": ["Text is available under Creative Commons Attribution-ShareAlike 4.0"],
+    "cc-by-nd": ["Photos are under CC BY-ND 4.0"], "cc-by-nc-sa": ["Shared under CC BY-NC-SA 4.0"], "cc-by-nc-nd": ["Shared under CC BY-NC-ND 4.0"], "cc0": ["Data are released under CC0 1.0"],
     "bsd": ["Released under the BSD license"], "mpl": ["Distributed under the Mozilla Public License 2.0"], "isc": ["Released under the ISC license"],
+    "epl": ["Released under the Eclipse Public License 2.0"], "unlicense": ["Released under the Unlicense"], "boost": ["Released under the Boost Software License 1.0"],
+    "zlib": ["Released under the zlib license"], "proprietary": ["Copyright of the company. All rights reserved. Unauthorized copying of it is prohibited."],
     "unknown": [
         "The public may enter under these terms", "A free copy of the work in any form", "The general gave his permission", "The source of the file is a library",
         "This version is the work of students", "Under the terms of the contract the program ended", "The commons were open to any person", "They published the notice in a public place",
+        "Licensed under the Aladdin Free Public License", "Released under the LaTeX Project Public License", "Distributed under the Intel Open Source License",
     ],
 }
 #: Words that deny, and verbs that grant.
 DENIALS, GRANTS = frozenset("not never no longer isn aren wasn nor".split()), frozenset("licensed released distributed available published covered granted".split())
 COMMON = frozenset("a an the and or of to in on for by is are be it this that with without not as at from any you may under".split())
 UNKNOWN = "unknown"
-LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.5
-#: Lines of more words are not a notice by themselves; they are looked through with their neighbours.
-LONGEST_LINE = 60
+#: Of a template's word pairs a notice must share so many; of a template of up to SHORT pairs all.
+LEAST_PROBABILITY, LEAST_OVERLAP, SHORT = 0.5, 0.5, 3
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
+_WITH_VERSION = re.compile(r"(a?gpl|lgpl|mpl|epl|apache|bsd)v?(\d+(?:\.\d+)*)")
+
+
 def words_of(paragraph: str) -> list[str]:
-    return _WORD.findall(paragraph.lower())
+    """Words in lower case; GPLv2 is two."""
+    out = []
+    for w in _WORD.findall(paragraph.lower()):
+        cut = _WITH_VERSION.fullmatch(w)
+        out += [cut[1], "v" + cut[2]] if cut else [w]
+    return out
+
+
+def _name_trie() -> dict:
+    root: dict = {}
+    for family, names in NAMES.items():
+        for name in names:
+            at = root
+            for w in name.split():
+                at = at.setdefault(w, {})
+            at[""] = family
+    return root
+
+
+_TRIE = _name_trie()
+
+
+def named(words: list[str]) -> set[str]:
+    """Families whose name stands in the words; of names at one place the longest."""
+    found = set()
+    for k, w in enumerate(words):
+        at, family, n = _TRIE.get(w), None, k
+        while at is not None:
+            family, n = at.get("", family), n + 1
+            at = at.get(words[n]) if n < len(words) else None
+        if family:
+            found.add(family)
+    return found
 
 
 def ngrams(words: list[str], known: frozenset[str]) -> list[str]:
@@ -159,11 +254,13 @@ class Classifier:
         self.known = frozenset(w for _, t in notices for w in words_of(t)) - COMMON
         self.families = [*TEMPLATES, UNKNOWN]
         self.pairs = [(f, frozenset(_pairs(words_of(t)))) for f, t in notices]
-        self.lengths = [len(words_of(t)) * 5 // 4 for _, t in notices]
+        self.needed = [len(p) if len(p) <= SHORT else LEAST_OVERLAP * len(p) for _, p in self.pairs]
+        self.lengths = [{n := len(words_of(t)), n if len(p) <= SHORT else n * 5 // 4} for (_, t), (_, p) in zip(notices, self.pairs)]
         self.index = {g: k for k, g in enumerate(sorted({g for _, t in notices for g in ngrams(words_of(t), self.known)}))}
         rng = np.random.default_rng(seed)
         fillers = [w for t in UNLICENSED for w in words_of(t)]
         rows = [(f, self._vary(words_of(t), fillers, rng, v)) for f, t in notices + [(UNKNOWN, t) for t in UNLICENSED] for v in range(variants)]
+        rows += [(UNKNOWN, self._vary(words_of(form.format(name)), fillers, rng, v)) for name in OTHERS for form in OTHER_FORMS for v in range(max(variants // 6, 1))]
         rows += [(UNKNOWN, [str(x) for x in rng.choice(sorted(self.known), 1)]) for _ in range(8 * variants)]
         self.x, self.y = Rows([self._row(w) for _, w in rows], len(self.index) + 1), np.array([self.families.index(f) for f, _ in rows])
         self.weights = fit_sparse(self.x, self.y, len(self.families), rounds)
@@ -189,37 +286,63 @@ class Classifier:
         return self.predict_words(words_of(paragraph))
 
     def predict_words(self, words: list[str]) -> tuple[str, float, float]:
-        if self.known.isdisjoint(words):
+        """The overlap is 0 if no template of the family has enough of its pairs, or the family's name is not there."""
+        if _TRIE.keys().isdisjoint(words):
             return UNKNOWN, 1.0, 0.0
         at, values = self._row(words)
         p = softmax(values @ self.weights[at] / self.temperature)
         family = self.families[int(p.argmax())]
-        seen = _pairs(words)
-        overlap = max((len(pairs & seen) / len(pairs) for f, pairs in self.pairs if f == family), default=0.0)
+        overlap = 0.0
+        if family in named(words):
+            seen = _pairs(words)
+            overlap = max((n / len(pairs) for (f, pairs), least in zip(self.pairs, self.needed) if f == family and (n := len(pairs & seen)) >= least), default=0.0)
         return family, float(p.max()), overlap
 
+    def candidates(self, words: list[str]) -> list[tuple[int, float, int, int, str]]:
+        """Shared pairs, their share of the template, length and begin (both negative) and family of each template whose pairs are near enough
+        together, for each place of one of them that a window can begin at. Windows are as long as the template, and a quarter longer."""
+        seen, tried = _pairs(words), []
+        places: dict[tuple[str, str], list[int]] = {}
+        for k, pair in enumerate(zip(words, words[1:])):
+            places.setdefault(pair, []).append(k)
+        for (f, pairs), least, lengths in zip(self.pairs, self.needed, self.lengths):
+            if len(pairs & seen) < least:
+                continue
+            at = sorted(k for pair in pairs for k in places.get(pair, ()))
+            for length in lengths:
+                inside: Counter = Counter()
+                stop = 0
+                for begin in at:
+                    while stop < len(at) and at[stop] <= begin + length - 2:
+                        inside[words[at[stop]], words[at[stop] + 1]] += 1
+                        stop += 1
+                    if len(inside) >= least:
+                        end = at[stop - 1] + 2
+                        tried.append((len(inside), len(inside) / len(pairs), begin - end, -begin, f))
+                    gone = words[begin], words[begin + 1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+        return sorted(tried, reverse=True)
+
     def stretches(self, words: list[str]) -> list[tuple[int, int, str, float, float]]:
         """Stretches of the words (begin, end) with a confirmed licence, family, probability and overlap; they do not meet."""
-        if self.known.isdisjoint(words):
+        if _TRIE.keys().isdisjoint(words):
             return []
-        seen, tried = frozenset(_pairs(words)), []
-        for (f, pairs), length in zip(self.pairs, self.lengths):
-            if len(pairs & seen) < LEAST_OVERLAP * len(pairs):
+        found: list[tuple[int, int, str, float, float]] = []  # in order of places
+        judged: dict[tuple[str, ...], tuple[str, float, float]] = {}
+        for _, _, size, begin, f in self.candidates(words):
+            begin, end = -begin, -begin - size
+            k = bisect(found, (begin,))
+            if (k and found[k - 1][1] > begin) or (k < len(found) and found[k][0] < end):
                 continue
-            at = [k for k, pair in enumerate(zip(words, words[1:])) if pair in pairs]
-            for k in at:
-                inside = [x for x in at if k <= x <= k + length - 2]
-                overlap = len({(words[x], words[x + 1]) for x in inside}) / len(pairs)
-                if overlap >= LEAST_OVERLAP:
-                    tried.append((overlap, len(pairs), -k, inside[-1] + 2, f))
-        found = []
-        for _, _, begin, end, f in sorted(tried, reverse=True):
-            begin = -begin
-            if all(end <= a or z <= begin for a, z, *_ in found):
-                family, p, overlap = self.predict_words(words[begin:end])
-                if family == f and p >= LEAST_PROBABILITY and overlap >= LEAST_OVERLAP:
-                    found.append((begin, end, family, p, overlap))
-        return sorted(found)
+            part = tuple(words[begin:end])
+            if part not in judged:
+                judged[part] = self.predict_words(list(part))
+            family, p, overlap = judged[part]
+            if family == f and p >= LEAST_PROBABILITY and overlap >= LEAST_OVERLAP:
+                found.insert(k, (begin, end, family, p, overlap))
+        return found
 
 
 def denied(words: list[str], begin: int, end: int) -> bool:
@@ -240,30 +363,25 @@ def _pairs(words: list[str]) -> set[tuple[str, str]]:
 
 
 def findings(body: str, model: Classifier) -> list[tuple[int, str, str, float, float, str]]:
-    """Number of the first line, family, version, probability, overlap and text of each notice with a confirmed licence."""
+    """Number of the first line, family, version, probability, overlap and text (its lines) of each notice with a confirmed licence."""
     out, run = [], []
 
-    def joined() -> None:
+    def paragraph() -> None:
         words = [(k, w) for k, line in run for w in words_of(line)]
         plain = [w for _, w in words]
         for begin, end, family, p, overlap in model.stretches(plain):
             if not denied(plain, begin, end):
                 first, last = words[begin][0], words[end - 1][0]
-                out.append((first, family, version_of(plain[begin : end + 3]), p, overlap, "\n".join(line for k, line in run if first <= k <= last)))
+                lines = (line for _, line in run[first - run[0][0] : last - run[0][0] + 1])
+                out.append((first, family, version_of(plain[begin : end + 3]), p, overlap, "\n".join(lines)))
         run.clear()
 
     for k, line in enumerate(body.split("\n")):
-        words = words_of(line)
-        family, p, overlap = model.predict_words(words) if len(words) <= LONGEST_LINE else (UNKNOWN, 1.0, 0.0)
-        if family != UNKNOWN and p >= LEAST_PROBABILITY and overlap >= LEAST_OVERLAP:
-            joined()
-            if not denied(words, 0, len(words)):
-                out.append((k, family, version_of(words), p, overlap, line))
-        elif line.strip(" \t\r#*/;%-"):
+        if line.strip(" \t\r#*/;%-"):
             run.append((k, line))
         else:
-            joined()
-    joined()
+            paragraph()
+    paragraph()
     return out
 
 
