@@ -10,7 +10,9 @@ complete distance.
 With two segments and `max_bits` 4 one segment always differs in at most 2 bits, so no link is lost. For looser
 links (`similarity`), the number of segments and their width follow from the number of fingerprints, the similarity
 and the share of links that may be missed; see `plan`. There fingerprints are of distinct shingles and only give candidates:
-within each loose group all pairs are compared by the exact Jaccard similarity of their shingle sets.
+within each loose group the exact Jaccard similarity of the shingle sets decides, and sets are compared that share one of the
+rarest shingles of either (as many as two sets this similar cannot both lack). The bits of sets of few shingles scatter more, so
+links of such sets are found besides by the subsets they have in common, without loss; see `subset_links`.
 
 Equal fingerprints count once, so a group of exact copies is one row in the tables. In a table's bucket only a spanning
 forest of the links is kept, not all pairs; a bucket of more than BUCKET members is cut into blocks and every pair of blocks
@@ -26,6 +28,7 @@ Only the named columns are read, so others may have any names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
@@ -41,7 +44,9 @@ BUCKET, CELL = 2048, 4096
 #: Words of a long fingerprint that candidates are compared by.
 COMPARED = 8
 #: Shingles of a block of a loose group (8 bytes each); lists of sets of at most so many rows are broadcast.
-BLOCK, BROADCAST_SETS = 250_000, 500_000
+BLOCK, BROADCAST_SETS = 1_000_000, 500_000
+#: Sets of at most FEW shingles are joined by their subsets that lack up to LACK of them.
+FEW, LACK = 16, 2
 #: Standard errors above the mean distance at which a pair of fingerprints is still a candidate.
 MARGIN = 4
 #: Bits of a segment beyond log2 of the number of fingerprints. A bit more halves the chance meetings, each a row with a whole
@@ -200,27 +205,92 @@ def set_of(text: str, words: int) -> tuple[bytes, np.ndarray]:
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Row numbers of links that hold together what is linked at this exact Jaccard similarity. Each set is without repeats."""
+    """Row numbers of links that hold together what is linked at this exact Jaccard similarity. Each set is without repeats.
+
+    With shingles in one order, here from the rarest on, two sets this similar have one in common among the first
+    size - ceil(similarity * size) + 1 of each. So a set is held against those alone that it meets there, and not against those that have
+    been reached. Work grows with what sets have in common that is rare, not with the square of their number."""
     sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owner, ends = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
-    marked, left, links = np.zeros(len(ids) + 1, bool), np.ones(len(sets), bool), []
+    counts = np.bincount(ids)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ids = rank[ids]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((ids, owner))
+    ids = ids[order]  # each set's from the rarest on
+    place = np.arange(len(ids)) - np.repeat(ends - sizes, sizes)
+    first = np.flatnonzero(place < np.repeat(sizes - np.ceil(similarity * sizes - 1e-9).astype(int) + 1, sizes))
+    first = first[np.argsort(ids[first], kind="stable")]
+    members, tokens = owner[first], ids[first]
+    starts = np.searchsorted(tokens, np.arange(len(counts)))
+    held = np.diff(np.append(starts, len(tokens)))  # of the first shingles, how many sets that are still left
+    marked, left, links = np.zeros(len(counts), bool), np.ones(len(sets), bool), []
     for start in range(len(sets)):
         front = [start] if left[start] else []
         left[start] = False
-        while front and left.any():
+        while front:
             u = front.pop()
             mine = ids[ends[u] - sizes[u] : ends[u]]
+            met = []
+            for t in mine[: sizes[u] - int(np.ceil(similarity * sizes[u] - 1e-9)) + 1]:
+                if held[t]:
+                    there = members[starts[t] : starts[t] + held[t]]
+                    there = there[left[there]]
+                    members[starts[t] : starts[t] + len(there)], held[t] = there, len(there)
+                    met.append(there)
+            met = np.unique(np.concatenate(met)) if met else np.zeros(0, int)
+            met = met[(sizes[met] >= similarity * sizes[u] - 1e-9) & (similarity * sizes[met] <= sizes[u] + 1e-9)]
+            if not len(met):
+                continue
             marked[mine] = True
-            common = np.bincount(owner[marked[ids]], minlength=len(sets))
+            at = np.repeat(ends[met] - np.cumsum(sizes[met]), sizes[met]) + np.arange(sizes[met].sum())
+            common = np.add.reduceat(marked[ids[at]].astype(np.int64), np.cumsum(sizes[met]) - sizes[met])
             marked[mine] = False
-            near = np.flatnonzero(left & (common / np.maximum(sizes + sizes[u] - common, 1) >= similarity))
+            near = met[common / np.maximum(sizes[met] + sizes[u] - common, 1) >= similarity]
             left[near] = False
             links += [(u, v) for v in near]
             front.extend(near)
     return links
 
 
+def allowed(common: int, similarity: float) -> int:
+    """How many shingles two sets may have besides those in common."""
+    return int(common * (1 - similarity) / similarity + 1e-9)
+
+
+def subset_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b (numbers n) that connect all sets of at most FEW shingles this similar, as far as neither lacks more than LACK of the other's:
+    all pairs of at most 14 shingles in all, at 0.8. nodes: n, few (their shingles).
+
+    Each set is entered under each of its subsets that lack up to LACK shingles; two similar sets meet under what they have in common. Of those
+    that meet, one that lacks least is linked with every other it may be: two that may be linked may both be linked with it. So there are
+    no pairs to look through, and a subset that very many sets share gives a link for each."""
+
+    def entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in filled(batches):
+            out = []
+            for n, few in zip(b["n"], b["few"]):
+                h = np.frombuffer(few, np.uint64)
+                mixed = np.stack([(h ^ (h >> np.uint64(29))) * _GOLDEN, (h ^ (h >> np.uint64(32))) * _MIX], 1)
+                mixed = (mixed ^ mixed >> np.uint64(31)) * _MIX
+                whole = mixed.sum(0)
+                for k in range(LACK + 1):
+                    common = len(h) - k
+                    if common > 0 and allowed(common, similarity) >= max(k, 1):
+                        for gone in combinations(range(len(h)), k):
+                            out.append((*(whole - mixed[list(gone)].sum(0)).view(np.int64).tolist(), common, k, n))
+            yield pd.DataFrame(out, columns=["one", "two", "common", "lacks", "n"])
+
+    key = ["one", "two", "common"]
+    rows = nodes.where(F.length("few") > 0).select("n", "few").mapInPandas(entered, "one long, two long, common int, lacks int, n long")
+    least = rows.groupBy(*key).agg(F.min(F.struct("lacks", F.col("n").alias("to"))).alias("least"), F.count("*").alias("members")).where("members > 1")
+    most = F.floor(F.col("common") * (1 - similarity) / similarity + 1e-9)
+    met = rows.join(durable(least), key).where((F.col("n") != F.col("least.to")) & (F.col("lacks") + F.col("least.lacks") <= most))
+    return met.select(F.col("n").alias("a"), F.col("least.to").alias("b")).distinct()
+
+
 def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """Links a, b (numbers n) that connect all sets of this exact Jaccard similarity within a group. nodes: key, first, size
     and n of each set; groups: n and group. Texts of sets that are not alone in their group are read again. A group of
@@ -263,27 +333,29 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
 def similar_sets(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.01) -> DataFrame:
     """docs: doc_id, text. doc_id, key and root of every document: the name of its set of distinct word shingles, and a number
     that the documents of one group have in common, which are linked at this Jaccard similarity. Long fingerprints of the sets
-    give loose groups; within these, links are decided by the exact similarity of all pairs."""
+    give loose groups; within these, exact similarity decides. Small sets are linked by their subsets besides."""
     segments, width, length, max_bits = plan(docs.count(), similarity, missed)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filled(batches):
-            keys, fps, sizes = [], [], []
+            keys, fps, sizes, few = [], [], [], []
             for t in b["body"]:
                 key, found = set_of(t, words)
                 keys.append(key)
                 fps.append(fingerprint(found, length))
                 sizes.append(len(found))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "fp": fps, "size": sizes})
+                few.append(found.tobytes() if len(found) <= FEW else b"")
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "fp": fps, "size": sizes, "few": few})
 
-    named = durable(rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, fp binary, size long"))
-    nodes = named.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"))
+    named = durable(rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, fp binary, size long, few binary"))
+    nodes = named.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("few").alias("few"))
     nodes = durable(nodes.withColumn("n", F.monotonically_increasing_id()))
     groups = near_duplicates(nodes.select(F.col("n").alias("doc_id"), "fp"), segments, width, max_bits)
     groups = groups.select(F.col("doc_id").alias("n"), F.col("component_id").alias("group"))
-    nodes = nodes.drop("fp")
-    found = components(exact_links(rows, nodes, groups, words, similarity)).withColumnRenamed("id", "n")
+    few, nodes = nodes.select("n", "few"), nodes.drop("fp", "few")
+    found = exact_links(rows, nodes, groups, words, similarity).unionByName(subset_links(few, similarity))
+    found = components(found).withColumnRenamed("id", "n")
     roots = durable(nodes.join(found, "n", "left").select("key", F.coalesce("root", "n").alias("root")))
     return named.select("doc_id", "key").join(roots, "key")
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -286,3 +287,94 @@ def test_cells_grow_with_the_fingerprints():
             values |= {(cell >> high, (cell & (1 << high) - 1) << 32 - high | x) for x in ball}
         whole = [0x01234567, 0x89ABCDEF]
         assert values == {(s, v ^ x) for s, v in enumerate(whole) for x in [0, *(1 << k for k in range(32))]}
+
+
+def short_pair(word, n, more, changed):
+    """A text of n shingles of five words, and one with `more` words behind it and `changed` first words of its own."""
+    words = [word() for _ in range(n + 4)]
+    return " ".join(words), " ".join([word() for _ in range(changed)] + words[changed:] + [word() for _ in range(more)])
+
+
+def test_recall_of_short_texts(spark):
+    """Pairs just at 0.8 or above, of 1 shingle up: all pairs of up to 14 shingles together are found, of others nearly all; none below."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choices("abcdefghij", k=8))
+    docs, kinds = [], []
+    for n in range(1, 48):
+        for _ in range(30 if n < 12 else 12):
+            most = max(n // 4, 1)
+            more = r.choice([most, most + 1, r.randrange(0, most + 1)])
+            a, b = short_pair(word, n, more, 0 if n < 9 or r.random() < 0.5 else 1)
+            kinds.append((jaccard(a, b), len(shingle_set(a) | shingle_set(b)), a == b))
+            docs += [(len(docs), a), (len(docs) + 1, b)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    linked = [got[2 * k + 1] == 2 * k for k in range(len(kinds))]
+    assert not any(x for x, (j, _, _) in zip(linked, kinds) if j < 0.8)
+    small = [x for x, (j, size, same) in zip(linked, kinds) if j >= 0.8 and size <= 14 and not same]
+    larger = [x for x, (j, size, same) in zip(linked, kinds) if j >= 0.8 and size > 14 and not same]
+    assert len(small) > 60 and all(small), (len(small), sum(small))
+    assert len(larger) > 150 and np.mean(larger) >= 0.98, (len(larger), sum(larger))
+
+
+def linked_as(n, links):
+    parent = list(range(n))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    return [find(k) for k in range(n)]
+
+
+def brute_links(sets, similarity):
+    return [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity]
+
+
+def varied_sets(r, groups, n, largest):
+    bases = [{r.randrange(10**6) for _ in range(r.randrange(1, largest))} for _ in range(groups)]
+    out = set()
+    for _ in range(n):
+        x = set(r.choice(bases))
+        for _ in range(r.randrange(6)):
+            if r.random() < 0.5 and len(x) > 1:
+                x.discard(r.choice(sorted(x)))
+            else:
+                x.add(r.randrange(40))
+        out.add(tuple(sorted(x)))
+    return [set(x) for x in sorted(out)]
+
+
+def test_links_of_sets_as_all_pairs():
+    r = random.Random(19)
+    for largest in (6, 20, 60):
+        for _ in range(15):
+            sets = varied_sets(r, 5, 40, largest)
+            got = linked_as(len(sets), simhash.similar_links([np.array(sorted(x), np.uint64) for x in sets], 0.8))
+            want = linked_as(len(sets), brute_links(sets, 0.8))
+            assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_subset_links_as_all_pairs(spark):
+    """Small sets, also a crowd that differs in one shingle each: the same groups as from all pairs, without a loss up to 14 in all."""
+    r = random.Random(23)
+    sets = varied_sets(r, 12, 250, 15) + [set(range(500, 510)) | {k} for k in range(600, 700)] + [set(range(800, 804)), set(range(800, 805)), {1}, {2}]
+    sets = [set(x) for x in sorted({tuple(sorted(x)) for x in sets if len(x) <= simhash.FEW})]
+    rows = [(k, np.array(sorted(x), np.uint64).tobytes()) for k, x in enumerate(sets)] + [(9999, b"")]
+    found = [(x.a, x.b) for x in simhash.subset_links(spark.createDataFrame(rows, "n long, few binary").repartition(4), 0.8).collect()]
+    near = set(brute_links(sets, 0.8))
+    assert all((max(p), min(p)) in near for p in found) and len(found) < 4 * len(sets)
+    got, want = linked_as(len(sets), found), linked_as(len(sets), [(a, b) for a, b in near if len(sets[a] | sets[b]) <= 14])
+    assert all(got[a] == got[b] for a, b in near if len(sets[a] | sets[b]) <= 14) and len(set(zip(got, want))) == len(set(want))
+
+
+def test_loose_chains_and_templates_are_linear():
+    """20,000 texts each at 0.7 to the next, or all of one template: no pairs of all with all."""
+    r = np.random.default_rng(29)
+    words, frame = r.integers(0, 2**62, 17 * 20_000 + 96).astype(np.uint64), r.integers(0, 2**62, 70).astype(np.uint64)
+    began = time.process_time()
+    assert simhash.similar_links([np.unique(words[17 * k : 17 * k + 96]) for k in range(20_000)], 0.8) == []
+    assert simhash.similar_links([np.unique(np.concatenate([frame, r.integers(0, 2**62, 26).astype(np.uint64)])) for _ in range(20_000)], 0.8) == []
+    assert time.process_time() - began < 60
