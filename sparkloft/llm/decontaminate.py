@@ -3,8 +3,10 @@
 Texts become templates: numbers, units after numbers and names within sentences are replaced by typed placeholders, other
 words are lower-cased, marks are dropped. Windows of WORDS template words of the benchmark are hash-joined with those of
 the documents. Windows of a document and an item on one alignment (position difference) form a match; if the item has
-placeholders there, each of its values must stand for one value throughout (slot consistency), so re-parameterised
-questions are found and chance likeness of templates is not. The plain lower-case words of all windows are joined
+placeholders there, each of its values must stand for one value throughout, and different names for different names (slot
+consistency), so re-parameterised questions are found and chance likeness of templates is not. Windows that more than SHARED_ITEMS
+items have (an instruction, the frame of a form) tell nothing of any of them: they are not joined, and neither make a leak nor count for
+its share. An item that has no other windows leaks where all of it stands. The plain lower-case words of all windows are joined
 too, so copies are found in any case and however many placeholders a window has. A capitalised word that begins a sentence may be a
 name or not: windows are joined both ways, and alignments are judged with such words as placeholders and without.
 
@@ -30,6 +32,8 @@ from sparkloft.sources.tables import durable, table
 
 #: Window length; most placeholders in a window; matched windows (or share of an item's) that make a leak.
 WORDS, MOST_SLOTS, LEAK_WINDOWS, LEAK_SHARE = 8, 4, 6, 0.5
+#: Windows of more items than this are common ones.
+SHARED_ITEMS = 5
 BROADCAST_ROWS, BROADCAST_HASHES = 500_000, 5_000_000
 #: Forms of windows; see `item_windows`.
 TEMPLATE, PLAIN, OPEN = 0, 1, 2
@@ -40,6 +44,11 @@ UNITS = (
     "litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "percent degree degrees dollar dollars cent cents euro euros usd eur mph kmh hz khz mhz ghz w kw mw v kv a j kj cal kcal"
 ).split()
+#: Words that are numbers ("one" is an article more often).
+NUMBER_WORDS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
 NUMBER, UNIT, NAME, BEGIN = "<number>", "<unit>", "<name>", "\x02"
 #: Where a sentence ends, and a word or number.
 SENTENCE_END = r"""(?:[.!?:;]+['")*&#$%]*[ \x09-\x0D]+|\n)[ \x09-\x0D]*"""
@@ -64,12 +73,16 @@ def lowered(words: Column) -> Column:
     return F.transform(words, lambda t: F.lower(F.ltrim(t, F.lit(BEGIN))))
 
 
+def is_number(low: Column) -> Column:
+    return ((low >= "0") & (low < ":")) | low.isin(NUMBER_WORDS)
+
+
 def capitalised(words: Column, low: Column) -> Column:
     """Numbers and names within sentences as placeholders, other words in lower case."""
 
     def kind(t: Column, plain: Column) -> Column:
         name = (t != plain) & ~t.startswith(BEGIN) & (F.length(t) > 1) & (F.substring(t, 2, 10**6) == F.substring(plain, 2, 10**6))
-        return F.when((plain >= "0") & (plain < ":"), NUMBER).when(name, NAME).otherwise(plain)
+        return F.when(is_number(plain), NUMBER).when(name, NAME).otherwise(plain)
 
     return F.zip_with(words, low, kind)
 
@@ -90,7 +103,7 @@ def opened(words: Column, closed: Column) -> Column:
 
     def kind(t: Column, c: Column) -> Column:
         word = F.substring(t, 2, 10**6)
-        name = t.startswith(BEGIN) & (F.length(t) > 2) & (word != c) & (F.lower(word) == c) & (F.substring(t, 3, 10**6) == F.substring(c, 2, 10**6))
+        name = t.startswith(BEGIN) & (F.length(t) > 2) & (word != c) & (c != NUMBER) & (F.lower(word) == c) & (F.substring(t, 3, 10**6) == F.substring(c, 2, 10**6))
         return F.when(name, NAME).otherwise(c)
 
     return F.zip_with(words, closed, kind)
@@ -134,7 +147,8 @@ def item_windows(benchmark: DataFrame, size: int = WORDS, most_slots: int = MOST
     """item_id, item_pos, hash and form of the windows that documents are joined with. Form 0, TEMPLATE, has the templates with
     enough fixed words; form 1, PLAIN, also the lower-case words of every window; form 2, OPEN, also the templates with
     names at the begin of sentences. rich: too few fixed words for the template; item_windows: the windows of the
-    item, fit_windows: those not rich; slotted: whether placeholders are to be compared; width: words of the window, less than
+    item, fit_windows: those not rich; slotted: whether placeholders are to be compared; whole: whether all its windows are common
+    ones, which only then are here; width: words of the window, less than
     `size` if the item is that short."""
     items = templated(benchmark.where("item_id is not null"), "item_id").where(F.size("low") > 0)
     items = items.withColumn("width", F.least(F.size("low"), F.lit(size)))
@@ -150,10 +164,15 @@ def item_windows(benchmark: DataFrame, size: int = WORDS, most_slots: int = MOST
     forms = [F.struct(F.col("low_h").alias("hash"), F.lit(form).alias("form")) for form in (PLAIN, OPEN)]
     forms += [F.when(fit[x], F.struct(F.col(f"{x}_h").alias("hash"), F.lit(form).alias("form"))) for x, form in (("words", TEMPLATE), ("words", PLAIN), ("words", OPEN), ("open", OPEN))]
     rich, slot = ~short & ~fit["words"], ~short & (slots["open"] > 0)
-    found = listed.select("item_id", "item_pos", "width", rich.alias("rich"), slot.alias("slot"), (fit["words"] & (slots["words"] > 0)).alias("fit_slot"), F.array(*forms).alias("forms"))
+    base = F.when(fit["words"], F.col("words_h")).otherwise(F.col("low_h"))
+    found = listed.select("item_id", "item_pos", "width", base.alias("base"), rich.alias("rich"), slot.alias("slot"), (fit["words"] & (slots["words"] > 0)).alias("fit_slot"), F.array(*forms).alias("forms"))
+    found = durable(found)
+    common = found.groupBy("base").agg((F.countDistinct("item_id") > SHARED_ITEMS).alias("common"))
+    found = durable(found.join(common, "base"))
+    found = found.join(found.groupBy("item_id").agg(F.bool_and("common").alias("whole")), "item_id").where("whole or not common")
     count = found.groupBy("item_id").agg(
         F.countDistinct("item_pos").alias("item_windows"), F.countDistinct(F.when(~F.col("rich"), F.col("item_pos"))).alias("fit_windows"),
-        F.max("slot").alias("slotted"), F.max("fit_slot").alias("fit_slotted"))
+        F.max("slot").alias("slotted"), F.max("fit_slot").alias("fit_slotted"), F.max("whole").alias("whole"))
     forms = found.select("item_id", "item_pos", "width", "rich", F.explode("forms").alias("f")).where("f is not null")
     forms = forms.select("item_id", "item_pos", "width", "rich", "f.*").distinct().join(count, "item_id")
     return forms.withColumn("slotted", F.when(F.col("form") == TEMPLATE, F.col("fit_slotted")).otherwise(F.col("slotted"))).drop("fit_slotted")
@@ -185,11 +204,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFra
     elif number <= BROADCAST_HASHES:
         listed = listed.join(F.broadcast(items.select("hash").distinct()), "hash", "left_semi")
     once = listed.join(items, "hash").where((F.col("k") == 0) | (F.col("form") != TEMPLATE)).select(
-        "doc_id", "text_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "form", "item_pos", "rich", "item_windows", "fit_windows", "slotted").distinct()
+        "doc_id", "text_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "form", "item_pos", "rich", "item_windows", "fit_windows", "slotted", "whole").distinct()
     first, last = F.min("item_pos") + F.col("shift"), F.max("item_pos") + F.col("shift")
     return once.groupBy("doc_id", "text_id", "item_id", "shift", "form").agg(
         F.count("*").alias("windows"), F.count_if(~F.col("rich")).alias("fit"), first.alias("first_pos"), last.alias("last_pos"),
-        F.max("item_windows").alias("item_windows"), F.max("fit_windows").alias("fit_windows"), F.max("slotted").alias("slotted"))
+        F.max("item_windows").alias("item_windows"), F.max("fit_windows").alias("fit_windows"), F.max("slotted").alias("slotted"), F.max("whole").alias("whole"))
 
 
 def slot_values(found: DataFrame, docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
@@ -207,10 +226,12 @@ def slot_values(found: DataFrame, docs: DataFrame, benchmark: DataFrame, size: i
     pairs = F.transform(slots, lambda i: F.struct(
         F.lower(F.ltrim(F.get("theirs", i), F.lit(BEGIN))).alias("item"), F.lower(F.ltrim(F.get("ours", i + F.col("shift")), F.lit(BEGIN))).alias("doc")))
     both = both.select("text_id", "item_id", "shift", "form", F.array_distinct(pairs).alias("pairs"))
+    names = F.filter("pairs", lambda p: ~is_number(p["item"]) & ~p["item"].isin(UNITS))
+    distinct = lambda pairs, side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
     return both.groupBy("text_id", "item_id", "shift", "form").agg(F.max("pairs").alias("pairs")).select(
         "text_id", "item_id", "shift", "form", F.size("pairs").alias("slots"),
         F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["doc"]))).alias("varied"),
-        (F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")).alias("consistent"))
+        ((distinct("pairs", "item") == F.size("pairs")) & (distinct(names, "doc") == F.size(names))).alias("consistent"))
 
 
 def _best(docs: DataFrame, benchmark: DataFrame, size: int, *keys: str) -> DataFrame:
@@ -226,7 +247,7 @@ def _best(docs: DataFrame, benchmark: DataFrame, size: int, *keys: str) -> DataF
     base = F.col("form") == TEMPLATE
     total = F.when(base, F.col("fit_windows")).otherwise(F.col("item_windows"))
     share = F.greatest(F.col("windows") / total, F.when(F.col("fit_windows") > 0, F.col("fit") / F.col("fit_windows")))
-    leak = F.col("consistent") & ((F.col("windows") >= LEAK_WINDOWS) | (share >= LEAK_SHARE))
+    leak = F.col("consistent") & F.when(F.col("whole"), share >= 1).otherwise((F.col("windows") >= LEAK_WINDOWS) | (share >= LEAK_SHARE))
     kept = F.struct("windows", total.alias("item_windows"), share.alias("share"), "slots", "varied", "consistent", leak.alias("contaminated"))
     best = judged.groupBy(*keys, "item_id").agg(F.max_by(kept, F.when(base, order)).alias("a"), F.max_by(kept, F.when(~base, F.struct(leak.alias("leak"), order.alias("rest")))).alias("b"))
     plain = F.col("a").isNotNull() & (F.col("a.contaminated") | ~F.col("b.contaminated"))

@@ -83,7 +83,9 @@ def decontamination_sql() -> str:
     """Windows of templates as text, joined; pairs of slot values by alignment."""
     d = decontaminate
     end, token, units = d.SENTENCE_END.replace("'", "''"), d.TOKEN.replace(d.BEGIN, "\\x02"), ", ".join(f"'{u}'" for u in d.UNITS)
-    digit = "substring(ltrim({}, chr(2)), 1, 1) BETWEEN '0' AND '9'"
+    words = ", ".join(f"'{w}'" for w in d.NUMBER_WORDS)
+    digit = "(substring(ltrim({0}, chr(2)), 1, 1) BETWEEN '0' AND '9' OR lower(ltrim({0}, chr(2))) IN (" + words + "))"
+    name = f"NOT {digit.format('theirs')} AND theirs NOT IN ({units})"
     slot = f"IN ('{d.NUMBER}', '{d.UNIT}', '{d.NAME}')"
     return f"""
     WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'b', item_id, text FROM benchmark),
@@ -92,24 +94,27 @@ def decontamination_sql() -> str:
           WHEN i > 1 AND {digit.format("raw[i - 1]")} AND lower(ltrim(t, chr(2))) IN ({units}) THEN '{d.UNIT}'
           WHEN NOT starts_with(t, chr(2)) AND t <> lower(t) AND length(t) > 1 AND substring(t, 2) = substring(lower(t), 2) THEN '{d.NAME}'
           ELSE lower(ltrim(t, chr(2))) END) AS words FROM raws),
-      starts AS (SELECT side, id, words, unnest(range(1, len(words) - {d.WORDS - 2})) AS p FROM lists),
-      cut AS (SELECT side, id, p - 1 AS pos, words[p : p + {d.WORDS - 1}] AS part FROM starts),
-      windows AS (SELECT side, id, pos, array_to_string(part, ' ') AS body, len(list_filter(part, lambda w: w {slot})) AS slots FROM cut),
-      items0 AS (SELECT DISTINCT id AS item_id, pos AS item_pos, body, slots FROM windows WHERE side = 'b' AND slots <= {d.MOST_SLOTS}),
+      starts AS (SELECT side, id, words, raw, unnest(range(1, len(words) - {d.WORDS - 2})) AS p FROM lists),
+      cut AS (SELECT side, id, p - 1 AS pos, words[p : p + {d.WORDS - 1}] AS part, CASE WHEN side = 'b' THEN lower(replace(array_to_string(raw[p : p + {d.WORDS - 1}], ' '), chr(2), '')) END AS low FROM starts),
+      windows AS (SELECT side, id, pos, low, array_to_string(part, ' ') AS body, len(list_filter(part, lambda w: w {slot})) AS slots FROM cut),
+      every AS (SELECT DISTINCT id AS item_id, pos AS item_pos, body, slots, CASE WHEN slots <= {d.MOST_SLOTS} THEN body ELSE low END AS base FROM windows WHERE side = 'b'),
+      shared AS (SELECT base, count(DISTINCT item_id) > {d.SHARED_ITEMS} AS common FROM every GROUP BY base),
+      marked AS (SELECT every.*, common, bool_and(common) OVER (PARTITION BY item_id) AS whole FROM every JOIN shared USING (base)),
+      items0 AS (SELECT item_id, item_pos, body, slots, whole FROM marked WHERE slots <= {d.MOST_SLOTS} AND (whole OR NOT common)),
       items AS (SELECT * FROM items0 JOIN (SELECT item_id, count(DISTINCT item_pos) AS item_windows, max(slots) > 0 AS slotted FROM items0 GROUP BY 1) USING (item_id)),
       found AS (SELECT w.id AS doc_id, item_id, pos - item_pos AS shift, count(DISTINCT item_pos) AS windows, min(pos) AS first_pos, max(pos) AS last_pos,
-          any_value(item_windows) AS item_windows, any_value(slotted) AS slotted FROM windows w JOIN items USING (body) WHERE side = 'd' GROUP BY ALL),
+          any_value(item_windows) AS item_windows, any_value(slotted) AS slotted, any_value(whole) AS whole FROM windows w JOIN items USING (body) WHERE side = 'd' GROUP BY ALL),
       places AS (SELECT doc_id, item_id, shift, unnest(range(first_pos - shift + 1, last_pos - shift + {d.WORDS + 1})) AS i FROM found WHERE slotted),
       pairs AS (SELECT DISTINCT doc_id, item_id, shift, lower(ltrim(b.raw[i], chr(2))) AS theirs, lower(ltrim(o.raw[i + shift], chr(2))) AS ours
           FROM places JOIN lists b ON b.side = 'b' AND b.id = item_id JOIN lists o ON o.side = 'd' AND o.id = doc_id WHERE b.words[i] {slot}),
       values_ AS (SELECT doc_id, item_id, shift, count(*) AS slots, count(*) FILTER (WHERE theirs IS DISTINCT FROM ours) AS varied,
-          count(DISTINCT theirs) = count(*) AS consistent FROM pairs GROUP BY ALL),
+          count(DISTINCT theirs) = count(*) AND count(DISTINCT ours) FILTER (WHERE {name}) = count(*) FILTER (WHERE {name}) AS consistent FROM pairs GROUP BY ALL),
       judged AS (SELECT f.*, coalesce(v.slots, 0) AS slots, coalesce(v.varied, 0) AS varied, coalesce(v.consistent, TRUE) AS consistent
           FROM found f LEFT JOIN values_ v USING (doc_id, item_id, shift)),
       best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY consistent DESC, windows DESC, varied, shift) = 1)
     SELECT doc_id, item_id, windows, item_windows, windows / item_windows AS share, slots, varied,
       CASE WHEN NOT consistent THEN 'inconsistent' WHEN varied > 0 THEN 'reparameterised' ELSE 'verbatim' END AS kind,
-      consistent AND (windows >= {d.LEAK_WINDOWS} OR windows / item_windows >= {d.LEAK_SHARE}) AS contaminated FROM best"""
+      consistent AND CASE WHEN whole THEN windows >= item_windows ELSE windows >= {d.LEAK_WINDOWS} OR windows / item_windows >= {d.LEAK_SHARE} END AS contaminated FROM best"""
 
 
 def exact_dedup_sql() -> str:

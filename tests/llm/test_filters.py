@@ -1,6 +1,7 @@
 """URL filters, secret scans, decontamination: against brute force and on odd rows."""
 
 import hashlib
+import random
 import re
 import time
 
@@ -280,3 +281,32 @@ def test_reparameterised_leaks_as_sql(spark, tmp_path):
     found = c.execute(ORACLE_SQL["op2_decontamination"])
     names = [d[0] for d in found.description]
     assert sorted(tuple(r[n] for n in names) for r in got) == sorted(found.fetchall())
+
+
+def test_shared_instructions_are_no_leak(spark):
+    """What many items share (one sentence, or 15 words before each question) makes neither a leak nor a row; an item in full beside
+    it is found, as is one that has no other words."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghij", k=7))
+    own = [" ".join(word() for _ in range(18)) for _ in range(40)]
+    for shared in ("choose the one best answer from the list below", "read the text with care and then choose the one best answer from the list below"):
+        items = [f"{shared} {x}" for x in own]
+        texts = [f"{' '.join(word() for _ in range(12))} {shared} {' '.join(word() for _ in range(9))}" for _ in range(60)] + [f"see {items[7]}", own[9]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        given = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        got = {(x.doc_id, x.item_id): x.contaminated for x in decontaminate.leaks(docs, given).collect()}
+        assert got == {(60, 7): True, (61, 9): True}
+    same = ["state in your own words what the whole of the story above tells us"] * 8
+    assert contaminated(spark, [f"please {same[0]} again", same[0].replace("tells us", "says")], same) == {(0, k): "verbatim" for k in range(8)}
+
+
+def test_different_names_stay_different(spark):
+    item = "Then Alice gave Bob 3 of the red books and Bob gave Alice the map that Alice and Bob had found"
+    texts = [item.replace("Alice", "Carl").replace("Bob", "Dora"), item.replace("Alice", "Carl").replace("Bob", "Carl"), item.replace("3", "seven")]
+    assert contaminated(spark, texts, [item]) == {(0, 0): "reparameterised", (2, 0): "reparameterised"}
+
+
+def test_number_words_are_numbers(spark):
+    item = "A baker fills 12 trays with 30 rolls each and sells 45 of the rolls before noon so how many are left"
+    texts = [item.replace("12", "twelve").replace("30", "thirty").replace("45", "ninety"), item.replace("12", "seven").replace("45", "8")]
+    assert contaminated(spark, texts, [item]) == {(0, 0): "reparameterised", (1, 0): "reparameterised"}
