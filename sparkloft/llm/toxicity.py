@@ -1,21 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as classes: insults (with a weight), threats, targets, subjects, negation, reported speech, others. Five
-transducers rewrite this stream one after the other; each arc reads a symbol, writes one and multiplies the weight of what
+Words are read as classes: insults (with a weight), threats, targets, subjects, possessives, bodies (and what else a threat to
+someone's may name), negation, reported speech, others. Words with an apostrophe count as what they are a form of. Five transducers rewrite this stream one after the other; each arc reads a symbol, writes one and multiplies the weight of what
 the word may score:
 
 - negation: a score within three words after a negation counts 0.4;
 - reported speech: a score after a verb of saying counts 0.7;
 - target: an insult after a person spoken of or to counts 1.25;
-- threat: a threat with a target within the next three words becomes a match at that target;
+- threat: a threat with a target, or with someone's body, within the next three words becomes a match there;
 - insult: an insult becomes a match, one right after another counts 1.2.
 
+Clauses end at marks and quotation marks. A clause is read as reported from its start if it follows a verb of saying and a comma, or a
+clause like "he said" follows it, and so are all clauses of a quotation that such words stand before or behind.
+
 `compose` makes one transducer of two; the five become one table before any text is read. A clause's score is the sum of its
 matches, each its own weight times the product of the arcs' factors. A document's score is a logistic function of its
 clause scores: the highest, their sum, how many there are and their share.
 
 The insult lexicon is a fixed seed list and what labels teach: words and word beginnings that toxic documents hold
-more often than chance allows (binomial log-likelihood over a Bonferroni limit). It is learned from at most MAX_LABELS
+more often than chance allows (binomial log-likelihood over a Bonferroni limit), the MAX_TERMS of them with the strongest evidence. It is learned from at most MAX_LABELS
 labelled documents, the first in the order of a hash of the id. All of them count; near copies among them (five words, about
 0.8 by MinHash sketches) share one vote, each copy a part of it, so that a group of copies teaches what one text does. The
 whole corpus is then scored, each text where it is read.
@@ -54,16 +57,26 @@ INSULTS = (
     "idioten dummkopf abschaum imbécile connard ordure idiota estúpido basura imbécil"
 ).split()
 THREATS = "kill hurt destroy beat burn shoot stab crush murder strangle töten verletzen umbringen frapper tuer matar golpear".split()
-TARGETS = "you your yours him her them their everyone dich euch vous toi ustedes".split()
+TARGETS = "you yours him her them everyone dich euch vous toi ustedes".split()
+POSSESSIVES = "your their dein deine deinen euer ton votre vos".split()
+BODIES = (
+    "face head neck throat skull teeth bones legs arms hands eyes body heart life house home family kids children child baby mother "
+    "father mom dad brother sister wife husband son daughter friends friend dog"
+).split()
 SUBJECTS = "he she they people du ihr tu".split()
 NEGATIONS = "not no never isn't aren't don't doesn't didn't won't nobody nicht kein keine pas jamais nunca".split()
 REPORTS = "said says quoted wrote writes claimed called reported according sagte schrieb dit écrit dijo escribió".split()
-OTHER, NEGATION, REPORT, TARGET, SUBJECT, THREAT, INSULT, THREATENED, INSULTED = range(9)
-CLASSES = (OTHER, NEGATION, REPORT, TARGET, SUBJECT, THREAT, INSULT)
+#: Endings behind an apostrophe that leave the word before it what it is.
+CLITICS = frozenset("re ve ll d s m".split())
+OTHER, NEGATION, REPORT, TARGET, SUBJECT, POSSESSIVE, BODY, THREAT, INSULT, THREATENED, INSULTED = range(11)
+CLASSES = (OTHER, NEGATION, REPORT, TARGET, SUBJECT, POSSESSIVE, BODY, THREAT, INSULT)
+SCORED = (TARGET, BODY, THREAT, INSULT)
 SEED_WEIGHT, THREAT_WEIGHT, REACH = 3.0, 1.5, 3
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-_CLAUSE = re.compile(r"[.!?;:,\n]+")
+_MARKS = r"""[.!?;:,\n"“”„«»]"""
+_CLAUSE = re.compile(rf"({_MARKS}(?:\s*{_MARKS})*)")
+_ENDS, _QUOTES = frozenset(".!?;\n"), frozenset('"“”„«»')
 
 
 class Arc(NamedTuple):
@@ -95,30 +108,38 @@ def _counting(begins: int, becomes: int, steps: dict[int, tuple[int, float]]) ->
     are the words left."""
     arcs = {(n, begins): Arc(REACH, becomes, 1.0) for n in range(REACH + 1)}
     for n in range(1, REACH + 1):
-        for s in CLASSES:
-            if s != begins:
-                out, factor = steps.get(s, (s, 1.0))
-                arcs[n, s] = Arc(0 if out == THREATENED else n - 1, out, factor)
+        arcs |= {(n, s): Arc(n - 1, *steps.get(s, (s, 1.0))) for s in CLASSES if s != begins}
     return Transducer(0, arcs)
 
 
 def negation() -> Transducer:
-    return _counting(NEGATION, OTHER, {s: (s, 0.4) for s in (TARGET, THREAT, INSULT)})
+    return _counting(NEGATION, OTHER, {s: (s, 0.4) for s in SCORED})
 
 
 def reported_speech() -> Transducer:
     arcs = {(k, REPORT): Arc(1, OTHER, 1.0) for k in (0, 1)}
-    return Transducer(0, arcs | {(1, s): Arc(1, s, 0.7) for s in (TARGET, THREAT, INSULT)})
+    return Transducer(0, arcs | {(1, s): Arc(1, s, 0.7) for s in SCORED})
 
 
 def target() -> Transducer:
-    arcs = {(k, TARGET): Arc(1, TARGET, 1.0) for k in (0, 1)} | {(k, SUBJECT): Arc(1, OTHER, 1.0) for k in (0, 1)}
+    arcs = {(k, s): Arc(1, s, 1.0) for k in (0, 1) for s in (TARGET, POSSESSIVE)} | {(k, SUBJECT): Arc(1, OTHER, 1.0) for k in (0, 1)}
     return Transducer(0, arcs | {(1, INSULT): Arc(1, INSULT, 1.25)})
 
 
 def threat() -> Transducer:
-    open_ = _counting(THREAT, OTHER, {TARGET: (THREATENED, 1.0)})
-    return Transducer(0, open_.arcs | {(0, TARGET): Arc(0, OTHER, 1.0)})
+    """States: the words left of a threat's scope, and whether someone's, as in `your`, has been named in it."""
+    closed, spent = (0, False), (TARGET, BODY, POSSESSIVE)
+    arcs = {(closed, s): Arc(closed, OTHER, 1.0) for s in spent}
+    for state in [closed, *((n, owned) for n in range(1, REACH + 1) for owned in (False, True))]:
+        n, owned = state
+        arcs[state, THREAT] = Arc((REACH, False), OTHER, 1.0)
+        for s in CLASSES if n else ():
+            after = (n - 1, owned or s == POSSESSIVE) if n > 1 else closed
+            if s == TARGET or s == BODY and owned:
+                arcs[state, s] = Arc(closed, THREATENED, 1.0)
+            elif s != THREAT:
+                arcs[state, s] = Arc(after, OTHER if s in spent else s, 1.0)
+    return Transducer(closed, arcs)
 
 
 def insult() -> Transducer:
@@ -166,7 +187,8 @@ class Grammar:
 
     def __init__(self, words: dict[str, float], starts: dict[str, float]):
         self.words, self.starts, self.table = words, starts, grammar_table()[0]
-        fixed = ((NEGATIONS, NEGATION, 0.0), (REPORTS, REPORT, 0.0), (TARGETS, TARGET, THREAT_WEIGHT), (SUBJECTS, SUBJECT, 0.0), (THREATS, THREAT, 0.0))
+        fixed = ((NEGATIONS, NEGATION, 0.0), (REPORTS, REPORT, 0.0), (TARGETS, TARGET, THREAT_WEIGHT), (SUBJECTS, SUBJECT, 0.0), (POSSESSIVES, POSSESSIVE, 0.0),
+                 (BODIES, BODY, THREAT_WEIGHT), (THREATS, THREAT, 0.0))
         self.fixed = {w: (c, weight) for ws, c, weight in fixed for w in ws}
         self.memo: dict[str, tuple[int, float]] = {}
 
@@ -175,7 +197,11 @@ class Grammar:
         found = self.memo.get(word)
         if found is None:
             weight = max([self.words.get(word, 0.0), *(self.starts.get(word[:n], 0.0) for n in PREFIXES if n < len(word))])
-            found = (INSULT, weight) if weight else self.fixed.get(word, (OTHER, 0.0))
+            found = (INSULT, weight) if weight else self.fixed.get(word)
+            if not found and "'" in word:
+                before, _, behind = word.rpartition("'")
+                found = (NEGATION, 0.0) if word.endswith("n't") else self.read(before if behind in CLITICS else behind)
+            found = found or (OTHER, 0.0)
             if len(self.memo) > 500_000:
                 self.memo.clear()
             self.memo[word] = found
@@ -183,13 +209,39 @@ class Grammar:
 
     def clauses(self, text: str) -> tuple[list[float], int]:
         """Scores above zero of the clauses, and the number of words."""
-        scores, n, read, table_ = [], 0, self.read, self.table
-        for clause in _CLAUSE.split(text.lower()):
-            classes = [read(w) for w in _WORD.findall(clause)]
-            n += len(classes)
-            if not any(c >= THREAT for c, _ in classes):
-                continue
-            state = total = 0
+        hits: list[list] = []  # classes of a clause that may match, and whether it is reported
+        n, read = 0, self.read
+        parts = _CLAUSE.split(text.lower().replace("’", "'").replace("ʼ", "'"))
+        says, quoted, told, last = False, None, False, None  # quoted: the first hit of the open quotation; last: the hit of the clause before
+        for k in range(0, len(parts), 2):
+            classes = [read(w) for w in _WORD.findall(parts[k])]
+            mark = parts[k - 1] if k else ""
+            ended, comma = not _ENDS.isdisjoint(mark), "," in mark
+            leads = 0 < len(classes) <= 4 and any(c == REPORT for c, _ in classes[:3])
+            carried = says and comma and not ended
+            if "\n" in mark:
+                quoted = None
+            if not _QUOTES.isdisjoint(mark):
+                if quoted is None:
+                    quoted, told = len(hits), says and not ended
+                else:
+                    if leads:
+                        for hit in hits[quoted:]:
+                            hit[1] = True
+                    quoted = None
+            elif leads and comma and not ended and last is not None:
+                hits[last][1] = True
+            last = None
+            if any(c >= THREAT for c, _ in classes):
+                last = len(hits)
+                hits.append([classes, carried or (quoted is not None and told)])
+            if classes:
+                n, says = n + len(classes), classes[-1][0] == REPORT
+            elif ended:
+                says = False
+        scores, table_ = [], self.table
+        for classes, reported in hits:
+            state, total = table_[REPORT][0] if reported else 0, 0.0
             for c, weight in classes:
                 state, factor = table_[state + c]
                 total += factor * weight

@@ -1,6 +1,7 @@
 """Quality, toxicity and licence classifiers: accuracy on held-out rows, and odd rows."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -212,3 +213,28 @@ def test_license_probabilities_are_calibrated_on_other_texts():
     assert not trained & {t for _, t in held}
     model = licenses.Classifier()
     assert np.mean([model.predict(t)[0] == f for f, t in held]) > 0.8
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('He said, "you are an idiot"', 3 * 1.25 * 0.7), ('"You are an idiot," he said', 3 * 1.25 * 0.7), ("He said you are an idiot", 3 * 1.25 * 0.7),
+        ("he said, you are an idiot", 3 * 1.25 * 0.7), ("you are an idiot, he said", 3 * 1.25 * 0.7), ("“You are an idiot”, said he.", 3 * 1.25 * 0.7),
+        ('She wrote: "Leave. You are an idiot. Go away!"', 3 * 1.25 * 0.7), ('"Go away. You are an idiot," she said. You moron', 3 * 1.25 * 0.7 + 3 * 1.25),
+        ('He said hello. "You are an idiot"', 3 * 1.25), ('"You are an idiot" is no title', 3 * 1.25), ('say "you are an idiot\nhe said, moron', 3 * 1.25 + 3 * 0.7),
+        ("you aren\u2019t an idiot", 3 * 1.25 * 0.4), ("you aren't an idiot", 3 * 1.25 * 0.4), ("you couldn't be an idiot", 3 * 1.25 * 0.4), ("you're an idiot", 3 * 1.25), ("tu n'es pas l'imb\u00e9cile", 3 * 1.25 * 0.4),
+        ("burn your candles", 0), ("kill your darlings", 0), ("the rain will beat your crops", 0), ("i will burn your house", 1.5), ("i will break and kill your little brother", 1.5),
+        ("he said he will kill you", 1.5 * 0.7), ("i won't hurt you", 1.5 * 0.4), ("your stupid plan", 3 * 1.25), ("the family house may burn", 0),
+    ],
+)
+def test_scopes_of_reports_negation_and_threats(text, want):
+    g = toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, 3.0), {})
+    assert sum(g.clauses(text)[0]) == pytest.approx(want), g.clauses(text)
+
+
+def test_clauses_of_long_texts_take_time_in_proportion():
+    g = toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, 3.0), {})
+    began = time.process_time()
+    for text in ('"' * 500_000, '" ' * 300_000, "you're an idiot, he said, " * 40_000, "'" * 500_000, ", " + " " * 500_000 + "idiot"):
+        g.clauses(text)
+    assert time.process_time() - began < 20
