@@ -8,8 +8,9 @@ list of signatures.
 
 Document frequencies are exact: every task counts its distinct terms (64-bit hashes), Spark adds them up. As documents hold A
 distinct terms on average, at most A times exp(BAND's end) terms can be in the band, whatever the number of documents; so the
-lexicon is sent to the tasks as a sorted list of hashes. Its size is counted first; beyond MAX_LEXICON terms (128 MB) the run
-stops and asks for a smaller band, rather than leave out terms.
+lexicon is sent to the tasks as a sorted list of hashes. Its size is counted first; beyond MAX_LEXICON terms (128 MB) it is cut into
+parts by hash, and the terms of all texts, kept as hashes in the shared folder, are held against one part after the other. The
+fingerprints are the same, and no task holds more than a part.
 
 Likeness: two texts that differ in d terms (of one or the other) have equal signatures at rate p with probability (1 - p)^d,
 those that are empty for both included. The likeness is the share of terms in common, 1 - d / (terms of both), under which the
@@ -57,14 +58,25 @@ def terms(text: str) -> np.ndarray:
     return np.sort(np.fromiter((digest(w) for w in set(text.lower().split())), np.uint64))
 
 
+def inside(hashes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """Those of the hashes that the lexicon holds, in order."""
+    if not len(lexicon):
+        return hashes[:0]
+    at = np.searchsorted(lexicon, hashes)
+    return hashes[lexicon[np.minimum(at, len(lexicon) - 1)] == hashes]
+
+
 def signatures(hashes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """Of a text's terms: those in the lexicon count, or all if none is."""
+    found = inside(hashes, lexicon)
+    return signed(found if len(found) else hashes)
+
+
+def signed(chosen: np.ndarray) -> np.ndarray:
     """The number of terms that count, and one 32-bit signature per subset; 0 where the subset holds no term of the text."""
     out = np.zeros(len(RATES) + 1, np.uint32)
-    if not len(hashes):
+    if not len(chosen):
         return out
-    at = np.searchsorted(lexicon, hashes)
-    inside = hashes[lexicon[np.minimum(at, len(lexicon) - 1)] == hashes] if len(lexicon) else hashes[:0]
-    chosen = inside if len(inside) else hashes
     out[0] = len(chosen)
     mixed = chosen[None, :] * _SEEDS[:, None]
     mixed ^= mixed >> np.uint64(29)
@@ -94,8 +106,8 @@ def written(signature: np.ndarray) -> str:
     return signature.astype(">u4").tobytes().hex()
 
 
-def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND, min_docs: int = MIN_DOCS, most: int = MAX_LEXICON) -> np.ndarray:
-    """The hashes of the terms in the band, ascending."""
+def lexicon_parts(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND, min_docs: int = MIN_DOCS, most: int = MAX_LEXICON) -> list[DataFrame]:
+    """The hashes of the terms in the band, in as few parts as hold some `most` each."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,11 +125,52 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
     n = rows.count()
     idf = F.log(F.lit(float(max(n, 1))) / F.col("n"))
     counted = rows.mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    inside = durable(counted.where((F.col("n") >= min_docs) & idf.between(*band)).select("term"))
-    size = inside.count()
-    if size > most:
-        raise ValueError(f"the band {band} holds {size} terms, more than {most} that are sent to tasks; lower its end")
-    return np.sort(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in inside.toArrow()["term"].chunks)]).view(np.uint64))
+    found = durable(counted.where((F.col("n") >= min_docs) & idf.between(*band)).select("term"))
+    parts = max(1, -(-found.count() // most))
+    return [found.where(F.pmod("term", F.lit(parts)) == k) for k in range(parts)]
+
+
+def loaded(part: DataFrame) -> np.ndarray:
+    """The hashes of a part, ascending."""
+    return np.sort(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in part.toArrow()["term"].chunks)]).view(np.uint64))
+
+
+def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND, min_docs: int = MIN_DOCS) -> np.ndarray:
+    """The hashes of all terms in the band, ascending, for lexicons that one task can hold."""
+    return np.sort(np.concatenate([loaded(p) for p in lexicon_parts(docs, text, band, min_docs)]))
+
+
+def held_against(rows: DataFrame, columns: list[str], parts: list[DataFrame]) -> DataFrame:
+    """The rows with each of the columns (a text's terms: hashes as bytes, ascending) cut down to the terms that are in one of the parts;
+    left whole if none is. One part at a time is sent to the tasks."""
+    schema = rows.schema
+    left = rows.select(*rows.columns, *[F.lit(b"").alias(f"_{c}") for c in columns])
+    wide, sent = left.schema, rows.sparkSession.sparkContext.broadcast
+
+    def narrowed(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for c in columns:
+                    at = b.schema.get_field_index(f"_{c}")
+                    more = [old + inside(np.frombuffer(h, np.uint64), shared.value).tobytes() for h, old in zip(b.column(c).to_pylist(), b.column(at).to_pylist())]
+                    b = b.set_column(at, f"_{c}", pa.array(more, pa.binary()))
+                yield b
+
+        return left.mapInArrow(run, wide)
+
+    for part in parts:
+        shared = sent(loaded(part))
+        left = durable(narrowed(shared))
+        shared.unpersist()
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in columns:
+                best = [np.sort(np.frombuffer(few or h, np.uint64)).tobytes() for h, few in zip(b.column(c).to_pylist(), b.column(f"_{c}").to_pylist())]
+                b = b.set_column(b.schema.get_field_index(c), c, pa.array(best, pa.binary()))
+            yield b.select(schema.names)
+
+    return left.mapInArrow(chosen, schema)
 
 
 def _counted(held: list[np.ndarray]) -> pd.DataFrame:
@@ -151,7 +204,7 @@ def range_of(key: Column, cuts: list, kind: str = "bigint") -> Column:
     return F.when(k == 0, 0).otherwise((k - 1) * step + F.size(F.filter(F.try_element_at(inner, F.greatest(k, F.lit(1))), lambda c: c <= key)))
 
 
-def follow(docs: DataFrame, known: np.ndarray, per_part: int = RANGE_DOCS) -> DataFrame:
+def follow(docs: DataFrame, lexicon: list[DataFrame], per_part: int = RANGE_DOCS) -> DataFrame:
     """docs: doc_id (long), body (not null). Each document's fingerprint, that of its text with the last quarter replaced by the
     start of the next document (by id), and the likeness to it and to the next document.
 
@@ -179,21 +232,34 @@ def follow(docs: DataFrame, known: np.ndarray, per_part: int = RANGE_DOCS) -> Da
     tails = firsts.select(F.lit(None).cast("long").alias("doc_id"), "body", F.lit(None).cast(KEY).alias("key"), "part", F.lit(1).alias("tail"))
     both = dealt.select("doc_id", "body", "key", "part", F.lit(0).alias("tail")).unionByName(tails)
     laid = both.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "tail", "key")
-    shared = spark.sparkContext.broadcast(known)
+    one = len(lexicon) == 1
+    shared = spark.sparkContext.broadcast(loaded(lexicon[0]) if one else None)
+    shape = FOLLOWED if one else EDITED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
             out = []
             for doc_id, body, range_, tail in zip(*(c.to_pylist() for c in b.columns)):
-                mine = signatures(terms(body), shared.value)
+                mine = signatures(terms(body), shared.value) if one else terms(body)
                 if last is not None and last[2] == range_:
-                    out.append(_judge(last, body, mine, shared.value))
+                    out.append(_judge(last, body, mine, shared.value) if one else _edited(last, body, mine))
                 last = None if tail else (doc_id, body, range_, mine)
-            columns = list(zip(*out)) or [()] * len(FOLLOWED)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOLLOWED)], schema=FOLLOWED)
+            columns = list(zip(*out)) or [()] * len(shape)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+
+    if one:
+        return laid.select("doc_id", "body", "part", "tail").mapInArrow(run, FOLLOWED_DDL)
+    terms_of = held_against(laid.select("doc_id", "body", "part", "tail").mapInArrow(run, EDITED_DDL), ["own", "edited", "after"], lexicon)
 
-    return laid.select("doc_id", "body", "part", "tail").mapInArrow(run, FOLLOWED_DDL)
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            signs = [[signed(np.frombuffer(h, np.uint64)) for h in b.column(c).to_pylist()] for c in ("own", "edited", "after")]
+            found = [(written(x), written(y), likeness(x, y), likeness(x, z)) for x, y, z in zip(*signs)]
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, f.type) for c, f in zip(columns, list(FOLLOWED)[3:]))], schema=FOLLOWED)
+
+    return terms_of.mapInArrow(judged, FOLLOWED_DDL)
 
 
 FOLLOWED = pa.schema([
@@ -203,15 +269,30 @@ FOLLOWED = pa.schema([
 FOLLOWED_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _judge(doc: tuple, after: str, of_next: np.ndarray, known: np.ndarray) -> tuple:
+EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("own", pa.binary()), ("edited", pa.binary()), ("after", pa.binary())])
+EDITED_DDL = "doc_id long, n_chars long, edited_sha256 string, own binary, edited binary, after binary"
+
+
+def _edited(doc: tuple, after: str, of_next: np.ndarray) -> tuple:
     doc_id, body, _, mine = doc
+    edited, sha = edited_text(body, after)
+    return doc_id, len(body), sha, mine.tobytes(), terms(edited).tobytes(), of_next.tobytes()
+
+
+def edited_text(body: str, after: str) -> tuple[str, str]:
+    """The text with its last quarter replaced by the start of the next, and its SHA-256."""
     n = len(body)
     edited = body[: n - n // 4] + after[: n // 4]
+    return edited, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _judge(doc: tuple, after: str, of_next: np.ndarray, known: np.ndarray) -> tuple:
+    doc_id, body, _, mine = doc
+    edited, sha = edited_text(body, after)
     other = signatures(terms(edited), known)
-    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, n, sha, written(mine), written(other), likeness(mine, other), likeness(mine, of_next)
+    return doc_id, len(body), sha, written(mine), written(other), likeness(mine, other), likeness(mine, of_next)
 
 
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    return follow(docs, lexicon(docs, "body"))
+    return follow(docs, lexicon_parts(docs, "body"))

@@ -230,11 +230,11 @@ def test_imatch_in_ranges(spark):
     docs += [(3, None), (5, ""), (7, "x"), (7, "x"), (7, "y"), (None, "no id"), (None, "no id"), (None, None), (2**60 + 1, "large"), (-4, "term1 " * 100_000)]
     given = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"key": F.lit(1), "part": F.lit(2), "tail": F.lit(3), "h": F.lit(4)})
     given = given.withColumn("body", F.coalesce("text", F.lit("")))
-    known = imatch.lexicon(given, "body")
+    known = imatch.lexicon_parts(given, "body")
     one = sorted(map(tuple, imatch.follow(given, known).collect()), key=str)
     many = sorted(map(tuple, imatch.follow(given, known, per_part=5).collect()), key=str)
     assert one == many and sorted(r[0] for r in one if r[0] is not None) == sorted(i for i, _ in docs if i is not None) and len(one) == len(docs)
-    assert imatch.follow(given.limit(0), known).count() == 0 and len(imatch.lexicon(given.limit(0))) == 0
+    assert imatch.follow(given.limit(0), known).count() == 0 and len(imatch.lexicon(given.limit(0), "body")) == 0
     alone = imatch.follow(given.where("doc_id = 3"), known).first()
     assert alone.near_next == 1 and alone.n_chars == 0
 
@@ -252,8 +252,19 @@ def test_lexicon_is_the_band(spark):
         df = Counter(w for t in texts for w in set(t.split()))
         want = {w for w, k in df.items() if k >= 2 and band[0] <= math.log(90 / k) <= band[1]}
         assert set(imatch.lexicon(docs, band=band).tolist()) == {xxhash.xxh64_intdigest(w) for w in want}
-    with pytest.raises(ValueError):
-        imatch.lexicon(docs, band=(0.0, 5.0), most=3)
+    cut = [imatch.loaded(p).tolist() for p in imatch.lexicon_parts(docs, band=(0.0, 5.0), most=3)]
+    assert len(cut) > 2 and sorted(sum(cut, [])) == imatch.lexicon(docs, band=(0.0, 5.0)).tolist()
+
+
+@pytest.mark.parametrize("most", [1, 40, 2000])
+def test_lexicons_in_parts_give_the_same(spark, most):
+    """Beyond what is sent to a task at once: the whole query's rows, also of texts without a term in the band and without any."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id % 7 < 2" if most < 2000 else "true").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    docs = docs.unionByName(spark.createDataFrame([(9001, ""), (9002, "zzzz yyyy"), (None, "a b"), (9003, "x " * 50_000)], "doc_id long, body string"))
+    band = (0.0, 1.2) if most == 1 else imatch.BAND
+    whole, parts = imatch.lexicon_parts(docs, "body", band), imatch.lexicon_parts(docs, "body", band, most=most)
+    assert len(whole) == 1 and len(parts) > 1
+    assert sorted(map(tuple, imatch.follow(docs, parts).collect()), key=str) == sorted(map(tuple, imatch.follow(docs, whole).collect()), key=str)
 
 
 def test_recall_of_planted_pairs(spark):
