@@ -110,8 +110,9 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     domains = domains.join(suffixes, "suffix")
     domains = domains.join(_strength(domains, "suffix", "mean_suffix"), "suffix", "left").select(
         "domain", "suffix", _posterior("mean_suffix").alias("mean_domain"))
-    hosts = hosts.join(domains, ["domain", "suffix"])
-    hosts = hosts.join(_strength(hosts, "domain", "mean_domain"), "domain", "left")
+    # stored sides, so that a domain with very many hosts can be split
+    hosts = durable(hosts.join(durable(domains), ["domain", "suffix"]))
+    hosts = hosts.join(durable(_strength(hosts, "domain", "mean_domain")), "domain", "left")
     strength = F.coalesce(F.col("strength"), F.lit(2.0))
     a, n = F.col("bad") + strength * F.col("mean_domain"), F.col("pages") + strength
     mean = a / n
