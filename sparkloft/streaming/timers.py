@@ -1,7 +1,7 @@
 """Custom state with event-time timers, list and map state, and state that expires.
 
 Sessions here are kept and closed by the processor itself: rows of a user are merged into open intervals, a timer is set for the time at
-which each would end, and what the watermark has passed is put out by the timer, also if the user never comes back. State per user is its open
+which the first of them would end, and all that the watermark has passed is put out by the timer, also if the user never comes back. State per user is its open
 intervals, not its rows."""
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ def merged(intervals: list[tuple[int, int, int]], gap: int) -> list[tuple[int, i
 
 
 class TimedSessions(StatefulProcessor):
-    """Open sessions of a key as list state; each is closed by a timer. Times are microseconds, timers milliseconds."""
+    """Open sessions of a key as list state; one timer a key stands at the end of the session that ends first, and closes all that the
+    watermark has passed. A key's state is thus read once for all of them. Times are microseconds, timers milliseconds."""
 
     def __init__(self, gap: int):
         self.gap = gap
@@ -44,26 +45,31 @@ class TimedSessions(StatefulProcessor):
     def _due(self, last: int) -> int:
         return -(-(last + self.gap) // 1000)
 
+    def _timer(self, known: list[tuple[int, int, int]]) -> int | None:
+        """Of sessions in order: the end of the first."""
+        return self._due(known[0][1]) if known else None
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = [tuple(x) for x in self.open.get()]
-        before = {self._due(last) for _, last, _ in known}
+        before = self._timer(known)
         for b in rows:  # rows become intervals batch by batch
             known = merged(known + [(int(t), int(t), 1) for t in b["at"]], self.gap)
         self.open.put(known)
-        after = {self._due(last) for _, last, _ in known}
-        for due in before - after:
-            self.handle.deleteTimer(due)
-        for due in after - before:
-            self.handle.registerTimer(due)
+        after = self._timer(known)
+        if after != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(after)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs()
+        passed = timerValues.getCurrentWatermarkInMs()
         known = [tuple(x) for x in self.open.get()]
         ended = [x for x in known if self._due(x[1]) <= passed]
         left = [x for x in known if self._due(x[1]) > passed]
         if left:
             self.open.put(left)
+            self.handle.registerTimer(self._timer(left))
         else:
             self.open.clear()
         if ended:

@@ -4,13 +4,14 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloft.functions.table_arguments import Sessions, sessions
 from sparkloft.sources.tables import fresh_dir
 from sparkloft.streaming.streams import rocksdb, run_to_end
-from sparkloft.streaming.timers import first_of_kind, merged, timed_sessions
+from sparkloft.streaming.timers import TimedSessions, first_of_kind, merged, timed_sessions
 
 T = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 MINUTE = 60_000_000
@@ -61,6 +62,50 @@ def test_timers_close_sessions_as_the_watermark_passes(spark):
     assert arrive((3, 400)) == [(1, 0, 0, 1), (1, 45, 70, 3), (2, 5, 5, 1), (3, 60, 60, 1)]
 
 
+class OneKey:
+    """A key's state and timers, as a handle, its list state, the time and a timer that fires."""
+
+    def __init__(self):
+        self.rows, self.timers, self.reads, self.watermark = [], set(), 0, 0
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+        self.put, self.clear = lambda rows: setattr(self, "rows", list(rows)), lambda: setattr(self, "rows", [])
+        self.getListState = lambda name, schema: self
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: self.watermark
+
+    def get(self):
+        self.reads += 1
+        return iter(self.rows)
+
+
+def test_state_is_read_once_for_all_sessions_that_end():
+    """500 sessions of a key are open; the work of closing them does not grow with their square."""
+    key, minutes = OneKey(), range(0, 50_000, 100)
+    held = TimedSessions(30 * MINUTE)
+    held.init(key)
+    list(held.handleInputRows((7,), iter([pd.DataFrame({"at": [m * MINUTE for m in minutes]})]), key))
+    out = []
+
+    def pass_to(minute):
+        key.watermark = minute * 60_000
+        for due in sorted(t for t in key.timers if t <= key.watermark):
+            key.timers.remove(due)
+            out.extend(tuple(r) for b in held.handleExpiredTimer((7,), key, key) for r in b.itertuples(index=False))
+
+    pass_to(39_930)
+    assert out == [(7, m * MINUTE, m * MINUTE, 1) for m in range(0, 40_000, 100)] and key.reads <= 3
+    pass_to(100_000)
+    assert len(out) == 500 and not key.rows and not key.timers and key.reads <= 5
+
+
+def test_session_ends_when_the_watermark_is_there(spark):
+    folder = fresh_dir(spark, "arrived")
+    spark.createDataFrame([(u, "x", 1, at(m)) for u, m in ((1, 0), (1, 30), (1, 61), (2, 70))], SCHEMA).write.parquet(folder)
+    with rocksdb(spark):
+        out = run_to_end(timed_sessions(spark.readStream.schema(SCHEMA).parquet(folder).withWatermark("ts", "10 minutes"), 30 * MINUTE))
+    zero = int(T.timestamp()) * 1_000_000
+    assert sorted((r.user_id, (r.start - zero) // MINUTE) for r in out.collect()) == [(1, 0), (1, 30)]
+
+
 def test_state_expires(spark):
     def twice(ttl_ms, pause):
         folder, place = fresh_dir(spark, "arrived"), (fresh_dir(spark, "stream"), fresh_dir(spark, "state"))
