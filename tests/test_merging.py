@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkloft.functions import partial_states
 from sparkloft.functions.partial_states import aggregated
 from sparkloft.functions.udfs import Spread
+from sparkloft.operators.aggregates import approximate_aggregates
 from sparkloft.operators.sketches import estimates, rolled_up, store
 from sparkloft.sources.tables import fresh_dir
 
@@ -55,6 +56,17 @@ def test_sketches_are_added_and_merged(spark):
     assert estimates(rolled_up(kept.limit(0), ["kind", "day"])).count() <= 1
 
 
+def test_sketches_are_not_grouped_by_distinct_values(spark, tmp_path):
+    """A sketch's buffer is kept once a task, not once for each distinct value; nulls are no value; empty tables."""
+    rows = spark.range(5_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 5 > 0, F.col("id") % 900).alias("user_id"), (F.col("id") % 100).cast("double").alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = approximate_aggregates(spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [(True, True, True)]
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    assert approximate_aggregates(spark, str(tmp_path)).count() <= 1
+
+
 def test_documents_of_any_shape(spark):
     docs = ['{"a": 1}', '{"a": 1.5}', '{"a": "x", "b": [1, {"c": null}]}', "[]", "null", "", None, "{", '{"a": 12345678901234567890}', "7", '"t"', '{"a": true}']
     rows = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "i int, d string").withColumn("v", F.try_parse_json("d"))
