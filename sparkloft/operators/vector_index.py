@@ -28,6 +28,8 @@ from sparkloft.sources.tables import durable, fresh_dir, table
 
 SAMPLE, MOST_LISTS, STEPS, DIGITS = 8_192, 1_024, 8, 6
 CHUNK, QUERIES = 8_192, 4_096
+#: Rows times lists that a task looks at, or puts out, at once.
+CELLS = 131_072
 
 
 def usable(vector: Column) -> Column:
@@ -44,6 +46,14 @@ def stacked(vectors: pd.Series, size: int) -> np.ndarray:
     return out
 
 
+def pieces(batches: Iterator[pd.DataFrame], lists: int) -> Iterator[pd.DataFrame]:
+    """The rows of batches, so few at a time that rows times lists are bounded; none is empty."""
+    step = max(CELLS // lists, 1)
+    for b in batches:
+        for begin in range(0, len(b), step):
+            yield b.iloc[begin : begin + step]
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centroid of each row and the distance to it."""
     at = np.argmin((centroids**2).sum(1) - 2 * x @ centroids.T, axis=1)
@@ -89,10 +99,9 @@ class VectorIndex:
         centroids = fitted(stacked(sample, size), wanted)
 
         def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    at, gap = nearest(stacked(b["vector"], size), centroids)
-                    yield b.assign(list=at.astype("int32"), gap=gap)
+            for b in pieces(batches, len(centroids)):
+                at, gap = nearest(stacked(b["vector"], size), centroids)
+                yield b.assign(list=at.astype("int32"), gap=gap)
 
         schema = StructType([*rows.schema, StructField("list", IntegerType()), StructField("gap", DoubleType())])
         put = rows.mapInPandas(placed, schema).repartitionByRange("list", F.xxhash64("vec_id")).sortWithinPartitions("list")
@@ -120,9 +129,7 @@ class VectorIndex:
         centroids, radius, filled = self.centroids, self.radius, np.array(self.n) > 0
 
         def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b):
-                    continue
+            for b in pieces(batches, len(centroids)):
                 q = stacked(b["q"], centroids.shape[1])
                 near, norm = q @ centroids.T, np.linalg.norm(q, axis=1)[:, None]
                 most = np.where(filled, near + norm * radius, -np.inf)

@@ -79,6 +79,22 @@ def test_odd_vectors(spark):
     assert searched(index, spark, [], 3) == set()
 
 
+def test_tasks_put_out_bounded_tables(spark, monkeypatch):
+    """A batch of queries that ask for all lists is put out piece by piece, not as one table of queries times lists."""
+    rows = clustered(3000)
+    index = VectorIndex.build(spark.createDataFrame(rows, KIND), fresh_dir(spark, "index"))
+    asked, made = spark.createDataFrame(rows, "query long, q array<float>").withColumn("floor", F.lit(None).cast("double")), []
+    with monkeypatch.context() as m:
+        m.setattr(vector_index, "durable", lambda frame: frame)
+        m.setattr(type(asked), "mapInPandas", lambda self, how, schema: made.append(how) or self)
+        index._lists(asked, len(index.n))
+    tables = [len(b) for b in made[0](iter([asked.toPandas()]))]
+    assert sum(tables) == 3000 * sum(n > 0 for n in index.n) and max(tables) <= 140_000
+    monkeypatch.setattr(vector_index, "CELLS", 100)
+    few = VectorIndex.build(spark.createDataFrame(rows[:400], KIND), fresh_dir(spark, "index"))
+    assert searched(few, spark, rows[:400:20], 5) == brute(rows[:400], rows[:400:20], 5)
+
+
 def test_hot_list_in_blocks(spark, monkeypatch):
     """A third of the vectors are one; lists and queries are cut into small blocks."""
     monkeypatch.setattr(vector_index, "CHUNK", 50)
