@@ -2,8 +2,8 @@
 
 Spark's WITH RECURSIVE joins all rows found in a step with the table and keeps no account of rows already seen, so a cycle never
 ends. Here a step joins only the rows that are new (the frontier), takes away what earlier steps have found, and stops when a frontier
-is empty. Every step is stored in the shared folder: lineage stays short, and as both sides of each join are stored, Spark can split
-a node with very many links.
+is empty. Small frontiers are sent to the links; for others links are shuffled. Every step is stored in the shared folder: lineage stays
+short, and as both sides of each join are stored, Spark can split a node with very many links.
 """
 
 from __future__ import annotations
@@ -13,20 +13,25 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from sparkloft.functions.times import micros
 from sparkloft.operators.basics import money
 from sparkloft.plans.registry import query
-from sparkloft.sources.tables import durable, table, views
+from sparkloft.sources.tables import durable, fresh_dir, table, views
 
 #: Stored levels are joined into one after so many steps.
 COMPACT = 16
+#: A frontier of at most so many nodes is sent to the links, which are not shuffled then.
+FEW = 500_000
 
 
 def reachable(links: DataFrame, seeds: DataFrame, src: str, dst: str, node: str = "node") -> DataFrame:
     """node and steps (long): every node that can be reached from a seed, and the least number of links to it; seeds take none.
 
-    Links with a null end lead nowhere; repeated links, loops and cycles change nothing. Null seeds don't count."""
-    links = durable(links.select(F.col(src).alias("_from"), F.col(dst).alias(node)).where(f"_from is not null and {node} is not null").distinct())
+    Links with a null end lead nowhere; repeated links, loops and cycles change nothing, but every step reads them. Null seeds don't count."""
+    spark, path = links.sparkSession, fresh_dir(links.sparkSession, "links")
+    links = links.select(F.col(src).alias("_from"), F.col(dst).alias(node)).where(f"_from is not null and {node} is not null")
+    links.write.parquet(path)  # columns: read in each step
+    links = spark.read.schema(links.schema).parquet(path)
     frontier = durable(seeds.select(F.col(node).alias(node)).where(F.col(node).isNotNull()).distinct())
     levels, steps = [frontier.withColumn("steps", F.lit(0).cast("long"))], 0
-    while not frontier.isEmpty():
+    while n := frontier.count():
         steps += 1
         seen = levels[0]
         for level in levels[1:]:
@@ -34,7 +39,8 @@ def reachable(links: DataFrame, seeds: DataFrame, src: str, dst: str, node: str
         if len(levels) >= COMPACT:
             seen = durable(seen)
             levels = [seen]
-        met = links.join(frontier.withColumnRenamed(node, "_from"), "_from", "left_semi").select(node).distinct()
+        begun = frontier.withColumnRenamed(node, "_from")
+        met = links.join(F.broadcast(begun) if n <= FEW else begun, "_from", "left_semi").select(node).distinct()
         frontier = durable(met.join(seen, node, "left_anti"))
         levels.append(frontier.withColumn("steps", F.lit(steps).cast("long")))
     out = levels[0]
@@ -83,9 +89,10 @@ def recursive_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier")
     richest = suppliers.agg(F.max("s_acctbal").alias("s_acctbal"))
     seeds = suppliers.join(F.broadcast(richest), "s_acctbal").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    ends = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")).distinct()
-    ends = durable(ends)
-    return reachable(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))), seeds, "a", "b")
+    supplied = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    ends = supplied.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
+    links = ends.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    return reachable(links, seeds, "a", "b")
 
 
 def with_previous(orders: DataFrame, days: int) -> DataFrame:

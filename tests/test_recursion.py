@@ -4,6 +4,8 @@ from collections import deque
 from decimal import Decimal
 import random
 
+import pytest
+
 from sparkloft.operators import recursion
 from sparkloft.operators.recursion import chains, reachable, with_previous
 
@@ -46,6 +48,18 @@ def test_reach_of_random_links_with_a_hot_node(spark):
     assert reached(spark, links, [0, 1]) == brute_reach(links, [0, 1])
 
 
+@pytest.mark.parametrize("few", [0, 3, 10**6])
+def test_small_frontiers_are_sent_to_the_links(spark, monkeypatch, few):
+    """Links are not shuffled for them; repeated links; the same nodes and steps whatever is sent."""
+    monkeypatch.setattr(recursion, "FEW", few, raising=False)
+    plans, kept = [], recursion.durable
+    monkeypatch.setattr(recursion, "durable", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or kept(rows))
+    links = [(1, k) for k in range(2, 12)] * 3 + [(k, k + 20) for k in range(2, 12)] + [(22, 40), (40, 1), (40, 41)]
+    assert reached(spark, links, [1]) == brute_reach(links, [1])
+    steps = [p for p in plans if "LeftSemi" in p]
+    assert len(steps) == 5 and sum("strategy=broadcast" in p for p in steps) == {0: 0, 3: 3, 10**6: 5}[few]
+
+
 def chased(spark, rows):
     made = [(n, p, None if v is None else Decimal(v)) for n, p, v in rows]
     got = chains(spark.createDataFrame(made, "node long, parent long, value decimal(12,2)"), "node", "parent", "value").collect()
